@@ -1 +1,353 @@
-"""Placeholder."""
+"""Queries over the motion operators."""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import functions as F
+
+from emberline.deploy import ship
+from emberline.functions import geometry as G
+from emberline.operators import motion as M
+from emberline.plans import views as V
+from emberline.plans.registry import query
+
+VC, VD = V.CELLS, V.DIFFS
+THR = 20  # difference of two 8-bit values of the test frames that counts as motion
+W8 = {"width": 8, "height": 8}
+
+FRAC = f"""motion AS (SELECT video, frame_idx, y // 4 AS by_, x // 4 AS bx_, CAST(sum(CAST(coalesce(diff > {THR}, FALSE) AS INT)) AS BIGINT) AS n
+  FROM diffs GROUP BY 1, 2, 3, 4)"""
+
+
+def _diffs(spark, sf, thr=THR):
+    return M.frame_diff(V.cells(spark, sf), thr)
+
+
+def _motion(spark, sf):
+    return M.block_motion(M.to_blocks(_diffs(spark, sf), 4, **W8), 16)
+
+
+def _blocks_out(df):
+    return df.select("video", "frame_idx", "by", "bx", "blk_idx", "fg_count", "frac")
+
+
+@query(
+    "frame_diff",
+    f"WITH {VD} SELECT video, frame_idx, y, x, coalesce(diff, -1) AS diff, coalesce(diff > {THR}, FALSE) AS fg FROM diffs",
+)
+def _frame_diff(spark, sf):
+    d = _diffs(spark, sf)
+    return d.select(
+        "video",
+        "frame_idx",
+        "y",
+        "x",
+        F.coalesce("diff", F.lit(-1)).alias("diff"),
+        F.coalesce("fg", F.lit(False)).alias("fg"),
+    )
+
+
+@query(
+    "frame_diff_color",
+    f"""WITH {V.BGR}, p AS (SELECT *, lag(b) OVER w AS pb, lag(g) OVER w AS pg, lag(r) OVER w AS pr FROM bgr
+      WINDOW w AS (PARTITION BY video, y, x ORDER BY frame_idx))
+    SELECT video, frame_idx, y, x, coalesce(CAST(floor(abs(r - pr) * 0.299::DOUBLE + abs(g - pg) * 0.587::DOUBLE
+      + abs(b - pb) * 0.114::DOUBLE + 0.5) AS INTEGER), -1) AS diff FROM p""",
+)
+def _frame_diff_color(spark, sf):
+    d = M.frame_diff(V.cells_bgr(spark, sf), THR)
+    return d.select("video", "frame_idx", "y", "x", F.coalesce("diff", F.lit(-1)).alias("diff"))
+
+
+@query(
+    "downscale",
+    f"""WITH {VC} SELECT video, frame_idx, y // 2 AS y, x // 2 AS x, CAST(round_even(avg(gray), 0) AS INTEGER) AS gray
+    FROM cells GROUP BY 1, 2, 3, 4""",
+)
+def _downscale(spark, sf):
+    return M.downscale(V.cells(spark, sf), 2)
+
+
+@query(
+    "to_blocks",
+    f"""WITH {VC} SELECT video, frame_idx, y, x, y // 3 AS "by", x // 3 AS bx, y // 3 * 3 + x // 3 AS blk_idx FROM cells""",
+)
+def _to_blocks(spark, sf):
+    return M.to_blocks(V.cells(spark, sf), 3, **W8).drop("gray")
+
+
+@query(
+    "to_blocks_truncate",
+    f"""WITH {VC} SELECT video, frame_idx, y // 3 AS "by", x // 5 AS bx, y // 3 * 2 + x // 5 AS blk_idx, count(*) AS pixels,
+    CAST(sum(gray) AS BIGINT) AS total FROM cells GROUP BY 1, 2, 3, 4, 5""",
+)
+def _to_blocks_truncate(spark, sf):
+    b = M.to_blocks(V.cells(spark, sf), (3, 5), **W8, mode="truncate")
+    return b.groupBy("video", "frame_idx", "by", "bx", "blk_idx").agg(
+        F.count(F.lit(1)).alias("pixels"), F.sum("gray").alias("total")
+    )
+
+
+@query(
+    "to_blocks_crop",
+    f"""WITH {VC} SELECT video, frame_idx, y, x, y // 3 AS "by", x // 3 AS bx, y // 3 * 2 + x // 3 AS blk_idx FROM cells
+    WHERE y < 6 AND x < 6""",
+)
+def _to_blocks_crop(spark, sf):
+    return M.to_blocks(V.cells(spark, sf), 3, **W8, mode="crop").drop("gray")
+
+
+@query(
+    "active_blocks",
+    f"""WITH {VD}, {FRAC} SELECT video, frame_idx, by_ AS "by", bx_ AS bx, by_ * 2 + bx_ AS blk_idx, n AS fg_count,
+    n / CAST(16 AS DOUBLE) AS frac FROM motion WHERE n / 16.0 > 0.25""",
+)
+def _active(spark, sf):
+    return _blocks_out(M.active_blocks(M.to_blocks(_diffs(spark, sf), 4, **W8), 16, 0.25))
+
+
+@query(
+    "active_blocks_count",
+    f"""WITH {VD}, {FRAC} SELECT video, frame_idx, by_ AS "by", bx_ AS bx, by_ * 2 + bx_ AS blk_idx, n AS fg_count,
+    n / CAST(16 AS DOUBLE) AS frac FROM motion WHERE n >= 6""",
+)
+def _active_count(spark, sf):
+    return _blocks_out(M.active_blocks(M.to_blocks(_diffs(spark, sf), 4, **W8), 16, min_count=6))
+
+
+@query(
+    "motion_totals",
+    f"""WITH {VD}, {FRAC} SELECT video, frame_idx, CAST(sum(n) AS BIGINT) AS fg_total,
+    CAST(sum(CASE WHEN n >= 6 THEN n ELSE 0 END) AS BIGINT) AS fg_inside FROM motion GROUP BY 1, 2""",
+)
+def _totals(spark, sf):
+    return M.motion_totals(_motion(spark, sf), 6)
+
+
+def _logistic(batch: pd.DataFrame) -> np.ndarray:
+    return np.round(1 / (1 + np.exp(2 - 4 * batch["frac"].to_numpy())), 9)
+
+
+SCORED = f"""{FRAC}, scored AS (SELECT *, n / CAST(16 AS DOUBLE) AS frac,
+  round(1 / (1 + exp(2 - 4 * (n / CAST(16 AS DOUBLE)))), 9) AS prob FROM motion WHERE n / 16.0 > 0.25)"""
+
+
+def _scored(spark, sf):
+    ship(spark)
+    active = M.active_blocks(M.to_blocks(_diffs(spark, sf), 4, **W8), 16, 0.25)
+    return M.score_blocks(active, _logistic, 0.4)
+
+
+@query(
+    "score_blocks",
+    f"""WITH {VD}, {SCORED} SELECT video, frame_idx, by_ * 2 + bx_ AS blk_idx, prob, prob >= 0.4 AS kept FROM scored""",
+)
+def _score_blocks(spark, sf):
+    return _scored(spark, sf).select("video", "frame_idx", "blk_idx", "prob", "kept")
+
+
+@query(
+    "block_feature_fn",
+    f"""WITH {VC} SELECT video, frame_idx, y // 4 * 2 + x // 4 AS blk_idx, round(stddev_pop(gray), 6) AS spread
+    FROM cells GROUP BY 1, 2, 3""",
+)
+def _block_feature(spark, sf):
+    ship(spark)
+    pixels = M.block_pixels(M.to_blocks(V.cells(spark, sf), 4, **W8))
+    scored = M.score_blocks(pixels, lambda b: np.stack(b["pixels"].to_numpy()).std(axis=1), 0.0)
+    return scored.select("video", "frame_idx", "blk_idx", F.round("prob", 6).alias("spread"))
+
+
+@query(
+    "block_pixels",
+    f"""WITH {VC} SELECT video, frame_idx, y // 4 * 2 + x // 4 AS blk_idx, max(gray) FILTER (y % 4 = 0 AND x % 4 = 0) AS first,
+    max(gray) FILTER (y % 4 = 3 AND x % 4 = 3) AS last, CAST(16 AS INTEGER) AS n FROM cells GROUP BY 1, 2, 3""",
+)
+def _block_pixels(spark, sf):
+    pixels = M.block_pixels(M.to_blocks(V.cells(spark, sf), 4, **W8))
+    return pixels.select(
+        "video",
+        "frame_idx",
+        "blk_idx",
+        F.get("pixels", F.lit(0)).alias("first"),
+        F.get("pixels", F.lit(15)).alias("last"),
+        F.size("pixels").alias("n"),
+    )
+
+
+@query(
+    "skip_decision",
+    f"""WITH {VD}, {SCORED}, every AS (SELECT video, frame_idx FROM emb),
+    c AS (SELECT e.video, e.frame_idx, count(s.prob) AS n_active, count(s.prob) FILTER (s.prob >= 0.4) AS n_kept
+      FROM every e LEFT JOIN scored s ON s.video = e.video AND s.frame_idx = e.frame_idx GROUP BY 1, 2)
+    SELECT video, frame_idx, n_active, n_kept, n_active / CAST(4 AS DOUBLE) AS active_share,
+    CASE WHEN n_active = 0 THEN 'skip' WHEN n_active / 4.0 >= 0.8 THEN 'full' WHEN n_kept = 0 THEN 'skip' ELSE 'roi' END AS decision
+    FROM c""",
+)
+def _skip(spark, sf):
+    every = V._numbered_vectors(spark, sf).select("video", "frame_idx")
+    return M.skip_decision(every, _scored(spark, sf), 4, 0.25, 0.8)
+
+
+def _roi_sql(mode: str) -> str:
+    """Boxes of kept 2x2 blocks on an 8x8 frame; at least 5 wide and 5 high."""
+    box = f"""kept AS (SELECT video, frame_idx, y // 2 AS by_, x // 2 AS bx_ FROM diffs GROUP BY 1, 2, 3, 4
+      HAVING sum(CAST(coalesce(diff > {THR}, FALSE) AS INT)) >= 3),
+    box AS (SELECT video, frame_idx, count(*) AS n_kept, min(bx_) * 2 AS x1, min(by_) * 2 AS y1, max(bx_ + 1) * 2 AS x2,
+      max(by_ + 1) * 2 AS y2 FROM kept GROUP BY 1, 2)"""
+    if mode == "clip":
+        side = {
+            a: (
+                f"greatest(0, {a}1 - CASE WHEN {a}2 - {a}1 < 5 THEN (5 - ({a}2 - {a}1)) // 2 ELSE 0 END)",
+                f"least(8, {a}2 + CASE WHEN {a}2 - {a}1 < 5 THEN (5 - ({a}2 - {a}1)) // 2 ELSE 0 END)",
+            )
+            for a in "xy"
+        }
+    else:
+        side = {}
+        for a in "xy":
+            start = f"greatest(0, least(8 - 5, {a}1 - (5 - ({a}2 - {a}1)) // 2))"
+            side[a] = (
+                f"CASE WHEN {a}2 - {a}1 < 5 THEN {start} ELSE {a}1 END",
+                f"CASE WHEN {a}2 - {a}1 < 5 THEN {start} + 5 ELSE {a}2 END",
+            )
+    cols = ", ".join(f"CAST({side[a][i]} AS INTEGER) AS {a}{i + 1}" for a in "xy" for i in (0, 1))
+    return f"{VD}, {box}, rois AS (SELECT video, frame_idx, n_kept, {cols} FROM box)"
+
+
+def _rois(spark, sf, mode):
+    kept = M.active_blocks(M.to_blocks(_diffs(spark, sf), 2, **W8), 4, min_count=3)
+    return M.roi_from_blocks(kept, 2, 8, 8, min_roi=0.65, mode=mode)
+
+
+@query("roi_clip", f"WITH {_roi_sql('clip')} SELECT * FROM rois")
+def _roi_clip(spark, sf):
+    return _rois(spark, sf, "clip").select("video", "frame_idx", "n_kept", "roi.*")
+
+
+@query("roi_shift", f"WITH {_roi_sql('shift')} SELECT * FROM rois")
+def _roi_shift(spark, sf):
+    return _rois(spark, sf, "shift").select("video", "frame_idx", "n_kept", "roi.*")
+
+
+@query(
+    "crop",
+    f"""WITH {_roi_sql('clip')} SELECT c.video, c.frame_idx, c.y, c.x, c.gray FROM cells c JOIN rois r
+    ON r.video = c.video AND r.frame_idx = c.frame_idx AND c.x >= x1 AND c.x < x2 AND c.y >= y1 AND c.y < y2""",
+)
+def _crop(spark, sf):
+    return M.crop(V.cells(spark, sf), _rois(spark, sf, "clip"))
+
+
+@query(
+    "motion_memory",
+    f"""WITH RECURSIVE {VD}, mem AS (SELECT video, y, x, frame_idx, 0 AS memory FROM diffs WHERE frame_idx = 1
+      UNION ALL SELECT d.video, d.y, d.x, d.frame_idx,
+        greatest(0, least(24, m.memory + CASE WHEN d.diff > {THR} THEN 4 ELSE -1 END))
+      FROM mem m JOIN diffs d ON d.video = m.video AND d.y = m.y AND d.x = m.x AND d.frame_idx = m.frame_idx + 1)
+    SELECT video, frame_idx, y, x, memory, memory >= 10 AS active FROM mem""",
+)
+def _memory(spark, sf):
+    ship(spark)
+    return M.motion_memory(_diffs(spark, sf))
+
+
+@query(
+    "two_point_mask",
+    f"""WITH {VC} SELECT video, frame_idx, y, x, gray <> first_value(gray) OVER (PARTITION BY video, y, x ORDER BY frame_idx) AS fg
+    FROM cells""",
+)
+def _two_point(spark, sf):
+    return M.two_point_mask(V.cells(spark, sf)).drop("gray")
+
+
+@query(
+    "cell_mean_diff",
+    f"""WITH {VD} SELECT video, frame_idx, y // 4 AS "by", x // 4 AS bx, avg(diff) AS mean_diff, avg(diff) > 15 AS moving
+    FROM diffs WHERE diff IS NOT NULL GROUP BY 1, 2, 3, 4""",
+)
+def _cell_mean(spark, sf):
+    return M.cell_mean_diff(_diffs(spark, sf), 4, 15)
+
+
+@query(
+    "median_diff_threshold",
+    f"""WITH {VD}, l AS (SELECT DISTINCT video, frame_idx, diff FROM diffs WHERE diff IS NOT NULL),
+    m AS (SELECT video, frame_idx, median(diff) AS med FROM l GROUP BY 1, 2)
+    SELECT d.video, d.frame_idx, d.y, d.x, m.med AS median_diff, d.diff > m.med AS fg FROM diffs d JOIN m USING (video, frame_idx)""",
+)
+def _median(spark, sf):
+    out = M.median_diff_threshold(_diffs(spark, sf)).filter(F.col("median_diff").isNotNull())
+    return out.select("video", "frame_idx", "y", "x", "median_diff", "fg")
+
+
+@query(
+    "motion_pattern",
+    f"""WITH {V.POINTS} SELECT vec_id, count(*) AS n_points, round(var_pop(atan2(dy, dx)), 6) AS flicker,
+    round(-avg(dy), 6) AS upward, var_pop(atan2(dy, dx)) > 3.0 AND -avg(dy) > 0.005 AS fire_like FROM points GROUP BY vec_id
+    HAVING count(*) >= 2""",
+)
+def _pattern(spark, sf):
+    out = M.motion_pattern(V.points(spark, sf), ["vec_id"], 3.0, 0.005)
+    return out.withColumns({c: F.round(c, 6) for c in ("flicker", "upward")})
+
+
+_FLOW = """SELECT vec_id, count(*) AS n_points, round(avg(sqrt(dx * dx + dy * dy)), 6) AS mean_length,
+  avg(CASE WHEN sqrt(dx * dx + dy * dy) > 0.2 THEN 1.0 ELSE 0.0 END) AS moving_ratio, {skip} AS skip FROM points GROUP BY vec_id"""
+
+
+@query("flow_skip_mean", f"WITH {V.POINTS} " + _FLOW.format(skip="avg(sqrt(dx * dx + dy * dy)) < 0.15"))
+def _flow_mean(spark, sf):
+    out = M.flow_skip(V.points(spark, sf), ["vec_id"], "mean", min_mean=0.15, min_length=0.2)
+    return out.withColumn("mean_length", F.round("mean_length", 6))
+
+
+@query(
+    "flow_skip_ratio",
+    f"WITH {V.POINTS} "
+    + _FLOW.format(skip="count(*) < 10 OR avg(CASE WHEN sqrt(dx * dx + dy * dy) > 0.2 THEN 1.0 ELSE 0.0 END) < 0.25"),
+)
+def _flow_ratio(spark, sf):
+    out = M.flow_skip(V.points(spark, sf), ["vec_id"], "ratio", min_length=0.2, min_ratio=0.25)
+    return out.withColumn("mean_length", F.round("mean_length", 6))
+
+
+@query(
+    "top_regions",
+    """WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity AS area, l_discount * 50 AS mean_change,
+      row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS place
+      FROM lineitem WHERE l_quantity >= 10)
+    SELECT l_orderkey, l_linenumber, l_partkey, area, CAST(place AS INTEGER) AS place FROM r WHERE place <= 2 AND mean_change >= 2""",
+)
+def _top_regions(spark, sf):
+    li = V.table(spark, sf, "lineitem").withColumns(
+        {"area": F.col("l_quantity"), "mean_change": F.col("l_discount") * 50}
+    )
+    out = M.top_regions(
+        li, ["l_orderkey"], 2, 10, 2.0, tie=["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+    )
+    return out.select("l_orderkey", "l_linenumber", "l_partkey", "area", "place")
+
+
+@query(
+    "sample_blocks",
+    f"""WITH {VD}, {FRAC}, o AS (SELECT *, by_ * 2 + bx_ AS blk_idx, row_number() OVER (PARTITION BY video, frame_idx
+      ORDER BY (frame_idx * 31 + (by_ * 2 + bx_) * 17) % 7, by_ * 2 + bx_) AS place FROM motion)
+    SELECT video, frame_idx, blk_idx, n AS fg_count FROM o WHERE place <= 2""",
+)
+def _sample(spark, sf):
+    order = (F.col("frame_idx") * 31 + F.col("blk_idx") * 17) % 7
+    return M.sample_blocks(_motion(spark, sf), 2, order).select("video", "frame_idx", "blk_idx", "fg_count")
+
+
+@query(
+    "roi_gray_diff",
+    f"""WITH {_roi_sql('clip')} SELECT d.video, d.frame_idx, CAST(0 AS INTEGER) AS region_id, round(avg(d.diff), 6) AS mean_change
+    FROM diffs d JOIN rois r ON r.video = d.video AND r.frame_idx = d.frame_idx AND d.x >= x1 AND d.x < x2 AND d.y >= y1 AND d.y < y2
+    WHERE d.diff IS NOT NULL GROUP BY 1, 2""",
+)
+def _roi_diff(spark, sf):
+    regions = _rois(spark, sf, "clip").withColumn("region_id", F.lit(0))
+    out = M.roi_gray_diff(_diffs(spark, sf), regions)
+    return out.withColumn("mean_change", F.round("mean_change", 6))
