@@ -1 +1,171 @@
-"""Placeholder."""
+"""Queries that run as streams over all available input and return the written result."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from emberline.deploy import ship
+from emberline.functions import labels as L
+from emberline.plans import views as V
+from emberline.plans.queries_temporal import GATE, HISTORY, SLIDING, STICKY, THR, W
+from emberline.plans.registry import query
+from emberline.sources import logs
+from emberline.storage import fresh_path
+from emberline.streaming import filters as ST
+from emberline.streaming import sinks
+
+VF, POS, DET = V.FRAMES, V.POS, V.DET
+
+
+def _as_stream(spark, df: DataFrame, name: str) -> DataFrame:
+    """Land a table as files in the shared folder and read it as a stream."""
+    path = fresh_path(spark, name)
+    df.write.parquet(path)
+    return logs.stream_frame_log(spark, path, df.schema)
+
+
+def _frames(spark, sf) -> DataFrame:
+    ship(spark)
+    fr = V.frames(spark, sf).select(
+        "channel", "video", "frame_idx", "pred_label", "elapsed_time", F.col("ts").cast("timestamp").alias("ts")
+    )
+    return _as_stream(spark, fr, "frames-in")
+
+
+def _labels(df: DataFrame) -> DataFrame:
+    return df.withColumn("pred_label", F.coalesce("pred_label", F.lit("(empty)")))
+
+
+def _channel(cte: str, source: str) -> str:
+    """The batch form keyed by channel instead of video."""
+    return f"""WITH {cte} SELECT f.channel, s.frame_idx, coalesce(s.pred_label, '(empty)') AS pred_label
+    FROM {source} s JOIN frames f ON f.video = s.video AND f.frame_idx = s.frame_idx"""
+
+
+@query("stream_frame_log", f"WITH {VF} SELECT channel, frame_idx, coalesce(pred_label, '(empty)') AS pred_label FROM frames")
+def _stream_log(spark, sf):
+    out = sinks.run_to_table(_frames(spark, sf), "log-out")
+    return _labels(out.select("channel", "frame_idx", "pred_label"))
+
+
+@query("stream_tpt_sticky", _channel(f"{VF}, {STICKY}", "sticky"))
+def _tpt_sticky(spark, sf):
+    return _labels(sinks.run_to_table(ST.stream_tpt(_frames(spark, sf), "sticky", W, THR), "tpt"))
+
+
+@query("stream_tpt_sliding", _channel(f"{VF}, {SLIDING}", "sliding"))
+def _tpt_sliding(spark, sf):
+    return _labels(sinks.run_to_table(ST.stream_tpt(_frames(spark, sf), "sliding", 20, 0.7), "tpt"))
+
+
+@query(
+    "stream_tpt_by_detection",
+    f"""WITH {VF}, n AS (SELECT *, least(20, sum(CAST({DET} AS INT)) OVER (PARTITION BY video ORDER BY frame_idx)) AS c
+    FROM frames) SELECT channel, frame_idx, CASE WHEN c <= 0.6 * 20 THEN 'none' ELSE coalesce(pred_label, '(empty)') END
+    AS pred_label FROM n""",
+)
+def _tpt_by_detection(spark, sf):
+    return _labels(sinks.run_to_table(ST.stream_tpt(_frames(spark, sf), "by_detection", 20, 0.6), "tpt"))
+
+
+@query(
+    "stream_history_prob",
+    f"""WITH {VF}, {HISTORY} SELECT f.channel, h.frame_idx, h.fire_prob, h.smoke_prob FROM history h
+    JOIN frames f ON f.video = h.video AND f.frame_idx = h.frame_idx""",
+)
+def _history(spark, sf):
+    return sinks.run_to_table(ST.stream_history_prob(_frames(spark, sf), 8), "history")
+
+
+@query(
+    "stream_eager_gate",
+    f"""WITH {GATE} SELECT f.channel, g.frame_idx, g.passed, g.scored, g.eager FROM gate g
+    JOIN frames f ON f.video = g.video AND f.frame_idx = g.frame_idx""",
+)
+def _gate(spark, sf):
+    return sinks.run_to_table(ST.stream_eager_gate(_frames(spark, sf), period=4, window=6), "gate")
+
+
+@query(
+    "stream_episodes",
+    f"""WITH {VF}, h AS (SELECT channel, ts, CASE WHEN lag(ts) OVER (PARTITION BY channel ORDER BY ts) IS NULL
+        OR ts >= lag(ts) OVER (PARTITION BY channel ORDER BY ts) + INTERVAL 6 HOUR THEN 1 ELSE 0 END AS new FROM frames WHERE {POS}),
+    n AS (SELECT channel, ts, sum(new) OVER (PARTITION BY channel ORDER BY ts) AS e FROM h)
+    SELECT channel, epoch_us(min(ts)) AS start_us, epoch_us(max(ts)) AS last_us, count(*) AS detections FROM n GROUP BY channel, e""",
+)
+def _episodes(spark, sf):
+    out = sinks.run_to_table(ST.stream_episodes(_frames(spark, sf), "6 hours"), "episodes", "complete")
+    return out.select(
+        "channel",
+        F.unix_micros("start_ts").alias("start_us"),
+        F.unix_micros("last_ts").alias("last_us"),
+        "detections",
+    )
+
+
+@query(
+    "stream_fps",
+    f"""WITH {VF} SELECT channel, epoch_us(time_bucket(INTERVAL 1 DAY, ts)) AS start_us, count(*) AS frames,
+    round(count(*) / sum(elapsed_time), 6) AS fps FROM frames GROUP BY 1, 2""",
+)
+def _fps(spark, sf):
+    out = sinks.run_to_table(ST.stream_fps(_frames(spark, sf), "1 day"), "fps", "complete")
+    return out.select("channel", F.unix_micros("start_ts").alias("start_us"), "frames", F.round("fps", 6).alias("fps"))
+
+
+@query(
+    "stream_fps_sliding",
+    f"""WITH {VF}, w AS (SELECT channel, elapsed_time, time_bucket(INTERVAL 12 HOUR, ts) - to_hours(12 * i) AS start_ts
+      FROM frames, (VALUES (0), (1)) b(i))
+    SELECT channel, epoch_us(start_ts) AS start_us, count(*) AS frames, round(count(*) / sum(elapsed_time), 6) AS fps FROM w GROUP BY 1, 2""",
+)
+def _fps_sliding(spark, sf):
+    out = sinks.run_to_table(ST.stream_fps(_frames(spark, sf), "1 day", "12 hours"), "fps", "complete")
+    return out.select("channel", F.unix_micros("start_ts").alias("start_us"), "frames", F.round("fps", 6).alias("fps"))
+
+
+@query(
+    "stream_motion_memory",
+    f"""WITH RECURSIVE {V.DIFFS}, mem AS (SELECT video, y, x, frame_idx, 0 AS memory FROM diffs WHERE frame_idx = 1
+      UNION ALL SELECT d.video, d.y, d.x, d.frame_idx, greatest(0, least(24, m.memory + CASE WHEN d.diff > 20 THEN 4 ELSE -1 END))
+      FROM mem m JOIN diffs d ON d.video = m.video AND d.y = m.y AND d.x = m.x AND d.frame_idx = m.frame_idx + 1)
+    SELECT video, frame_idx, y, x, memory, memory >= 10 AS active FROM mem""",
+)
+def _memory(spark, sf):
+    ship(spark)
+    cells = _as_stream(spark, V.cells(spark, sf), "cells-in")
+    return sinks.run_to_table(ST.stream_motion_memory(cells, thr=20), "memory")
+
+
+@query(
+    "stream_results",
+    f"""WITH {VF} SELECT 'all' AS sink, count(*) AS rows, CAST(sum(frame_idx) AS BIGINT) AS idx FROM frames
+    UNION ALL SELECT 'positive', count(*), CAST(sum(frame_idx) AS BIGINT) FROM frames WHERE {POS}""",
+)
+def _results(spark, sf):
+    every, positive = fresh_path(spark, "sink"), fresh_path(spark, "sink")
+    stream = _frames(spark, sf).select("channel", "frame_idx", "pred_label")
+    sinks.stream_results(
+        stream,
+        [
+            sinks.ParquetHandler(every),
+            sinks.ParquetHandler(positive, lambda b: b.filter(L.is_fire_or_smoke("pred_label"))),
+        ],
+    )
+    schema = stream.schema
+    both = (
+        spark.read.schema(schema).parquet(every).withColumn("sink", F.lit("all"))
+        .unionByName(spark.read.schema(schema).parquet(positive).withColumn("sink", F.lit("positive")))
+    )
+    return both.groupBy("sink").agg(F.count(F.lit(1)).alias("rows"), F.sum("frame_idx").alias("idx"))
+
+
+@query("late_frames", f"WITH {VF} SELECT channel, frame_idx, elapsed_time FROM frames")
+def _late(spark, sf):
+    ship(spark)
+    fr = V.frames(spark, sf).select("channel", "frame_idx", "elapsed_time", F.col("ts").cast("timestamp").alias("ts"))
+    # Every frame arrives twice.
+    twice = fr.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1)))).drop("copy")
+    out = sinks.run_to_table(ST.late_frames(_as_stream(spark, twice, "twice"), "1 hour"), "late")
+    return out.select("channel", "frame_idx", "elapsed_time")

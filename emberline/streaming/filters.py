@@ -28,10 +28,10 @@ def prepare(frames: DataFrame, dropped: Column | None = None) -> DataFrame:
         F.col("channel").cast("long").alias("channel"),
         F.col("frame_idx").cast("long").alias("frame_idx"),
         "pred_label",
-        is_detection("pred_label").alias("__hit"),
-        flags["fire"].alias("__fire"),
-        flags["smoke"].alias("__smoke"),
-        (low == "skipped" if dropped is None else dropped).alias("__dropped"),
+        is_detection("pred_label").alias("hit"),
+        flags["fire"].alias("fire"),
+        flags["smoke"].alias("smoke"),
+        (low == "skipped" if dropped is None else dropped).alias("dropped"),
     )
 
 
@@ -72,7 +72,7 @@ class TptFilter(ChannelFilter):
         return np.zeros(self.window, dtype=np.int32)
 
     def apply(self, state: np.ndarray, batch: pd.DataFrame):
-        hits = batch["__hit"].to_numpy(dtype=bool)
+        hits = batch["hit"].to_numpy(dtype=bool)
         index = batch["frame_idx"].to_numpy()
         bar = self.thr * self.window
         counts = np.empty(len(batch), dtype=np.int64)
@@ -109,7 +109,7 @@ class HistoryFilter(ChannelFilter):
         fire, smoke = state[:w], state[w : 2 * w]
         out = np.zeros((len(batch), 2))
         n_fire, n_smoke = int(fire.sum()), int(smoke.sum())
-        rows = zip(batch["__dropped"].to_numpy(bool), batch["__fire"].to_numpy(), batch["__smoke"].to_numpy())
+        rows = zip(batch["dropped"].to_numpy(bool), batch["fire"].to_numpy(), batch["smoke"].to_numpy())
         for i, (dropped, f, s) in enumerate(rows):
             if dropped:
                 continue
@@ -139,8 +139,8 @@ class GateFilter(ChannelFilter):
         return np.array([self.rules.start], dtype=np.int32)
 
     def apply(self, state: np.ndarray, batch: pd.DataFrame):
-        dropped = batch["__dropped"].to_numpy(bool)
-        kinds = np.where(dropped, 0, np.where(batch["__smoke"].to_numpy() == 1, 2, 1))
+        dropped = batch["dropped"].to_numpy(bool)
+        kinds = np.where(dropped, 0, np.where(batch["smoke"].to_numpy() == 1, 2, 1))
         after, passed, eager = self.rules.run(int(state[0]), kinds)
         out = pd.DataFrame(
             {
