@@ -206,7 +206,7 @@ def _read_speed_logs(spark, sf):
 
 @query(
     "write_predictions",
-    """SELECT f AS format, count(*) AS rows, sum(vec_id) AS ids, round(sum(CAST(embedding[1] AS DOUBLE)), 6) AS first_logits
+    """SELECT f AS format, count(*) AS rows, CAST(sum(vec_id) AS BIGINT) AS ids, round(sum(CAST(embedding[1] AS DOUBLE)), 6) AS first_logits
     FROM embeddings, (VALUES ('csv'), ('json'), ('parquet')) t(f) GROUP BY f""",
 )
 def _write_predictions(spark, sf):
@@ -373,7 +373,7 @@ def _parse_lists(spark, sf):
 @query(
     "split_valid",
     f"""WITH {VF} SELECT CASE WHEN pred_label IS NULL THEN 'bad' ELSE 'good' END AS part, count(*) AS rows,
-    sum(frame_idx) AS idx FROM frames GROUP BY 1""",
+    CAST(sum(frame_idx) AS BIGINT) AS idx FROM frames GROUP BY 1""",
 )
 def _valid(spark, sf):
     good, bad = S.split_valid(V.frames(spark, sf), ["pred_label", "elapsed_time"])

@@ -257,7 +257,7 @@ def _segments(spark, sf):
     f"""WITH {VF}, {STICKY}, {SLIDING.replace('0.7 * 20', '0.5 * 20')},
     every AS (SELECT 'no_temp' AS method, video, pred_label FROM frames UNION ALL SELECT 'temp_tpt', video, pred_label FROM sticky
       UNION ALL SELECT 'temp_tpt_sliding', video, pred_label FROM sliding)
-    SELECT method, count(*) AS frames, sum(CAST({POS} AS INT)) AS positive FROM every GROUP BY method""",
+    SELECT method, count(*) AS frames, CAST(sum(CAST({POS} AS INT)) AS BIGINT) AS positive FROM every GROUP BY method""",
 )
 def _registry(spark, sf):
     fr = V.frames(spark, sf)
