@@ -13,9 +13,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from emberline.functions.labels import fire_smoke_flags, frame_fps, is_detection, is_fire_or_smoke
+from emberline.operators.grouped import map_sorted_groups
 from emberline.operators.ordered import (
     CHUNK,
     chunk_of,
@@ -167,19 +167,20 @@ class GateRules:
     def map_of(self, kinds: np.ndarray) -> np.ndarray:
         """Final state for every start state."""
         state = np.arange(self.states, dtype=np.int32)
-        for kind in kinds:
+        for kind in kinds.tolist():
             state = self.step[kind][state]
         return state
 
     def run(self, state: int, kinds: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
-        """Follow one start state; also returns which frames were scored and where eager was on."""
-        passed = np.zeros(len(kinds), dtype=bool)
-        eager = np.zeros(len(kinds), dtype=bool)
-        for i, kind in enumerate(kinds):
-            passed[i] = self.passes[state]
-            state = self.step[kind][state]
-            eager[i] = state < self.window or state == self.start
-        return int(state), passed, eager
+        """Follow one start state; also returns which frames were let through and where eager was on."""
+        steps, before, after = self.step.tolist(), [], []
+        for kind in kinds.tolist():
+            before.append(state)
+            state = steps[kind][state]
+            after.append(state)
+        after = np.array(after, dtype=np.int64)
+        passed = self.passes[np.array(before, dtype=np.int64)]
+        return int(state), passed, (after < self.window) | (after == self.start)
 
 
 def _gate_kind(label: Column, dropped: Column) -> Column:
@@ -207,45 +208,54 @@ def eager_gate(
     if boost:
         return frames.withColumns({"passed": F.lit(True), "scored": ~dropped, "eager": F.lit(True)})
     rules = GateRules(window, period)
-    rows = frames.withColumns(
-        {"__chunk": chunk_of("frame_idx", size), "__kind": _gate_kind(F.col("pred_label"), dropped)}
+    keyed = frames.select(
+        "video",
+        chunk_of("frame_idx", size).alias("chunk"),
+        F.col("frame_idx").cast("long").alias("frame_idx"),
+        _gate_kind(F.col("pred_label"), dropped).alias("kind"),
     )
-    keyed = rows.select("video", "__chunk", "frame_idx", "__kind")
 
-    def chunk_map(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        kinds = pdf.sort_values("frame_idx")["__kind"].to_numpy()
-        return pd.DataFrame({"video": [key[0]], "__chunk": [key[1]], "map": [rules.map_of(kinds).tolist()]})
+    def reduce_chunk(g: dict) -> dict:
+        # Every video starts in the same state, so its first chunk needs no table.
+        first = g["chunk"][0] == 0
+        ends = [rules.run(rules.start, g["kind"])[0]] if first else rules.map_of(g["kind"]).tolist()
+        table = np.empty(1, dtype=object)
+        table[0] = ends
+        return {"video": g["video"][:1], "chunk": g["chunk"][:1], "ends": table}
 
-    maps = keyed.groupBy("video", "__chunk").applyInPandas(chunk_map, "video string, __chunk long, map array<int>")
+    maps = map_sorted_groups(
+        keyed, ["video", "chunk"], ["frame_idx"], reduce_chunk, "video string, chunk long, ends array<int>"
+    )
 
-    def chain(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("__chunk")
+    def chain(g: dict) -> dict | None:
         state, starts = rules.start, []
-        for table in pdf["map"]:
+        for chunk, ends in zip(g["chunk"], g["ends"]):
             starts.append(state)
-            state = int(table[state])
-        return pd.DataFrame({"video": key[0], "__chunk": pdf["__chunk"].to_numpy(), "state": starts})
-
-    starts = maps.groupBy("video").applyInPandas(chain, "video string, __chunk long, state int")
-
-    schema = T.StructType(
-        [
-            T.StructField("video", T.StringType()),
-            keyed.schema["frame_idx"],
-            T.StructField("passed", T.BooleanType()),
-            T.StructField("eager", T.BooleanType()),
-        ]
-    )
+            state = int(ends[0] if chunk == 0 else ends[state])
+        if len(starts) == 1:
+            return None
+        return {"video": g["video"][1:], "chunk": g["chunk"][1:], "state": np.array(starts[1:], dtype=np.int32)}
 
-    def replay(key: tuple, pdf: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame_idx")
-        _, passed, eager = rules.run(int(start["state"].iloc[0]), pdf["__kind"].to_numpy())
-        return pd.DataFrame({"video": key[0], "frame_idx": pdf["frame_idx"].to_numpy(), "passed": passed, "eager": eager})
+    starts = map_sorted_groups(maps, ["video"], ["chunk"], chain, "video string, chunk long, state int")
+
+    # A chunk's start state travels as a row in front of its frames: one shuffle brings both.
+    marked = keyed.unionByName(
+        starts.select("video", "chunk", F.lit(0).cast("long").alias("frame_idx"), (-1 - F.col("state")).alias("kind"))
+    )
 
-    gate = (
-        keyed.groupBy("video", "__chunk")
-        .cogroup(starts.groupBy("video", "__chunk"))
-        .applyInPandas(replay, schema)
+    def replay(g: dict) -> dict | None:
+        state, lead = rules.start, 0
+        if g["kind"][0] < 0:
+            state, lead = -1 - int(g["kind"][0]), 1
+        _, passed, eager = rules.run(state, g["kind"][lead:])
+        return {"video": g["video"][lead:], "frame_idx": g["frame_idx"][lead:], "passed": passed, "eager": eager}
+
+    gate = map_sorted_groups(
+        marked,
+        ["video", "chunk"],
+        ["frame_idx"],
+        replay,
+        "video string, frame_idx long, passed boolean, eager boolean",
     )
     out = join_carry(frames, gate, ["video", "frame_idx"], "inner")
     return out.withColumn("scored", F.col("passed") & ~dropped)
