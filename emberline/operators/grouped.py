@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -58,3 +59,50 @@ def map_sorted_groups(
             yield from groups(held, np.array([0]), np.array([len(held)]))
 
     return rows.mapInPandas(run, schema)
+
+
+def append_to_sorted_groups(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    inputs: Sequence[str],
+    fn: Callable[[Arrays], Arrays],
+    fields: Sequence[T.StructField],
+) -> DataFrame:
+    """Add columns that need the whole ordered group.
+
+    ``fn`` sees only ``inputs`` and returns one array per new field. All other columns pass
+    through as Arrow buffers, untouched.
+    """
+    keys, inputs = list(keys), list(inputs)
+    rows = df.repartition(*keys).sortWithinPartitions(*keys, *order)
+    names = [f.name for f in fields]
+
+    def with_new(table: pa.Table, starts: np.ndarray, ends: np.ndarray) -> Iterator[pa.RecordBatch]:
+        columns = {c: table[c].to_numpy() for c in inputs}
+        parts = [fn({c: v[low:high] for c, v in columns.items()}) for low, high in zip(starts, ends)]
+        for n in names:
+            table = table.append_column(n, pa.array(np.concatenate([p[n] for p in parts])))
+        yield from table.to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            if held is not None:
+                table = pa.concat_tables([held, table])
+            if not table.num_rows:
+                continue
+            new = np.zeros(table.num_rows, dtype=bool)
+            new[0] = True
+            for k in keys:
+                v = table[k].to_numpy()
+                new[1:] |= v[1:] != v[:-1]
+            starts = np.flatnonzero(new)
+            if len(starts) > 1:
+                yield from with_new(table.slice(0, starts[-1]), starts[:-1], starts[1:])
+            held = table.slice(starts[-1])
+        if held is not None and held.num_rows:
+            yield from with_new(held, np.array([0]), np.array([held.num_rows]))
+
+    return rows.mapInArrow(run, T.StructType([*df.schema.fields, *fields]))

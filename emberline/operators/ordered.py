@@ -16,7 +16,7 @@ Sequence keys must not be NULL.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -164,6 +164,40 @@ def running(
     return out.drop(_CHUNK, *helpers)
 
 
+def number_runs(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: str,
+    value: Column,
+    breaks: Callable[[Column, Column], Column],
+    name: str,
+    chunk: Column | None = None,
+) -> DataFrame:
+    """Number the runs of a sequence from 0; ``breaks(previous, current)`` ends a run.
+
+    One pass: runs are counted inside each chunk, and one row per chunk (its first and last
+    value and its count) decides whether a run goes on across the border and how many came before.
+    """
+    rows = df.withColumns(
+        {_CHUNK: chunk_of(order) if chunk is None else chunk.cast("long"), "__v": F.struct(value.alias("v"))}
+    )
+    local = Window.partitionBy(*keys, _CHUNK).orderBy(order)
+    rows = rows.withColumn("__p", F.lag("__v").over(local))
+    cut = F.col("__p").isNotNull() & breaks(F.col("__p.v"), F.col("__v.v"))
+    rows = rows.withColumn("__n", F.sum(cut.cast("long")).over(local))
+    chunks = rows.groupBy(*keys, _CHUNK).agg(
+        F.min_by("__v", order).alias("__first"), F.max_by("__v", order).alias("__last"), F.max("__n").alias("__cuts")
+    )
+    across = Window.partitionBy(*keys).orderBy(_CHUNK)
+    chunks = chunks.withColumn("__p", F.lag("__last").over(across))
+    joint = F.col("__p").isNotNull() & breaks(F.col("__p.v"), F.col("__first.v"))
+    chunks = chunks.withColumn("__joint", F.coalesce(joint, F.lit(False)).cast("long"))
+    before = F.sum(F.col("__cuts") + F.col("__joint")).over(across) - F.col("__cuts")
+    carry = chunks.select(*keys, _CHUNK, before.alias("__before"))
+    out = join_carry(rows, carry, [*keys, _CHUNK])
+    return out.withColumn(name, F.col("__n") + F.col("__before")).drop(_CHUNK, "__v", "__p", "__n", "__before")
+
+
 def with_halo(df: DataFrame, index: str, before: int, size: int = CHUNK) -> DataFrame:
     """Tag rows with ``__chunk`` and copy the last ``before`` rows of a chunk into the next.
 

@@ -13,14 +13,16 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from emberline.functions.labels import fire_smoke_flags, frame_fps, is_detection, is_fire_or_smoke
-from emberline.operators.grouped import map_sorted_groups
+from emberline.operators.grouped import append_to_sorted_groups, map_sorted_groups
 from emberline.operators.ordered import (
     CHUNK,
     chunk_of,
     join_carry,
     number_rows,
+    number_runs,
     over_recent,
     running,
     spread_join,
@@ -208,11 +210,15 @@ def eager_gate(
     if boost:
         return frames.withColumns({"passed": F.lit(True), "scored": ~dropped, "eager": F.lit(True)})
     rules = GateRules(window, period)
-    keyed = frames.select(
-        "video",
-        chunk_of("frame_idx", size).alias("chunk"),
-        F.col("frame_idx").cast("long").alias("frame_idx"),
-        _gate_kind(F.col("pred_label"), dropped).alias("kind"),
+    rows = frames.withColumns(
+        {
+            "__chunk": chunk_of("frame_idx", size),
+            "__place": F.col("frame_idx").cast("long"),
+            "__kind": _gate_kind(F.col("pred_label"), dropped),
+        }
+    )
+    keyed = rows.select(
+        "video", F.col("__chunk").alias("chunk"), F.col("__place").alias("place"), F.col("__kind").alias("kind")
     )
 
     def reduce_chunk(g: dict) -> dict:
@@ -224,7 +230,7 @@ def eager_gate(
         return {"video": g["video"][:1], "chunk": g["chunk"][:1], "ends": table}
 
     maps = map_sorted_groups(
-        keyed, ["video", "chunk"], ["frame_idx"], reduce_chunk, "video string, chunk long, ends array<int>"
+        keyed, ["video", "chunk"], ["place"], reduce_chunk, "video string, chunk long, ends array<int>"
     )
 
     def chain(g: dict) -> dict | None:
@@ -239,26 +245,26 @@ def eager_gate(
     starts = map_sorted_groups(maps, ["video"], ["chunk"], chain, "video string, chunk long, state int")
 
     # A chunk's start state travels as a row in front of its frames: one shuffle brings both.
-    marked = keyed.unionByName(
-        starts.select("video", "chunk", F.lit(0).cast("long").alias("frame_idx"), (-1 - F.col("state")).alias("kind"))
+    lead = starts.select(
+        "video",
+        F.col("chunk").alias("__chunk"),
+        F.lit(0).cast("long").alias("__place"),
+        (-1 - F.col("state")).alias("__kind"),
     )
+    marked = rows.unionByName(lead, allowMissingColumns=True)
 
-    def replay(g: dict) -> dict | None:
-        state, lead = rules.start, 0
-        if g["kind"][0] < 0:
-            state, lead = -1 - int(g["kind"][0]), 1
-        _, passed, eager = rules.run(state, g["kind"][lead:])
-        return {"video": g["video"][lead:], "frame_idx": g["frame_idx"][lead:], "passed": passed, "eager": eager}
-
-    gate = map_sorted_groups(
-        marked,
-        ["video", "chunk"],
-        ["frame_idx"],
-        replay,
-        "video string, frame_idx long, passed boolean, eager boolean",
-    )
-    out = join_carry(frames, gate, ["video", "frame_idx"], "inner")
-    return out.withColumn("scored", F.col("passed") & ~dropped)
+    def replay(g: dict) -> dict:
+        kinds, state, at = g["__kind"], rules.start, 0
+        if kinds[0] < 0:
+            state, at = -1 - int(kinds[0]), 1
+        passed, eager = np.zeros(len(kinds), dtype=bool), np.zeros(len(kinds), dtype=bool)
+        _, passed[at:], eager[at:] = rules.run(state, kinds[at:])
+        return {"passed": passed, "eager": eager}
+
+    flags = [T.StructField("passed", T.BooleanType()), T.StructField("eager", T.BooleanType())]
+    out = append_to_sorted_groups(marked, ["video", "__chunk"], ["__place"], ["__kind"], replay, flags)
+    out = out.filter(F.col("__kind") >= 0).withColumn("scored", F.col("passed") & (F.col("__kind") > 0))
+    return out.drop("__chunk", "__place", "__kind")
 
 
 # --- runs, firsts and running values -----------------------------------------------------------
@@ -267,10 +273,15 @@ def eager_gate(
 def episodes(frames: DataFrame, gap: int = 30, size: int = CHUNK) -> DataFrame:
     """Detection episodes: a new one starts after at least ``gap`` frames without fire or smoke."""
     hits = frames.filter(is_fire_or_smoke("pred_label")).select("video", "frame_idx")
-    chunk = chunk_of("frame_idx", size)
-    seen = running(hits, ["video"], "frame_idx", {"__prev": ("max", F.col("frame_idx"))}, chunk, exclusive=True)
-    new = F.col("__prev").isNull() | (F.col("frame_idx") - F.col("__prev") - 1 >= gap)
-    numbered = running(seen, ["video"], "frame_idx", {"episode": ("sum", new.cast("long"))}, chunk)
+    numbered = number_runs(
+        hits,
+        ["video"],
+        "frame_idx",
+        F.col("frame_idx"),
+        lambda previous, current: current - previous - 1 >= gap,
+        "__run",
+        chunk_of("frame_idx", size),
+    ).withColumn("episode", F.col("__run") + 1)
     return numbered.groupBy("video", "episode").agg(
         F.min("frame_idx").alias("start_frame"),
         F.max("frame_idx").alias("end_frame"),
@@ -348,14 +359,15 @@ def tta_mean(scores: DataFrame, r: int, n_classes: int, index: str = "row_id", t
 
 def segment_on_resize(frames: DataFrame, size: int = CHUNK) -> DataFrame:
     """Number the stretches of equal frame size; state of the motion filters restarts with each."""
-    shape = F.struct("height", "width")
-    chunk = chunk_of("frame_idx", size)
-    seen = running(frames, ["video"], "frame_idx", {"__last": ("last", shape)}, chunk, exclusive=True)
-    changed = F.col("__last").isNotNull() & (
-        (F.col("__last.height") != F.col("height")) | (F.col("__last.width") != F.col("width"))
+    return number_runs(
+        frames,
+        ["video"],
+        "frame_idx",
+        F.struct("height", "width"),
+        lambda a, b: (a["height"] != b["height"]) | (a["width"] != b["width"]),
+        "segment",
+        chunk_of("frame_idx", size),
     )
-    out = running(seen, ["video"], "frame_idx", {"segment": ("sum", changed.cast("long"))}, chunk)
-    return out.drop("__last")
 
 
 # --- registry ----------------------------------------------------------------------------------
