@@ -14,6 +14,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 Arrays = dict[str, np.ndarray]
 
@@ -77,12 +78,14 @@ def append_to_sorted_groups(
     keys, inputs = list(keys), list(inputs)
     rows = df.repartition(*keys).sortWithinPartitions(*keys, *order)
     names = [f.name for f in fields]
+    arrow_types = {f.name: to_arrow_type(f.dataType) for f in fields}
 
     def with_new(table: pa.Table, starts: np.ndarray, ends: np.ndarray) -> Iterator[pa.RecordBatch]:
         columns = {c: table[c].to_numpy() for c in inputs}
         parts = [fn({c: v[low:high] for c, v in columns.items()}) for low, high in zip(starts, ends)]
         for n in names:
-            table = table.append_column(n, pa.array(np.concatenate([p[n] for p in parts])))
+            # Typed, so that a slice of only empty values keeps its column's type.
+            table = table.append_column(n, pa.array(np.concatenate([p[n] for p in parts]), arrow_types[n]))
         yield from table.to_batches()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

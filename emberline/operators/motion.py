@@ -90,7 +90,7 @@ def _steps(pdf: pd.DataFrame, tile: int) -> tuple[np.ndarray, np.ndarray, np.nda
     steps = np.zeros((len(frames), tile * tile), dtype=np.int16)
     fg = pdf["fg"]
     known = fg.notna().to_numpy()
-    moved = fg.fillna(False).to_numpy(dtype=bool)
+    moved = fg.eq(True).to_numpy(dtype=bool)
     steps[frame_at, pixel_at] = np.where(known, np.where(moved, _UP, _DOWN), 0)
     return steps, frame_at, pixel_at
 

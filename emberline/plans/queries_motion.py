@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from emberline.deploy import ship
 from emberline.functions import geometry as G
 from emberline.operators import motion as M
+from emberline.operators import tiles as TI
 from emberline.plans import views as V
 from emberline.plans.registry import query
 
@@ -351,3 +352,30 @@ def _roi_diff(spark, sf):
     regions = _rois(spark, sf, "clip").withColumn("region_id", F.lit(0))
     out = M.roi_gray_diff(_diffs(spark, sf), regions)
     return out.withColumn("mean_change", F.round("mean_change", 6))
+
+
+# --- packed tiles ------------------------------------------------------------------------------------
+
+
+@query(
+    "tile_block_motion",
+    f"""WITH {VD}, {FRAC} SELECT video, frame_idx, by_ AS "by", bx_ AS bx, by_ * 2 + bx_ AS blk_idx, n AS fg_count,
+    n / CAST(16 AS DOUBLE) AS frac FROM motion""",
+)
+def _tile_motion(spark, sf):
+    ship(spark)
+    return TI.block_motion(V.tiles(spark, sf), THR, 4, 8, tile=8)
+
+
+@query(
+    "tile_motion_memory",
+    f"""WITH RECURSIVE {VD}, mem AS (SELECT video, y, x, frame_idx, 0 AS memory FROM diffs WHERE frame_idx = 1
+      UNION ALL SELECT d.video, d.y, d.x, d.frame_idx,
+        greatest(0, least(24, m.memory + CASE WHEN d.diff > {THR} THEN 4 ELSE -1 END))
+      FROM mem m JOIN diffs d ON d.video = m.video AND d.y = m.y AND d.x = m.x AND d.frame_idx = m.frame_idx + 1),
+    b AS (SELECT video, frame_idx, y // 2 AS by_, x // 2 AS bx_, sum(CAST(memory >= 10 AS INT)) AS n FROM mem GROUP BY 1, 2, 3, 4)
+    SELECT video, frame_idx, by_ AS "by", bx_ AS bx, by_ * 4 + bx_ AS blk_idx, CAST(n AS BIGINT) AS fg_count, n / CAST(4 AS DOUBLE) AS frac FROM b""",
+)
+def _tile_memory(spark, sf):
+    ship(spark)
+    return TI.memory_blocks(TI.motion_memory(V.tiles(spark, sf), THR), 2, 8, tile=8)

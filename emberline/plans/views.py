@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberline.operators.ordered import number_rows
+from emberline.operators.tiles import bytes_of
 
 CLASS_NAMES = ["Fire", "None", "SmokeOnly"]
 
@@ -85,6 +86,18 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same frames packed: one row of 64 bytes each."""
+    emb = _numbered_vectors(spark, sf_dir)
+    sizes = {"ty": 0, "tx": 0, "h": 8, "w": 8, "channels": 1}
+    return emb.select(
+        "video",
+        "frame_idx",
+        *[F.lit(v).alias(n) for n, v in sizes.items()],
+        bytes_of(F.transform("embedding", _byte)).alias("data"),
+    )
+
+
 def cells_bgr(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each vector as a 3 x 7 colour frame."""
     emb = _numbered_vectors(spark, sf_dir)
