@@ -22,12 +22,23 @@ from pyspark.sql import types as T
 from emberline.functions.geometry import LUMA
 from emberline.operators.grouped import append_to_sorted_groups, map_sorted_groups
 from emberline.operators.motion import FRAME, _DOWN, _TOP, _UP, grid_size
-from emberline.operators.ordered import CELL_CHUNK, chunk_of, with_previous
+from emberline.operators.ordered import CELL_CHUNK, chunk_of, with_halo, with_previous
 
 TILE_KEY = ["video", "ty", "tx"]
 TILE_SCHEMA = "video string, frame_idx long, ty int, tx int, h int, w int, channels int, data binary"
 
 
+def _shrink(image: np.ndarray, k: int) -> np.ndarray:
+    """1/k of an image by area means, rounded half to even."""
+    if k == 1:
+        return image
+    h, w, channels = image.shape
+    if h % k or w % k:
+        raise ValueError(f"a {w}x{h} frame cannot be shrunk by {k}")
+    areas = image.reshape(h // k, k, w // k, k, channels).sum(axis=(1, 3), dtype=np.uint32)
+    return np.rint(areas / (k * k)).astype(np.uint8)
+
+
 def image_tiles(frames: DataFrame, tile: int = 64, k: int = 1) -> DataFrame:
     """Cut image rows (``video, frame_idx, height, width, channels, data``) into tiles, without a shuffle.
 
@@ -38,11 +49,7 @@ def image_tiles(frames: DataFrame, tile: int = 64, k: int = 1) -> DataFrame:
         for batch in batches:
             for r in batch.itertuples(index=False):
                 image = np.frombuffer(r.data, dtype=np.uint8).reshape(r.height, r.width, r.channels)
-                if k > 1:
-                    if r.height % k or r.width % k:
-                        raise ValueError(f"a {r.width}x{r.height} frame cannot be shrunk by {k}")
-                    areas = image.reshape(r.height // k, k, r.width // k, k, r.channels)
-                    image = np.rint(areas.mean(axis=(1, 3))).astype(np.uint8)
+                image = _shrink(image, k)
                 out = []
                 for y in range(0, image.shape[0], tile):
                     for x in range(0, image.shape[1], tile):
@@ -62,14 +69,23 @@ def _stack(column: pa.ChunkedArray, shape: tuple[int, ...]) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, *shape)
 
 
+_RED, _GREEN, _BLUE = (np.arange(256) * LUMA[c] for c in "rgb")
+
+
 def _changed(now: np.ndarray, before: np.ndarray, thr: float) -> np.ndarray:
     """Pixels whose difference is above ``thr``; colour takes the gray of the difference."""
-    diff = np.abs(now.astype(np.int16) - before.astype(np.int16))
+    level = int(np.floor(thr))
+    if level >= 255:
+        return np.zeros(now.shape[:-1], dtype=bool)
+    diff = np.maximum(now, before) - np.minimum(now, before)
     if diff.shape[-1] == 1:
-        gray = diff[..., 0]
-    else:
-        gray = np.floor(diff[..., 2] * LUMA["r"] + diff[..., 1] * LUMA["g"] + diff[..., 0] * LUMA["b"] + 0.5)
-    return gray > thr
+        return diff[..., 0] > level
+    b, g, r = diff[..., 0], diff[..., 1], diff[..., 2]
+    # Gray never exceeds the largest channel, so most still pixels end here.
+    mask = np.maximum(np.maximum(b, g), r) > level
+    gray = np.floor(_RED[r[mask]] + _GREEN[g[mask]] + _BLUE[b[mask]] + 0.5)
+    mask[mask] = gray > level
+    return mask
 
 
 def _block_sums(mask: np.ndarray, blk: int) -> np.ndarray:
@@ -115,7 +131,10 @@ def _count_blocks(tiles: DataFrame, columns: list[str], mask_of, tile: int, blk:
     narrow = tiles.select(
         "video", F.col("frame_idx").cast("long").alias("frame_idx"), "ty", "tx", "h", "w", "channels", *columns
     )
-    counts = narrow.mapInArrow(run, _COUNTS)
+    return _with_fractions(narrow.mapInArrow(run, _COUNTS), blk, width)
+
+
+def _with_fractions(counts: DataFrame, blk: int, width: int | Column) -> DataFrame:
     return counts.select(
         *FRAME,
         "by",
@@ -145,6 +164,52 @@ def block_motion(
     return _count_blocks(with_previous_tile(tiles, size), ["data", "prev"], changed, tile, blk, width)
 
 
+def frame_block_motion(
+    frames: DataFrame, thr: float, blk: int, width: int | Column, k: int = 1, size: int = 256
+) -> DataFrame:
+    """``block_motion`` straight from whole images (``video, frame_idx, height, width, channels, data``).
+
+    Images move once, by (video, stretch of frames); each stretch starts with a copy of the frame
+    before it. A task walks through its images in order, holds one previous image, and sends back
+    block counts only. ``k`` shrinks the images first.
+    """
+    columns = ["video", "frame_idx", "height", "width", "channels", "data"]
+    rows = with_halo(frames.select(*columns), "frame_idx", 1, size)
+    rows = rows.withColumn("frame_idx", F.col("frame_idx").cast("long"))
+    rows = rows.repartition("video", "__chunk").sortWithinPartitions("video", "__chunk", "frame_idx")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, before = None, None
+        for batch in batches:
+            out = {n: [] for n in ("video", "frame_idx", "by", "bx", "fg_count")}
+            for r in batch.to_pylist():
+                image = np.frombuffer(r["data"], dtype=np.uint8).reshape(r["height"], r["width"], r["channels"])
+                image = _shrink(image, k)
+                key = (r["video"], r["__chunk"], image.shape)
+                if not r["__halo"]:
+                    still = before is None or last != key
+                    mask = np.zeros(image.shape[:2], dtype=bool) if still else _changed(image, before, thr)
+                    sums = _block_sums(mask[None], blk)[0]
+                    by, bx = np.indices(sums.shape)
+                    out["video"] += [r["video"]] * sums.size
+                    out["frame_idx"].append(np.full(sums.size, r["frame_idx"]))
+                    for n, v in (("by", by), ("bx", bx), ("fg_count", sums)):
+                        out[n].append(v.ravel())
+                last, before = key, image
+            if out["video"]:
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "video": pa.array(out["video"], pa.string()),
+                        "frame_idx": pa.array(np.concatenate(out["frame_idx"]), pa.int64()),
+                        "by": pa.array(np.concatenate(out["by"]), pa.int32()),
+                        "bx": pa.array(np.concatenate(out["bx"]), pa.int32()),
+                        "fg_count": pa.array(np.concatenate(out["fg_count"]), pa.int64()),
+                    }
+                )
+
+    return _with_fractions(rows.mapInArrow(run, _COUNTS), blk, width)
+
+
 def motion_memory(tiles: DataFrame, thr: float, size: int = 256) -> DataFrame:
     """Change counters of every tile and frame as bytes in ``memory`` (one per pixel).
 

@@ -379,3 +379,16 @@ def _tile_motion(spark, sf):
 def _tile_memory(spark, sf):
     ship(spark)
     return TI.memory_blocks(TI.motion_memory(V.tiles(spark, sf), THR), 2, 8, tile=8)
+
+
+@query(
+    "frame_block_motion",
+    f"""WITH {V.BGR}, p AS (SELECT *, lag(b) OVER w AS pb, lag(g) OVER w AS pg, lag(r) OVER w AS pr FROM bgr
+      WINDOW w AS (PARTITION BY video, y, x ORDER BY frame_idx)),
+    m AS (SELECT video, frame_idx, y // 2 AS by_, x // 2 AS bx_, CAST(sum(CAST(coalesce(floor(abs(r - pr) * 0.299::DOUBLE
+      + abs(g - pg) * 0.587::DOUBLE + abs(b - pb) * 0.114::DOUBLE + 0.5) > {THR}, FALSE) AS INT)) AS BIGINT) AS n FROM p GROUP BY 1, 2, 3, 4)
+    SELECT video, frame_idx, by_ AS "by", bx_ AS bx, by_ * 4 + bx_ AS blk_idx, n AS fg_count, n / CAST(4 AS DOUBLE) AS frac FROM m""",
+)
+def _frame_motion(spark, sf):
+    ship(spark)
+    return TI.frame_block_motion(V.images(spark, sf), THR, 2, 7)

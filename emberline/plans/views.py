@@ -98,6 +98,18 @@ def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector as a 3 x 7 colour image of blue-green-red bytes."""
+    emb = _numbered_vectors(spark, sf_dir)
+    sizes = {"height": 3, "width": 7, "channels": 3}
+    return emb.select(
+        "video",
+        "frame_idx",
+        *[F.lit(v).alias(n) for n, v in sizes.items()],
+        bytes_of(F.transform(F.slice("embedding", 1, 63), _byte)).alias("data"),
+    )
+
+
 def cells_bgr(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each vector as a 3 x 7 colour frame."""
     emb = _numbered_vectors(spark, sf_dir)
