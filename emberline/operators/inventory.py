@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberline.operators.ordered import join_carry, number_rows
+from emberline.operators.ordered import number_rows, spread_join
 
 
 def name_bucket(name: Column | str) -> Column:
@@ -32,7 +32,7 @@ def pending_videos(videos: DataFrame, results: DataFrame, key: str = "video") ->
 def attach_machine(runs: DataFrame, names: DataFrame, host: str = "pc_name") -> DataFrame:
     """Short machine name of each run; an unknown host is an error."""
     lookup = names.select(F.col("pc_name").alias(host), F.col("abbr").alias("__abbr"))
-    out = runs.join(lookup, host, "left")
+    out = spread_join(runs, lookup, [host], F.xxhash64(*runs.columns))
     unknown = F.raise_error(F.concat(F.lit("unknown machine "), F.coalesce(F.col(host), F.lit("NULL"))))
     return out.withColumn("machine", F.coalesce(F.col("__abbr"), unknown.cast("string"))).drop("__abbr")
 
@@ -48,7 +48,7 @@ def reuse_runs(runs: DataFrame, source_method: str = "no_temp", keys: Sequence[s
     """For each run, the newest log of ``source_method`` on the same machine and dataset."""
     source = latest_runs(runs.filter(F.col("method") == source_method), keys)
     source = source.select(*keys, F.col("run").alias("source_run"))
-    return join_carry(runs, source, list(keys), "inner")
+    return spread_join(runs, source, list(keys), F.col("run"), "inner")
 
 
 def experiment_matrix(
@@ -123,7 +123,7 @@ def stratified_split(
     rows = df.withColumn("__order", order)
     width = -(-order_range // buckets)
     rows = number_rows(rows, [key], ["__order", tie], F.floor(F.col("__order") / F.lit(width)), "__place")
-    rows = join_carry(rows, total, [key])
+    rows = spread_join(rows, total, [key], F.col(tie))
     part, bound = None, 0.0
     for name, share in fractions[:-1]:
         bound += share
@@ -144,7 +144,7 @@ def class_index(labels: DataFrame, name: str) -> DataFrame:
 def with_class_index(df: DataFrame, name: str) -> DataFrame:
     """Add ``class_id`` to every row. Spark broadcasts the names when they turn out small."""
     index = class_index(df, name).withColumnRenamed("class_name", name)
-    return join_carry(df, index, [name])
+    return spread_join(df, index, [name], F.xxhash64(*df.columns))
 
 
 def rank_rows(df: DataFrame, order: Column, bucket: Column, name: str = "place") -> DataFrame:

@@ -61,8 +61,15 @@ def two_point_mask(cells: DataFrame) -> DataFrame:
 
 def median_diff_threshold(diffs: DataFrame) -> DataFrame:
     """Foreground above the median of the frame's distinct difference values."""
-    levels = diffs.filter(F.col("diff").isNotNull()).select(*FRAME, "diff").distinct()
-    median = levels.groupBy(*FRAME).agg(F.percentile("diff", F.lit(0.5)).alias("median_diff"))
+    # A set of 8-bit differences has at most 256 members; NULLs are not collected.
+    levels = F.sort_array(F.collect_set("diff"))
+    n = F.size("__levels")
+    low, high = (F.get("__levels", F.floor(i / 2).cast("int")) for i in (n - 1, n))
+    median = (
+        diffs.groupBy(*FRAME)
+        .agg(levels.alias("__levels"))
+        .select(*FRAME, F.when(n > 0, (low + high) / F.lit(2.0)).alias("median_diff"))
+    )
     out = join_carry(diffs, median, FRAME)
     return out.withColumn("fg", F.col("diff") > F.col("median_diff"))
 

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from emberline.operators.ordered import join_carry, running
+
 
 def profile_report(spans: DataFrame, min_mean: float = 1e-5) -> DataFrame:
     """Mean time of every step and its share in the context's summed means.
@@ -52,18 +54,101 @@ def samples_in_frame(
     return touched.join(placed, on, how).drop("__slot", *[f"__s_{k}" for k in [*keys, "__slot"]])
 
 
+_FAN = 16  # children per node
+
+
 def gpu_stats(
-    intervals: DataFrame, samples: DataFrame, keys: Sequence[str], interval_id: str, width: float
+    intervals: DataFrame,
+    samples: DataFrame,
+    keys: Sequence[str],
+    interval_id: str,
+    width: float,
+    levels: int = 10,
 ) -> DataFrame:
     """Mean power and peak memory of the samples inside each interval, 0 when there are none.
 
-    The interval side is left-joined per slot, so an empty interval keeps its rows and the
-    aggregate over its id gives the zeros.
+    No (interval, sample) pair is formed, however much the intervals overlap. Samples are numbered
+    in time order per key; an interval becomes a range of numbers, and a range is the union of at
+    most 30 nodes per level of a tree whose nodes cover 1, 16, 256, ... samples. Nodes are plain
+    partial aggregates. ``levels`` of them serve 16 ** levels samples per key. ``width`` is the
+    time slot by which a key's timeline is split between tasks.
     """
-    pairs = samples_in_frame(intervals, samples, keys, width, "left")
-    return pairs.groupBy(interval_id).agg(
-        F.coalesce(F.avg("power"), F.lit(0.0)).alias("gpu_avg_power"),
-        F.coalesce(F.max("memory").cast("double"), F.lit(0.0)).alias("gpu_max_memory"),
+    keys = list(keys)
+    none = F.lit(None)
+    marks = intervals.select(
+        *keys,
+        F.explode(
+            F.array(
+                F.struct(F.col("t_start").alias("t"), F.lit(0).alias("kind")),
+                F.struct(F.col("t_end").alias("t"), F.lit(2).alias("kind")),
+            )
+        ).alias("m"),
+        F.col(interval_id).alias("id"),
+    ).select(*keys, "m.*", "id", none.cast("double").alias("power"), none.cast("double").alias("memory"))
+    # At equal times a start comes before the samples and an end after them.
+    line = samples.select(
+        *keys,
+        "t",
+        F.lit(1).alias("kind"),
+        none.cast(intervals.schema[interval_id].dataType).alias("id"),
+        F.col("power").cast("double").alias("power"),
+        F.col("memory").cast("double").alias("memory"),
+    ).unionByName(marks)
+    place = F.struct("t", "kind", "power", "memory", "id")
+    line = line.withColumn("place", place)
+    slot = F.floor(F.col("t") / F.lit(width))
+    is_sample = F.when(F.col("kind") == 1, 1)
+    line = running(line, keys, "place", {"n": ("count", is_sample)}, slot)
+
+    scale = [_FAN**i for i in range(levels)]
+    node = F.explode(
+        F.array(
+            *[
+                F.struct(F.lit(i).alias("level"), F.floor((F.col("n") - 1) / F.lit(s)).cast("long").alias("node"))
+                for i, s in enumerate(scale)
+            ]
+        )
+    )
+    nodes = (
+        line.filter(F.col("kind") == 1)
+        .select(*keys, node.alias("at"), "power", "memory")
+        .groupBy(*keys, "at")
+        .agg(F.sum("power").alias("power"), F.count("power").alias("powers"), F.max("memory").alias("memory"))
+    )
+
+    ranges = line.filter(F.col("kind") != 1).groupBy(*keys, "id").agg(
+        F.max(F.when(F.col("kind") == 0, F.col("n"))).alias("low"),
+        F.max(F.when(F.col("kind") == 2, F.col("n"))).alias("high"),
+    )
+
+    def span(level: int, low: Column, high: Column) -> Column:
+        nothing = F.array().cast("array<struct<level:int,node:bigint>>")
+        numbers = F.transform(
+            F.sequence(low, high - 1), lambda v: F.struct(F.lit(level).alias("level"), v.alias("node"))
+        )
+        return F.when(high > low, numbers).otherwise(nothing)
+
+    parts = []
+    for i, s in enumerate(scale):
+        low = F.ceil(F.col("low") / F.lit(s)).cast("long")
+        high = F.floor(F.col("high") / F.lit(s)).cast("long")
+        if i + 1 == levels:
+            parts.append(span(i, low, high))
+            continue
+        # What whole parents cover is left to them.
+        up_low = F.ceil(F.col("low") / F.lit(s * _FAN)).cast("long")
+        up_high = F.floor(F.col("high") / F.lit(s * _FAN)).cast("long")
+        parents = up_high > up_low
+        parts.append(span(i, low, F.when(parents, up_low * _FAN).otherwise(high)))
+        parts.append(F.when(parents, span(i, up_high * _FAN, high)).otherwise(span(i, high, high)))
+    wanted = ranges.select(*keys, "id", F.explode_outer(F.concat(*parts)).alias("at"))
+    return (
+        join_carry(wanted, nodes, [*keys, "at"])
+        .groupBy(F.col("id").alias(interval_id))
+        .agg(
+            F.coalesce(F.sum("power") / F.nullif(F.sum("powers"), F.lit(0)), F.lit(0.0)).alias("gpu_avg_power"),
+            F.coalesce(F.max("memory"), F.lit(0.0)).alias("gpu_max_memory"),
+        )
     )
 
 

@@ -144,17 +144,25 @@ def sweep_motion(
 ) -> DataFrame:
     """Skipped, full and block-scored frames for every combination of motion thresholds.
 
-    Pixels are aggregated once per block size, with one count column per difference threshold.
-    The other thresholds only meet per-frame rows.
+    Pixels are aggregated once, to blocks of the sizes' common divisor and with one count column
+    per difference threshold; larger blocks are sums of those. The other thresholds only meet
+    per-frame rows.
     """
     tables = []
     frames = M.FRAME
+    base = math.gcd(*blk_sizes)
+    names = [f"__c{i}" for i in range(len(diff_thres))]
+    cells = M.to_blocks(diffs, base, width, height).groupBy(*frames, "by", "bx").agg(
+        *[F.sum(F.when(F.col("diff") > t, 1).otherwise(0)).alias(n) for n, t in zip(names, diff_thres)]
+    )
     for blk in blk_sizes:
-        blocks = M.to_blocks(diffs, blk, width, height)
         n_blocks = -(-width // blk) * -(-height // blk)
-        counts = blocks.groupBy(*frames, "by", "bx").agg(
-            *[F.sum(F.when(F.col("diff") > t, 1).otherwise(0)).alias(f"__c{i}") for i, t in enumerate(diff_thres)]
-        )
+        up = blk // base
+        counts = cells if up == 1 else cells.groupBy(
+            *frames,
+            F.floor(F.col("by") / F.lit(up)).alias("by"),
+            F.floor(F.col("bx") / F.lit(up)).alias("bx"),
+        ).agg(*[F.sum(n).alias(n) for n in names])
         pairs = [(i, d, a) for i, d in enumerate(diff_thres) for a in blk_act_thres]
         per_frame = counts.groupBy(*frames).agg(
             *[
