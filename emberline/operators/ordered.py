@@ -116,7 +116,7 @@ def _merge(kind: str, before: Column, here: Column) -> Column:
 def running(
     df: DataFrame,
     keys: Sequence[str],
-    order: str,
+    order: str | Sequence[str],
     measures: Mapping[str, tuple[str, Column]],
     chunk: Column | None = None,
     exclusive: bool = False,
@@ -124,15 +124,18 @@ def running(
     """Running aggregates over each key's whole past.
 
     ``measures`` maps an output name to ``(kind, value)``; kind is sum, count, max, min or last
-    (last value that is not NULL). ``order`` is a column unique within the key. With
+    (last value that is not NULL). ``order`` is one or more columns, unique within the key; ``chunk``
+    must not decrease along it and is derived from it when it is a single 1-based position. With
     ``exclusive`` the current row is left out.
     """
-    rows = df.withColumn(_CHUNK, chunk_of(order) if chunk is None else chunk.cast("long"))
+    order = [order] if isinstance(order, str) else list(order)
+    place = F.col(order[0]) if len(order) == 1 else F.struct(*order)
+    rows = df.withColumn(_CHUNK, chunk_of(order[0]) if chunk is None else chunk.cast("long"))
     values = {f"__v_{name}": value for name, (_, value) in measures.items()}
     rows = rows.withColumns(values)
     totals = rows.groupBy(*keys, _CHUNK).agg(
         *[
-            _TOTAL[kind](F.col(f"__v_{name}"), F.col(order)).alias(f"__t_{name}")
+            _TOTAL[kind](F.col(f"__v_{name}"), place).alias(f"__t_{name}")
             for name, (kind, _) in measures.items()
         ]
     )
@@ -147,7 +150,7 @@ def running(
     )
     local = (
         Window.partitionBy(*keys, _CHUNK)
-        .orderBy(order)
+        .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)
     )
     rows = rows.withColumns(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberline.operators.ordered import join_carry, running
@@ -63,15 +63,16 @@ def gpu_stats(
     keys: Sequence[str],
     interval_id: str,
     width: float,
-    levels: int = 10,
+    levels: int = 6,
 ) -> DataFrame:
     """Mean power and peak memory of the samples inside each interval, 0 when there are none.
 
     No (interval, sample) pair is formed, however much the intervals overlap. Samples are numbered
     in time order per key; an interval becomes a range of numbers, and a range is the union of at
     most 30 nodes per level of a tree whose nodes cover 1, 16, 256, ... samples. Nodes are plain
-    partial aggregates. ``levels`` of them serve 16 ** levels samples per key. ``width`` is the
-    time slot by which a key's timeline is split between tasks.
+    partial aggregates. The last level takes what is left, so ``levels`` changes the cost of very
+    long intervals, not the result. ``width`` is the time slot by which a key's timeline is split
+    between tasks.
     """
     keys = list(keys)
     none = F.lit(None)
@@ -94,56 +95,50 @@ def gpu_stats(
         F.col("power").cast("double").alias("power"),
         F.col("memory").cast("double").alias("memory"),
     ).unionByName(marks)
-    place = F.struct("t", "kind", "power", "memory", "id")
-    line = line.withColumn("place", place)
     slot = F.floor(F.col("t") / F.lit(width))
     is_sample = F.when(F.col("kind") == 1, 1)
-    line = running(line, keys, "place", {"n": ("count", is_sample)}, slot)
+    # Samples equal in all columns are interchangeable, so the order need not tell them apart.
+    line = running(line, keys, ["t", "kind", "power", "memory"], {"n": ("count", is_sample)}, slot)
 
-    scale = [_FAN**i for i in range(levels)]
-    node = F.explode(
+    level = F.explode(
         F.array(
             *[
-                F.struct(F.lit(i).alias("level"), F.floor((F.col("n") - 1) / F.lit(s)).cast("long").alias("node"))
-                for i, s in enumerate(scale)
+                F.struct(F.lit(i).alias("level"), F.lit(_FAN**i).cast("long").alias("size"), F.lit(i + 1 == levels).alias("top"))
+                for i in range(levels)
             ]
         )
     )
+    n, size = F.col("n"), F.col("l.size")
     nodes = (
         line.filter(F.col("kind") == 1)
-        .select(*keys, node.alias("at"), "power", "memory")
-        .groupBy(*keys, "at")
+        .select(*keys, "n", "power", "memory", level.alias("l"))
+        .groupBy(*keys, F.col("l.level").alias("level"), F.floor((n - 1) / size).cast("long").alias("node"))
         .agg(F.sum("power").alias("power"), F.count("power").alias("powers"), F.max("memory").alias("memory"))
     )
 
     ranges = line.filter(F.col("kind") != 1).groupBy(*keys, "id").agg(
-        F.max(F.when(F.col("kind") == 0, F.col("n"))).alias("low"),
-        F.max(F.when(F.col("kind") == 2, F.col("n"))).alias("high"),
+        F.max(F.when(F.col("kind") == 0, n)).alias("low"), F.max(F.when(F.col("kind") == 2, n)).alias("high")
     )
-
-    def span(level: int, low: Column, high: Column) -> Column:
-        nothing = F.array().cast("array<struct<level:int,node:bigint>>")
-        numbers = F.transform(
-            F.sequence(low, high - 1), lambda v: F.struct(F.lit(level).alias("level"), v.alias("node"))
-        )
-        return F.when(high > low, numbers).otherwise(nothing)
-
-    parts = []
-    for i, s in enumerate(scale):
-        low = F.ceil(F.col("low") / F.lit(s)).cast("long")
-        high = F.floor(F.col("high") / F.lit(s)).cast("long")
-        if i + 1 == levels:
-            parts.append(span(i, low, high))
-            continue
-        # What whole parents cover is left to them.
-        up_low = F.ceil(F.col("low") / F.lit(s * _FAN)).cast("long")
-        up_high = F.floor(F.col("high") / F.lit(s * _FAN)).cast("long")
-        parents = up_high > up_low
-        parts.append(span(i, low, F.when(parents, up_low * _FAN).otherwise(high)))
-        parts.append(F.when(parents, span(i, up_high * _FAN, high)).otherwise(span(i, high, high)))
-    wanted = ranges.select(*keys, "id", F.explode_outer(F.concat(*parts)).alias("at"))
+    low, high = F.ceil(F.col("low") / size).cast("long"), F.floor(F.col("high") / size).cast("long")
+    up_low = F.ceil(F.col("low") / (size * _FAN)).cast("long") * _FAN
+    up_high = F.floor(F.col("high") / (size * _FAN)).cast("long") * _FAN
+    # What whole parents cover is left to them: only the ends on both sides stay on this level.
+    parents = ~F.col("l.top") & (up_high > up_low)
+    ends = F.array(
+        F.struct(low.alias("a"), F.when(parents, up_low).otherwise(high).alias("b")),
+        F.struct(F.when(parents, up_high).otherwise(high).alias("a"), high.alias("b")),
+    )
+    wanted = (
+        ranges.select(*keys, "id", "low", "high", level.alias("l"))
+        .select(*keys, "id", F.col("l.level").alias("level"), F.explode(ends).alias("e"))
+        .filter(F.col("e.b") > F.col("e.a"))
+        .select(*keys, "id", "level", F.explode(F.sequence(F.col("e.a"), F.col("e.b") - 1)).alias("node"))
+    )
+    found = join_carry(wanted, nodes, [*keys, "level", "node"], "inner").select("id", "power", "powers", "memory")
+    # Intervals without samples still give a row.
+    every = intervals.select(F.col(interval_id).alias("id"))
     return (
-        join_carry(wanted, nodes, [*keys, "at"])
+        found.unionByName(every, allowMissingColumns=True)
         .groupBy(F.col("id").alias(interval_id))
         .agg(
             F.coalesce(F.sum("power") / F.nullif(F.sum("powers"), F.lit(0)), F.lit(0.0)).alias("gpu_avg_power"),
