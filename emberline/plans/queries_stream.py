@@ -18,19 +18,16 @@ from emberline.streaming import sinks
 VF, POS, DET = V.FRAMES, V.POS, V.DET
 
 
-def _as_stream(spark, df: DataFrame, name: str) -> DataFrame:
-    """Land a table as files in the shared folder and read it as a stream."""
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
-    return logs.stream_frame_log(spark, path, df.schema)
-
-
 def _frames(spark, sf) -> DataFrame:
     ship(spark)
-    fr = V.frames(spark, sf).select(
+    return V.frames(spark, sf).select(
         "channel", "video", "frame_idx", "pred_label", "elapsed_time", F.col("ts").cast("timestamp").alias("ts")
     )
-    return _as_stream(spark, fr, "frames-in")
+
+
+def _run(spark, sf, transform, name: str, mode: str = "append") -> DataFrame:
+    """Stream the frames in time order."""
+    return sinks.run_in_epochs(_frames(spark, sf), F.unix_micros("ts"), transform, name, mode)
 
 
 def _labels(df: DataFrame) -> DataFrame:
@@ -45,18 +42,18 @@ def _channel(cte: str, source: str) -> str:
 
 @query("stream_frame_log", f"WITH {VF} SELECT channel, frame_idx, coalesce(pred_label, '(empty)') AS pred_label FROM frames")
 def _stream_log(spark, sf):
-    out = sinks.run_to_table(_frames(spark, sf), "log-out")
+    out = _run(spark, sf, lambda s: s, "log")
     return _labels(out.select("channel", "frame_idx", "pred_label"))
 
 
 @query("stream_tpt_sticky", _channel(f"{VF}, {STICKY}", "sticky"))
 def _tpt_sticky(spark, sf):
-    return _labels(sinks.run_to_table(ST.stream_tpt(_frames(spark, sf), "sticky", W, THR), "tpt"))
+    return _labels(_run(spark, sf, lambda s: ST.stream_tpt(s, "sticky", W, THR), "tpt"))
 
 
 @query("stream_tpt_sliding", _channel(f"{VF}, {SLIDING}", "sliding"))
 def _tpt_sliding(spark, sf):
-    return _labels(sinks.run_to_table(ST.stream_tpt(_frames(spark, sf), "sliding", 20, 0.7), "tpt"))
+    return _labels(_run(spark, sf, lambda s: ST.stream_tpt(s, "sliding", 20, 0.7), "tpt"))
 
 
 @query(
@@ -66,7 +63,7 @@ def _tpt_sliding(spark, sf):
     AS pred_label FROM n""",
 )
 def _tpt_by_detection(spark, sf):
-    return _labels(sinks.run_to_table(ST.stream_tpt(_frames(spark, sf), "by_detection", 20, 0.6), "tpt"))
+    return _labels(_run(spark, sf, lambda s: ST.stream_tpt(s, "by_detection", 20, 0.6), "tpt"))
 
 
 @query(
@@ -75,7 +72,7 @@ def _tpt_by_detection(spark, sf):
     JOIN frames f ON f.video = h.video AND f.frame_idx = h.frame_idx""",
 )
 def _history(spark, sf):
-    return sinks.run_to_table(ST.stream_history_prob(_frames(spark, sf), 8), "history")
+    return _run(spark, sf, lambda s: ST.stream_history_prob(s, 8), "history")
 
 
 @query(
@@ -84,7 +81,7 @@ def _history(spark, sf):
     JOIN frames f ON f.video = g.video AND f.frame_idx = g.frame_idx""",
 )
 def _gate(spark, sf):
-    return sinks.run_to_table(ST.stream_eager_gate(_frames(spark, sf), period=4, window=6), "gate")
+    return _run(spark, sf, lambda s: ST.stream_eager_gate(s, period=4, window=6), "gate")
 
 
 @query(
@@ -95,7 +92,7 @@ def _gate(spark, sf):
     SELECT channel, epoch_us(min(ts)) AS start_us, epoch_us(max(ts)) AS last_us, count(*) AS detections FROM n GROUP BY channel, e""",
 )
 def _episodes(spark, sf):
-    out = sinks.run_to_table(ST.stream_episodes(_frames(spark, sf), "6 hours"), "episodes", "complete")
+    out = _run(spark, sf, lambda s: ST.stream_episodes(s, "6 hours"), "episodes", "complete")
     return out.select(
         "channel",
         F.unix_micros("start_ts").alias("start_us"),
@@ -110,7 +107,7 @@ def _episodes(spark, sf):
     round(count(*) / sum(elapsed_time), 6) AS fps FROM frames GROUP BY 1, 2""",
 )
 def _fps(spark, sf):
-    out = sinks.run_to_table(ST.stream_fps(_frames(spark, sf), "1 day"), "fps", "complete")
+    out = _run(spark, sf, lambda s: ST.stream_fps(s, "1 day"), "fps", "complete")
     return out.select("channel", F.unix_micros("start_ts").alias("start_us"), "frames", F.round("fps", 6).alias("fps"))
 
 
@@ -121,7 +118,7 @@ def _fps(spark, sf):
     SELECT channel, epoch_us(start_ts) AS start_us, count(*) AS frames, round(count(*) / sum(elapsed_time), 6) AS fps FROM w GROUP BY 1, 2""",
 )
 def _fps_sliding(spark, sf):
-    out = sinks.run_to_table(ST.stream_fps(_frames(spark, sf), "1 day", "12 hours"), "fps", "complete")
+    out = _run(spark, sf, lambda s: ST.stream_fps(s, "1 day", "12 hours"), "fps", "complete")
     return out.select("channel", F.unix_micros("start_ts").alias("start_us"), "frames", F.round("fps", 6).alias("fps"))
 
 
@@ -134,8 +131,8 @@ def _fps_sliding(spark, sf):
 )
 def _memory(spark, sf):
     ship(spark)
-    cells = _as_stream(spark, V.cells(spark, sf), "cells-in")
-    return sinks.run_to_table(ST.stream_motion_memory(cells, thr=20), "memory")
+    cells = V.cells(spark, sf)
+    return sinks.run_in_epochs(cells, F.col("frame_idx"), lambda s: ST.stream_motion_memory(s, thr=20), "memory")
 
 
 @query(
@@ -145,7 +142,9 @@ def _memory(spark, sf):
 )
 def _results(spark, sf):
     every, positive = fresh_path(spark, "sink"), fresh_path(spark, "sink")
-    stream = _frames(spark, sf).select("channel", "frame_idx", "pred_label")
+    landed = fresh_path(spark, "frames-in")
+    _frames(spark, sf).select("channel", "frame_idx", "pred_label").write.parquet(landed)
+    stream = logs.stream_frame_log(spark, landed, "channel long, frame_idx long, pred_label string")
     sinks.stream_results(
         stream,
         [
@@ -167,5 +166,5 @@ def _late(spark, sf):
     fr = V.frames(spark, sf).select("channel", "frame_idx", "elapsed_time", F.col("ts").cast("timestamp").alias("ts"))
     # Every frame arrives twice.
     twice = fr.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1)))).drop("copy")
-    out = sinks.run_to_table(ST.late_frames(_as_stream(spark, twice, "twice"), "1 hour"), "late")
+    out = sinks.run_in_epochs(twice, F.unix_micros("ts"), lambda s: ST.late_frames(s, "1 hour"), "late")
     return out.select("channel", "frame_idx", "elapsed_time")

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from emberline.storage import fresh_path
+from emberline.storage import fresh_path, materialize
 
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -27,14 +28,16 @@ def _with_state_store(spark: SparkSession, start: Callable):
             spark.conf.set(_PROVIDER, before)
 
 
-def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+def run_to_table(
+    stream: DataFrame, name: str, mode: str = "append", place: tuple[str, str] | None = None
+) -> DataFrame:
     """Process all available input and return the written result.
 
     Files and offsets go to the shared folder, so a restart after a lost executor goes on from
-    the last committed batch.
+    the last committed batch. Give the same ``place`` (result, progress) to go on with new input.
     """
     spark = stream.sparkSession
-    out, progress = fresh_path(spark, name), fresh_path(spark, f"{name}-progress")
+    out, progress = place or (fresh_path(spark, name), fresh_path(spark, f"{name}-progress"))
     if mode == "append":
         writer = stream.writeStream.format("parquet").option("path", out)
     else:
@@ -45,6 +48,43 @@ def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFram
     return spark.read.schema(stream.schema).parquet(out)
 
 
+EPOCH_ROWS = 10_000_000
+
+
+def run_in_epochs(
+    df: DataFrame,
+    order: Column,
+    transform: Callable[[DataFrame], DataFrame],
+    name: str,
+    mode: str = "append",
+    epoch_rows: int = EPOCH_ROWS,
+) -> DataFrame:
+    """Feed a stored table to a stream in the order of ``order``, a numeric position in time.
+
+    Keyed state needs its rows in order, and a file source orders files by landing time only. So
+    the table lands in epochs of about ``epoch_rows`` rows, each processed before the next lands,
+    all with one progress folder: a task never holds more than one epoch of a channel.
+    """
+    spark = df.sparkSession
+    rows = df.withColumn("__at", order)
+    low, high, n = rows.agg(F.min("__at"), F.max("__at"), F.count(F.lit(1))).first()
+    epochs = max(1, -(-n // epoch_rows))
+    if epochs > 1:
+        rows = materialize(rows, f"{name}-all")
+    source = fresh_path(spark, f"{name}-in")
+    place = (fresh_path(spark, name), fresh_path(spark, f"{name}-progress"))
+    result = None
+    for e in range(epochs):
+        part = rows
+        if epochs > 1:
+            number = F.floor((F.col("__at") - F.lit(low)) * F.lit(epochs) / F.lit(high - low + 1))
+            part = rows.filter(number == e)
+        part.drop("__at").write.mode("append").parquet(source)
+        stream = spark.readStream.schema(df.schema).parquet(source)
+        result = run_to_table(transform(stream), name, mode, place)
+    return result
+
+
 class ResultHandler:
     """Hooks of one sink; override what is needed."""
 

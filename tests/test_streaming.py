@@ -151,3 +151,12 @@ def test_restart_after_a_failed_batch(spark, frames):
 def test_materialize_cuts_the_lineage(spark, frames):
     back = materialize(frames)
     assert back.count() == len(ROWS) and back.schema.simpleString() == frames.schema.simpleString()
+
+
+def test_epochs_go_on_from_the_state(spark, frames):
+    """Many small epochs give what one batch gives."""
+    out = sinks.run_in_epochs(
+        frames, F.col("frame_idx"), lambda s: ST.stream_tpt(s, "sticky", 8, 0.5), "t", epoch_rows=60
+    )
+    label = F.coalesce("pred_label", F.lit("-")).alias("l")
+    assert keyed(out, label) == keyed(T.tpt_sticky(frames, 8, 0.5), label)
