@@ -167,7 +167,7 @@ def _read_raw_errors(spark, sf):
         F.concat(
             L.make_run_name(F.lit("PC"), "dataset", F.lit("no_temp"), F.lit("20240101.000000")), F.lit("_raw.csv")
         ).alias("run"),
-        F.concat(F.lit("E:\\zout\\"), "video", F.lit("_results.csv")).alias("csv_outfile"),
+        F.concat(F.lit("E:\\out\\"), "video", F.lit("_results.csv")).alias("csv_outfile"),
         "preds",
         "target",
         L.confusion_cell("preds", "target").alias("corrected?"),

@@ -110,9 +110,9 @@ def test_ground_truth(spark, video, dataset, want):
 
 
 def test_run_names(spark):
-    name = "1GPU_SV__ds_DFire__mt_no_temp__20250729.171542__perf.csv"
+    name = "BOX1__ds_DFire__mt_no_temp__20240102.030405__perf.csv"
     df = spark.createDataFrame([(name,), ("plain.csv",)], "n string").select(L.parse_run_name("n").alias("r")).collect()
-    assert tuple(df[0].r) == ("1GPU_SV", "DFire", "no_temp", "20250729.171542") and tuple(df[1].r) == (None,) * 4
+    assert tuple(df[0].r) == ("BOX1", "DFire", "no_temp", "20240102.030405") and tuple(df[1].r) == (None,) * 4
 
 
 def test_scores(spark):

@@ -55,11 +55,11 @@ def test_video_meta_and_names(spark, tmp_path):
 
 def test_raw_errors(spark, tmp_path):
     write(
-        tmp_path / "1GPU_SV__ds_DFire__mt_no_temp__20250729.171542_raw.csv",
-        "csv_outfile;preds;target;corrected?\nE:\\zout\\run\\VP22_results.csv;negative;positive;0\n",
+        tmp_path / "BOX1__ds_DFire__mt_no_temp__20240102.030405_raw.csv",
+        "csv_outfile;preds;target;corrected?\nE:\\out\\run\\VP22_results.csv;negative;positive;0\n",
     )
     r = logs.read_raw_errors(spark, str(tmp_path)).first()
-    assert tuple(r) == ("1GPU_SV", "DFire", "no_temp", "20250729.171542", "VP22", "negative", "positive", 0)
+    assert tuple(r) == ("BOX1", "DFire", "no_temp", "20240102.030405", "VP22", "negative", "positive", 0)
 
 
 def test_speed_logs(spark, tmp_path):
