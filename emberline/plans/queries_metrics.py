@@ -240,7 +240,7 @@ INTERVALS = """iv AS (SELECT event_id AS id, user_id, epoch_us(ts) AS t_start,
 
 def _device(spark, sf):
     ev = V.table(spark, sf, "events")
-    micros = F.unix_micros(F.to_utc_timestamp(F.col("ts").cast("timestamp"), F.current_timezone()))
+    micros = V.micros_of("ts")
     iv = ev.filter(F.col("event_type") == "purchase").select(
         F.col("event_id").alias("id"),
         "user_id",
@@ -480,7 +480,8 @@ def _ranking(spark, sf):
 )
 def _split(spark, sf):
     docs = V.table(spark, sf, "documents").select("doc_id", "lang")
-    order = (F.col("doc_id") * F.lit(2654435761)) % 1000003
+    # The same remainder with a product that stays small for any id.
+    order = (F.col("doc_id") % 1000003) * F.lit(2654435761) % 1000003
     return J.stratified_split(
         docs, [("train", 0.7), ("val", 0.2), ("test", 0.1)], "lang", order, 1000003, "doc_id"
     )

@@ -176,6 +176,19 @@ def _read_raw_errors(spark, sf):
     return logs.read_raw_errors(spark, path)
 
 
+@query(
+    "read_machine_names",
+    "SELECT s_suppkey, n_name AS pc_name, 'M' || n_nationkey AS abbr FROM supplier JOIN nation ON s_nationkey = n_nationkey",
+)
+def _read_machines(spark, sf):
+    path = fresh_path(spark, "machines")
+    nation = V.table(spark, sf, "nation").withColumn("abbr", F.concat(F.lit("M"), F.col("n_nationkey").cast("string")))
+    nation.select(F.col("n_name").alias("pc_name"), "abbr").write.options(sep=";", header="true").csv(path)
+    names = logs.read_machine_names(spark, path)
+    hosts = V.table(spark, sf, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
+    return hosts.select("s_suppkey", F.col("n_name").alias("pc_name")).join(names, "pc_name")
+
+
 @query(
     "read_speed_logs",
     """WITH s AS (SELECT 'alg' || l_linenumber AS algorithm, round(avg(l_quantity), 6) AS q,

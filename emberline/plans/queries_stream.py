@@ -21,7 +21,7 @@ VF, POS, DET = V.FRAMES, V.POS, V.DET
 def _frames(spark, sf) -> DataFrame:
     ship(spark)
     return V.frames(spark, sf).select(
-        "channel", "video", "frame_idx", "pred_label", "elapsed_time", F.col("ts").cast("timestamp").alias("ts")
+        "channel", "video", "frame_idx", "pred_label", "elapsed_time", F.timestamp_micros(V.micros_of("ts")).alias("ts")
     )
 
 
@@ -163,7 +163,7 @@ def _results(spark, sf):
 @query("late_frames", f"WITH {VF} SELECT channel, frame_idx, elapsed_time FROM frames")
 def _late(spark, sf):
     ship(spark)
-    fr = V.frames(spark, sf).select("channel", "frame_idx", "elapsed_time", F.col("ts").cast("timestamp").alias("ts"))
+    fr = V.frames(spark, sf).select("channel", "frame_idx", "elapsed_time", F.timestamp_micros(V.micros_of("ts")).alias("ts"))
     # Every frame arrives twice.
     twice = fr.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1)))).drop("copy")
     out = sinks.run_in_epochs(twice, F.unix_micros("ts"), lambda s: ST.late_frames(s, "1 hour"), "late")

@@ -20,6 +20,12 @@ def hour_of(ts: str) -> Column:
     return F.unix_date(F.to_date(ts)) * 24 + F.hour(ts)
 
 
+def micros_of(ts: str) -> Column:
+    """Microseconds since 1970 of a zone-less timestamp, whatever the session's time zone."""
+    seconds = F.unix_date(F.to_date(ts)).cast("long") * 86400 + F.hour(ts) * 3600 + F.minute(ts) * 60
+    return seconds * 1_000_000 + (F.date_part(F.lit("SECOND"), ts) * 1_000_000).cast("long")
+
+
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as a frame log: one camera per user, frames in time order, numbered by hour buckets."""
     ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value", "props")
