@@ -77,8 +77,8 @@ def run_in_epochs(
     for e in range(epochs):
         part = rows
         if epochs > 1:
-            number = F.floor((F.col("__at") - F.lit(low)) * F.lit(epochs) / F.lit(high - low + 1))
-            part = rows.filter(number == e)
+            share = (F.col("__at") - F.lit(low)) / F.lit(float(high - low + 1))
+            part = rows.filter(F.least(F.floor(share * epochs), F.lit(epochs - 1)) == e)
         part.drop("__at").write.mode("append").parquet(source)
         stream = spark.readStream.schema(df.schema).parquet(source)
         result = run_to_table(transform(stream), name, mode, place)
