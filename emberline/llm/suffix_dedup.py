@@ -33,6 +33,7 @@ SPAN = 50
 SEED = 20
 BLOCK_BYTES = 8 << 20
 HOT = 4096
+STEP_ROWS = 1 << 16
 _LOW = np.uint64((1 << 31) - 1)
 _OTHER = np.uint64(0x5851F42D4C957F2D)
 
@@ -141,56 +142,89 @@ def _rest(strings: list[bytes]) -> pa.Array:
     return pa.array(strings, pa.binary())
 
 
-_FILED = "key long, block int, doc long, at long, windows int, string binary"
+_ZSTD = pa.ipc.IpcWriteOptions(compression="zstd")
 
 
-def _filed(key, block, doc, at, windows, string) -> pa.RecordBatch:
-    return pa.record_batch(
-        [pa.array(np.asarray(key).astype(np.int64)), pa.array(np.asarray(block).astype(np.int32)), pa.array(np.asarray(doc).astype(np.int64)), pa.array(np.asarray(at).astype(np.int64)), pa.array(np.asarray(windows).astype(np.int32)), string],
-        names=["key", "block", "doc", "at", "windows", "string"],
-    )
+def packed(batch: pa.RecordBatch) -> bytes:
+    """Rows as one compressed binary value: several times smaller in a shuffle than row by row."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=_ZSTD) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def unpacked(column: pa.ChunkedArray | pa.Array) -> Iterator[pa.RecordBatch]:
+    for value in column:
+        if value.is_valid:
+            yield from pa.ipc.open_stream(value.as_buffer())
+
+
+def packed_by(key: np.ndarray, batch: pa.RecordBatch) -> tuple[np.ndarray, pa.Array]:
+    """The rows of a batch packed for each key."""
+    by = np.argsort(key, kind="stable")
+    first = run_starts(key[by])
+    ends = np.append(first[1:], len(by))
+    return key[by][first], pa.array([packed(batch.take(pa.array(by[a:e]))) for a, e in zip(first, ends)], pa.binary())
+
+
+def merged(doc: np.ndarray, at: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows of one document that follow each other made one."""
+    if not len(doc):
+        return doc, at, windows
+    by = np.lexsort((at, doc))
+    doc, at, windows = doc[by], at[by], windows[by]
+    new = np.append(True, (doc[1:] != doc[:-1]) | (at[1:] > at[:-1] + windows[:-1]))[: len(doc)]
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(doc)) - 1
+    return doc[first], at[first], at[last] + windows[last] - at[first]
+
+
+_FILED = "part int, filed binary"
+_ROWS = ["key", "doc", "at", "windows", "string"]
+
+
+def _filed(key, doc, at, windows, string) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(np.asarray(x).astype(np.int64)) for x in (key, doc, at, windows)] + [string], names=_ROWS)
 
 
 def repeats(docs: DataFrame, n_blocks: int, span: int = SPAN, seed: int = SEED, hot: int = HOT) -> DataFrame:
     """``(block, doc, at, windows)``: windows at ``at`` to ``at + windows - 1`` of ``doc`` also start in an earlier document.
 
-    ``docs(block, doc, text)``, each in the block that a hash of ``doc`` gives it among ``n_blocks``.
+    ``docs(block, docs)`` has packed ``(doc, text)`` rows, each in the block that a hash of ``doc`` gives it among ``n_blocks``.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
-            h, _, _, text = super_strings(*text_buffer(b.column("text")), span, seed)
-            doc = b.column("doc").to_numpy()[text]
-            by = np.lexsort((doc, h))
-            h, doc = h[by], doc[by]
-            first = run_starts(h)
-            last = np.append(first[1:], len(h)) - 1
-            last = last[doc[last] != doc[first]]
-            pick = np.concatenate([first, last])
-            yield pa.record_batch([pa.array(h[pick].view(np.int64)), pa.array(doc[pick])], names=["seed", "doc"])
+        # a document lies in one slice, so two rows with a seed are of two documents; one with a negative block is, too
+        for batch in batches:
+            for block, value in zip(batch.column("block").to_pylist(), batch.column("docs")):
+                for b in slices(unpacked([value]), "text"):
+                    h, _, _, text = super_strings(*text_buffer(b.column("text")), span, seed)
+                    by = np.argsort(h, kind="stable")
+                    h, text = h[by], text[by]
+                    first = run_starts(h)
+                    last = np.append(first[1:], len(h)) - 1
+                    where = np.where(text[first] != text[last[: len(first)]], -1 - block, block) if len(h) else first
+                    yield pa.record_batch([pa.array(h[first].view(np.int64)), pa.array(where.astype(np.int32))], names=["seed", "block"])
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in equal_runs(batches, ["seed"], 1 << 18):
-            h, doc = t.column("seed").to_numpy(), t.column("doc").to_numpy()
+            h, block = t.column("seed").to_numpy(), t.column("block").to_numpy()
             first = run_starts(h)
-            several = np.maximum.reduceat(doc, first) > np.minimum.reduceat(doc, first)
             size = np.diff(np.append(first, len(h)))
+            several = (size > 1) | (np.minimum.reduceat(block, first) < 0)
             rows = np.repeat(several, size)
-            yield pa.record_batch([pa.array(h[rows]), t.column("block").combine_chunks().filter(pa.array(rows)), pa.array(np.repeat(size > hot, size)[rows])], names=["seed", "block", "hot"])
+            yield pa.record_batch([pa.array(h[rows]), pa.array(np.where(block < 0, -1 - block, block)[rows]), pa.array(np.repeat(size > hot, size)[rows])], names=["seed", "block", "hot"])
 
-    counted = docs.mapInArrow(count, "seed long, doc long").withColumn("block", _block_of(n_blocks))
+    counted = docs.mapInArrow(count, "seed long, block int")
     wanted = counted.repartition("seed").sortWithinPartitions("seed").mapInArrow(shared, "seed long, block int, hot boolean")
 
     def file(left: pa.Table, right: pa.Table) -> pa.Table:
         seeds = right.column("seed").to_numpy().view(np.uint64)
         by = np.argsort(seeds)
         seeds, is_hot = seeds[by], np.array(right.column("hot").to_numpy(), dtype=bool)[by]
-        out = [_filed([], [], [], [], [], _rest([]))]
-        if not len(seeds) or not left.num_rows:
-            return pa.Table.from_batches(out)
-        block = left.column("block")[0].as_py()
+        nothing = pa.table([pa.array([], pa.int32()), pa.array([], pa.binary())], names=["part", "filed"])
         held: list[tuple] = []
-        for b in slices(iter(left.combine_chunks().to_batches()), "text"):
+        for b in slices(unpacked(left.column("docs")), "text") if len(seeds) else ():
             buf, offsets = text_buffer(b.column("text"))
             h, first, stop, text = super_strings(buf, offsets, span, seed)
             if not len(h):
@@ -208,68 +242,81 @@ def repeats(docs: DataFrame, n_blocks: int, span: int = SPAN, seed: int = SEED,
             key = np.where(heat, name[:, 0], h)
             held.append((key, name[:, 0], name[:, 1], b.column("doc").to_numpy()[text], start - offsets[text], end - start - span + 1, start, end, np.full(len(h), len(held)), buf))
         if not held:
-            return pa.Table.from_batches(out)
+            return nothing
         key, n0, n1, doc, at, windows, start, end, piece = (np.concatenate([x[i] for x in held]) for i in range(9))
         by = np.lexsort((at, doc, n1, n0))
         first = run_starts(n0[by], n1[by])
         least = np.repeat(doc[by][first], np.diff(np.append(first, len(by))))
         later = doc[by] != least
-        gone = by[later]
-        # of equal strings of one block the first stands for all; those of its own document wait for its answer
-        stands = by[first]
-        own = by[~later]
-        out.append(_filed(doc[gone], np.full(len(gone), block), doc[gone], at[gone], windows[gone], pa.nulls(len(gone), pa.binary())))
-        extra = own[~np.isin(own, stands)]
-        send = np.concatenate([stands, extra])
+        gone, send = by[later], by[~later]
+        # of equal strings of one block those of the first document wait for an answer, the others have theirs
+        found = merged(doc[gone], at[gone], windows[gone])
+        rows = [_filed(np.zeros(len(found[0])), *found, pa.nulls(len(found[0]), pa.binary()))]
         strings = [held[p][9][a:e].tobytes() for p, a, e in zip(piece[send], start[send], end[send])]
-        out.append(_filed(key[send].view(np.int64), np.full(len(send), block), doc[send], at[send], windows[send], _rest(strings)))
-        return pa.Table.from_batches(out)
+        rows.append(_filed(key[send].view(np.int64), doc[send], at[send], windows[send], _rest(strings)))
+        part = np.concatenate([found[0].view(np.uint64) % np.uint64(n_blocks), mix(key[send].copy()) % np.uint64(n_blocks)]).astype(np.int32)
+        parts, values = packed_by(part, pa.Table.from_batches(rows).combine_chunks().to_batches()[0])
+        return pa.table([pa.array(parts), values], names=["part", "filed"])
 
     filed = docs.groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(file, _FILED)
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in equal_runs(batches, ["key"], 1 << 16):
-            string = t.column("string").combine_chunks()
-            known = np.array(string.is_null().to_numpy(zero_copy_only=False), dtype=bool)
-            block, doc, at, windows = (t.column(c).to_numpy() for c in ("block", "doc", "at", "windows"))
-            yield _found(block[known], doc[known], at[known], windows[known])
-            rows = np.flatnonzero(~known)
-            if not len(rows):
+        for values in equal_runs(batches, ["part"], 1):
+            t = pa.Table.from_batches(list(unpacked(values.column("filed")))).combine_chunks()
+            if not t.num_rows:
                 continue
-            buf, offsets = text_buffer(string.take(pa.array(rows)))
-            doc, at, block, windows = doc[rows], at[rows], block[rows], windows[rows].astype(np.int64)
-            name = _identity(prefix_sums(buf), offsets[:-1], offsets[1:], np.zeros(len(rows), np.uint64))
-            by = np.lexsort((doc, name[:, 1], name[:, 0]))
-            first = run_starts(name[by, 0], name[by, 1])
-            size = np.diff(np.append(first, len(by)))
-            later = doc[by] != np.repeat(doc[by][first], size)
-            whole = by[later]
-            yield _found(block[whole], doc[whole], at[whole], windows[whole])
-            one = by[first]  # distinct strings with their smallest documents
-            n = windows[one]
-            owner = np.repeat(np.arange(len(one)), n)
-            step = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-            starts = offsets[:-1][one][owner] + step
-            order, lcp = suffix_order(buf, starts, span)
-            repeat = longest_previous(order, lcp, doc[one][owner]) >= span
-            # the answer of a string holds for its equals in the same document
-            same = np.repeat(np.arange(len(one)), size)[~later]
-            mine = by[~later]
-            n = windows[mine]
-            who = np.repeat(np.arange(len(mine)), n)
-            nth = np.arange(len(who)) - np.repeat(np.cumsum(n) - n, n)
-            base = np.append(0, np.cumsum(windows[one]))[:-1]
-            marked = repeat[base[same][who] + nth]
-            edge = marked & ~np.append(False, marked[:-1] & (who[1:] == who[:-1]))
-            close = marked & ~np.append(marked[1:] & (who[1:] == who[:-1]), False)
-            a, e = np.flatnonzero(edge), np.flatnonzero(close)
-            yield _found(block[mine][who[a]], doc[mine][who[a]], at[mine][who[a]] + nth[a], e - a + 1)
-
-    return filed.repartition("key").sortWithinPartitions("key").mapInArrow(decide, "block int, doc long, at long, windows int")
-
-
-def _found(block, doc, at, windows) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(block.astype(np.int32)), pa.array(doc.astype(np.int64)), pa.array(at.astype(np.int64)), pa.array(np.asarray(windows).astype(np.int32))], names=["block", "doc", "at", "windows"])
+            t = t.take(pa.array(np.argsort(t.column("key").to_numpy(), kind="stable")))
+            # in runs of keys, so that the suffixes of one step are few
+            key = t.column("key").to_numpy()
+            cuts = run_starts(key)
+            cuts = [*cuts[np.append(True, np.diff(cuts // STEP_ROWS) > 0)], len(key)]
+            for a, e in zip(cuts[:-1], cuts[1:]):
+                yield from settle(t.slice(a, e - a).combine_chunks())
+
+    def settle(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        string = t.column("string").combine_chunks()
+        known = np.array(string.is_null().to_numpy(zero_copy_only=False), dtype=bool)
+        doc, at, windows = (t.column(c).to_numpy() for c in ("doc", "at", "windows"))
+        yield _found(doc[known], at[known], windows[known])
+        rows = np.flatnonzero(~known)
+        if not len(rows):
+            return
+        buf, offsets = text_buffer(string.take(pa.array(rows)))
+        doc, at, windows = doc[rows], at[rows], windows[rows]
+        name = _identity(prefix_sums(buf), offsets[:-1], offsets[1:], np.zeros(len(rows), np.uint64))
+        by = np.lexsort((doc, name[:, 1], name[:, 0]))
+        first = run_starts(name[by, 0], name[by, 1])
+        size = np.diff(np.append(first, len(by)))
+        later = doc[by] != np.repeat(doc[by][first], size)
+        whole = by[later]
+        yield _found(doc[whole], at[whole], windows[whole])
+        one = by[first]  # distinct strings with their smallest documents
+        n = windows[one]
+        owner = np.repeat(np.arange(len(one)), n)
+        step = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+        starts = offsets[:-1][one][owner] + step
+        order, lcp = suffix_order(buf, starts, span)
+        repeat = longest_previous(order, lcp, doc[one][owner]) >= span
+        # the answer of a string holds for its equals in the same document
+        same = np.repeat(np.arange(len(one)), size)[~later]
+        mine = by[~later]
+        n = windows[mine]
+        who = np.repeat(np.arange(len(mine)), n)
+        nth = np.arange(len(who)) - np.repeat(np.cumsum(n) - n, n)
+        base = np.append(0, np.cumsum(windows[one]))[:-1]
+        marked = repeat[base[same][who] + nth]
+        edge = marked & ~np.append(False, marked[:-1] & (who[1:] == who[:-1]))
+        close = marked & ~np.append(marked[1:] & (who[1:] == who[:-1]), False)
+        a, e = np.flatnonzero(edge), np.flatnonzero(close)
+        yield _found(doc[mine][who[a]], at[mine][who[a]] + nth[a], e - a + 1)
+
+    found = filed.repartition("part").sortWithinPartitions("part").mapInArrow(decide, "doc long, at long, windows int")
+    return found.withColumn("block", _block_of(n_blocks))
+
+
+def _found(doc: np.ndarray, at: np.ndarray, windows: np.ndarray) -> pa.RecordBatch:
+    doc, at, windows = merged(doc, at, windows)
+    return pa.record_batch([pa.array(doc), pa.array(at), pa.array(windows.astype(np.int32))], names=["doc", "at", "windows"])
 
 
 def _block_of(n_blocks: int):
@@ -281,14 +328,20 @@ def without_repeats(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", t
 
     A byte goes if a string of ``span`` bytes around it also starts in a document with a smaller id;
     strings are judged on the input. ``kept`` has the remaining bytes (cut points may split a character).
-    NULL counts as the empty text; repeated ids count as one document, each row with its own text; a NULL
-    id comes before all others.
+    NULL counts as the empty text; rows with one id are the same document and are taken to have one text; a
+    NULL id comes before all others.
     """
     lowest = -(1 << 63)
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(lowest)).alias("doc"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-int(total) // block_bytes))
-    rows = rows.select(_block_of(n).alias("block"), "doc", "text").repartition("block")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text"):
+            blocks, values = packed_by(b.column("block").to_numpy(), b.select(["doc", "text"]))
+            yield pa.record_batch([pa.array(blocks), values], names=["block", "docs"])
+
+    rows = rows.select(_block_of(n).alias("block"), "doc", "text").mapInArrow(pack, "block int, docs binary").repartition("block")
     found = repeats(rows, n, span, seed, hot)
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -296,9 +349,10 @@ def without_repeats(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", t
         by = np.lexsort((right.column("at").to_numpy(), doc))
         doc, at, windows = doc[by], right.column("at").to_numpy()[by], right.column("windows").to_numpy()[by]
         out: dict[str, list] = {k: [] for k in ("doc", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")}
-        ids = left.column("doc").to_numpy()
+        whole = pa.Table.from_batches(list(unpacked(left.column("docs"))))
+        ids = whole.column("doc").to_numpy()
         lo, hi = np.searchsorted(doc, ids), np.searchsorted(doc, ids, side="right")
-        for i, text in enumerate(left.column("text")):
+        for i, text in enumerate(whole.column("text")):
             data = text.as_buffer().to_pybytes() if text.as_buffer() is not None else b""
             begin, end = at[lo[i] : hi[i]], at[lo[i] : hi[i]] + windows[lo[i] : hi[i]] + span - 1
             kept, spans, removed = data, 0, 0
