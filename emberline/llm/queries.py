@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.llm import decontam, fingerprints, html_text, langid, mixing, quality, simhash, suffix_dedup, url_filter
+from emberline.llm import decontam, fingerprints, html_text, langid, mixing, passages, quality, simhash, suffix_dedup, url_filter
 from emberline.llm.registry import query, table
 
 URL_RULES = (
@@ -144,3 +144,9 @@ def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = suffix_dedup.without_repeats(table(spark, sf_dir, "documents"))
     return done.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@query("op2_substring_dedup")
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = passages.repeated_passages(table(spark, sf_dir, "documents"))
+    return found.withColumnsRenamed({"id": "doc_id", "earlier_id": "earlier_doc_id"})

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberline.llm.frames import equal_runs, run_starts
+from emberline.llm.frames import block_of, equal_runs, packed_by, run_starts, unpacked
 from emberline.llm.tokens import mix, prefix_sums, slices, span_hashes, text_buffer
 
 SPAN = 50
@@ -142,31 +142,6 @@ def _rest(strings: list[bytes]) -> pa.Array:
     return pa.array(strings, pa.binary())
 
 
-_ZSTD = pa.ipc.IpcWriteOptions(compression="zstd")
-
-
-def packed(batch: pa.RecordBatch) -> bytes:
-    """Rows as one compressed binary value: several times smaller in a shuffle than row by row."""
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema, options=_ZSTD) as out:
-        out.write_batch(batch)
-    return sink.getvalue().to_pybytes()
-
-
-def unpacked(column: pa.ChunkedArray | pa.Array) -> Iterator[pa.RecordBatch]:
-    for value in column:
-        if value.is_valid:
-            yield from pa.ipc.open_stream(value.as_buffer())
-
-
-def packed_by(key: np.ndarray, batch: pa.RecordBatch) -> tuple[np.ndarray, pa.Array]:
-    """The rows of a batch packed for each key."""
-    by = np.argsort(key, kind="stable")
-    first = run_starts(key[by])
-    ends = np.append(first[1:], len(by))
-    return key[by][first], pa.array([packed(batch.take(pa.array(by[a:e]))) for a, e in zip(first, ends)], pa.binary())
-
-
 def merged(doc: np.ndarray, at: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Runs of windows of one document that follow each other made one."""
     if not len(doc):
@@ -311,7 +286,7 @@ def repeats(docs: DataFrame, n_blocks: int, span: int = SPAN, seed: int = SEED,
         yield _found(doc[mine][who[a]], at[mine][who[a]] + nth[a], e - a + 1)
 
     found = filed.repartition("part").sortWithinPartitions("part").mapInArrow(decide, "doc long, at long, windows int")
-    return found.withColumn("block", _block_of(n_blocks))
+    return found.withColumn("block", block_of("doc", n_blocks))
 
 
 def _found(doc: np.ndarray, at: np.ndarray, windows: np.ndarray) -> pa.RecordBatch:
@@ -319,10 +294,6 @@ def _found(doc: np.ndarray, at: np.ndarray, windows: np.ndarray) -> pa.RecordBat
     return pa.record_batch([pa.array(doc), pa.array(at), pa.array(windows.astype(np.int32))], names=["doc", "at", "windows"])
 
 
-def _block_of(n_blocks: int):
-    return F.pmod(F.xxhash64("doc"), F.lit(n_blocks)).cast("int")
-
-
 def without_repeats(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED, block_bytes: int = BLOCK_BYTES, hot: int = HOT) -> DataFrame:
     """``(id, n_bytes, n_removed, n_spans, kept_sha256, kept)``: every text as UTF-8 bytes without what an earlier document has.
 
@@ -341,7 +312,7 @@ def without_repeats(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", t
             blocks, values = packed_by(b.column("block").to_numpy(), b.select(["doc", "text"]))
             yield pa.record_batch([pa.array(blocks), values], names=["block", "docs"])
 
-    rows = rows.select(_block_of(n).alias("block"), "doc", "text").mapInArrow(pack, "block int, docs binary").repartition("block")
+    rows = rows.select(block_of("doc", n).alias("block"), "doc", "text").mapInArrow(pack, "block int, docs binary").repartition("block")
     found = repeats(rows, n, span, seed, hot)
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
