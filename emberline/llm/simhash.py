@@ -23,8 +23,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberline.llm.frames import components, equal_runs, run_starts
-from emberline.llm.tokens import LOWER
+from emberline.llm.decontam import shingle_hashes
+from emberline.llm.frames import block_of, components, equal_runs, packed_by, run_starts, unpacked
+from emberline.llm.tokens import LOWER, mix, signed, slices
 from emberline.storage import materialize
 
 SEED = 42
@@ -166,11 +167,157 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(by_print, "fp").select("id", "fp", "component_id")
 
 
-def first_of_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, radius: int = 2) -> DataFrame:
-    """The rows of ``docs`` that stay when one document of each group does: the one with the smallest id.
+# Documents that are similar, not only alike: a wide radius for candidates, and the shingles themselves for the answer.
 
-    Rows that repeat the kept id stay; rows without an id stay as well, as they can't be told apart.
+BANDS, BAND_ROWS = 12, 3
+TIGHT, WIDE = 7, 18
+
+
+def _signatures(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
+    """``(id, ident, n, fp, keys)``: what copies have in common, the number of shingles, bits, and MinHash band keys."""
+    rng = np.random.default_rng(11)
+    odd = rng.integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text"):
+            h, owner = shingle_hashes(b.column("text"), size)
+            first = np.searchsorted(owner, np.arange(b.num_rows + 1))
+            n = np.diff(first)
+            some = np.flatnonzero(n)
+            ident, fp = np.zeros(b.num_rows, np.uint64), np.zeros(b.num_rows, np.uint64)
+            keys = np.zeros((b.num_rows, BANDS), np.uint64)
+            if len(some):
+                at = first[:-1][some]
+                ident[some] = np.add.reduceat(mix(h.copy()), at)
+                bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+                ones = np.add.reduceat(bits, at, axis=0, dtype=np.int32)
+                fp[some] = np.packbits(ones * 2 > n[some][:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
+                for band in range(BANDS):
+                    key = np.full(len(some), band, np.uint64)
+                    for row in range(BAND_ROWS):
+                        key = mix(key ^ np.minimum.reduceat(h * odd[band * BAND_ROWS + row], at))
+                    keys[some, band] = key
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * BANDS), signed(keys.reshape(-1)))
+            yield pa.record_batch([b.column("id"), signed(ident), pa.array(n.astype(np.int64)), signed(fp), flat], names=["id", "ident", "n", "fp", "keys"])
+
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    return source.mapInArrow(run, "id long, ident long, n long, fp long, keys array<long>")
+
+
+def leaders(f: np.ndarray, n: np.ndarray, share: float, tight: int = TIGHT, wide: int = WIDE) -> list[tuple[int, int]]:
+    """``(member, earlier member)`` candidates: each with the first within ``tight`` bits, and those firsts among themselves within ``wide``.
+
+    Sizes that rule out the similarity ``share`` rule a candidate out.
+    """
+    edges: list[tuple[int, int]] = []
+    rows = np.arange(len(f))
+    for radius in (tight, wide):
+        p, m = planes(f[rows]), n[rows]
+        left = np.ones(len(rows), dtype=bool)
+        heads = []
+        for i in range(len(rows)):
+            if not left[i]:
+                continue
+            heads.append(i)
+            hit = np.unpackbits(within(p, int(f[rows[i]]), radius).view(np.uint8), bitorder="little")[: len(rows)].astype(bool)
+            hit &= left & (m >= share * m[i]) & (m * share <= m[i])
+            hit[: i + 1] = False
+            found = np.flatnonzero(hit)
+            edges += [(int(rows[j]), int(rows[i])) for j in found]
+            left[i] = False
+            left[found] = False
+        rows = rows[heads]
+    return edges
+
+
+def similar_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, share: float = 0.8, block_bytes: int = 8 << 20) -> DataFrame:
+    """``(id, earlier)``: documents whose set of word shingles has a Jaccard similarity of ``share`` or more to an earlier one's.
+
+    A document that repeats an earlier one's shingles exactly is paired with the first such. Others are
+    candidates when they share a MinHash band and their bits are near, and every candidate is verified on the
+    shingle sets; a document gets a pair with the leaders of its bands, not with all its likes. Documents
+    without words are copies of each other. Ids should be unique; rows without an id are left out.
+    """
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL")
+    marks = materialize(_signatures(docs, "id", "text", size), "signatures")
+    same = marks.groupBy("ident", "n", "fp").agg(F.min("id").alias("first"), F.min_by("keys", "id").alias("keys"))
+    renamed = same.select(F.col("ident").alias("i"), F.col("n").alias("m"), F.col("fp").alias("f"), "first")
+    copies = marks.join(renamed, (F.col("ident") == F.col("i")) & (F.col("n") == F.col("m")) & (F.col("fp") == F.col("f"))).where("id <> first").select("id", F.col("first").alias("earlier"))
+    keyed = same.where("n > 0").select(F.col("first").alias("id"), "n", "fp", F.explode("keys").alias("key"))
+    keyed = keyed.repartition("key").sortWithinPartitions("key", "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in equal_runs(batches, ["key"]):
+            ids, n, f = (t.column(c).to_numpy() for c in ("id", "n", "fp"))
+            f = f.view(np.uint64)
+            at = run_starts(t.column("key").to_numpy())
+            ends = np.append(at[1:], len(f))
+            two = at[ends - at == 2]
+            near = (np.bitwise_count(f[two] ^ f[two + 1]) <= WIDE) & (np.minimum(n[two], n[two + 1]) >= share * np.maximum(n[two], n[two + 1]))
+            later, earlier = [two[near] + 1], [two[near]]
+            for a, e in zip(at[ends - at > 2].tolist(), ends[ends - at > 2].tolist()):
+                pairs = np.array(leaders(f[a:e], n[a:e], share), dtype=np.int64).reshape(-1, 2) + a
+                later.append(pairs[:, 0])
+                earlier.append(pairs[:, 1])
+            yield pa.record_batch([pa.array(ids[np.concatenate(x)]) for x in (later, earlier)], names=["id", "earlier"])
+
+    maybe = materialize(keyed.mapInArrow(run, "id long, earlier long").distinct(), "candidates")
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n_blocks = max(1, -(-int(total) // block_bytes))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text"):
+            blocks, values = packed_by(b.column("block").to_numpy(), b.select(["id", "text"]))
+            yield pa.record_batch([pa.array(blocks), values], names=["block", "docs"])
+
+    involved = maybe.select("id").unionAll(maybe.select(F.col("earlier").alias("id"))).distinct().withColumnRenamed("id", "__id")
+    rows = docs.join(involved, F.col("id") == F.col("__id"), "left_semi").withColumn("block", block_of("id", n_blocks))
+    rows = rows.mapInArrow(pack, "block int, docs binary").repartition("block")
+
+    def sets(column, wanted: set[int]) -> dict[int, np.ndarray]:
+        out = {}
+        for b in slices(unpacked(column), "text"):
+            ids = b.column("id").to_pylist()
+            h, owner = shingle_hashes(b.column("text"), size)
+            first = np.searchsorted(owner, np.arange(len(ids) + 1))
+            for i, d in enumerate(ids):
+                if d in wanted:
+                    out[d] = np.unique(h[first[i] : first[i + 1]])
+        return out
+
+    def alike(x: np.ndarray, y: np.ndarray) -> bool:
+        common = len(np.intersect1d(x, y, assume_unique=True))
+        return common >= share * (len(x) + len(y) - common) - 1e-9
+
+    def ask(left: pa.Table, right: pa.Table) -> pa.Table:
+        pairs = list(zip(right.column("id").to_pylist(), right.column("earlier").to_pylist()))
+        own = sets(left.column("docs"), {x for p in pairs for x in p})
+        out = []
+        for d, e in pairs:
+            if e not in own:
+                out.append((d, e, own[d].tobytes()))
+            elif alike(own[d], own[e]):
+                out.append((d, e, None))
+        cols = list(zip(*out)) if out else [()] * 3
+        return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary()))], names=["id", "earlier", "shingles"])
+
+    asked = rows.groupBy("block").cogroup(maybe.withColumn("block", block_of("id", n_blocks)).groupBy("block")).applyInArrow(ask, "id long, earlier long, shingles binary")
+
+    def answer(left: pa.Table, right: pa.Table) -> pa.Table:
+        known = right.filter(right.column("shingles").is_null()).select(["id", "earlier"])
+        open_ = right.filter(right.column("shingles").is_valid())
+        own = sets(left.column("docs"), set(open_.column("earlier").to_pylist())) if open_.num_rows else {}
+        ok = [alike(np.frombuffer(s.as_buffer(), np.uint64), own[e]) for e, s in zip(open_.column("earlier").to_pylist(), open_.column("shingles"))]
+        return pa.concat_tables([known, open_.filter(pa.array(ok, pa.bool_())).select(["id", "earlier"])])
+
+    verified = rows.groupBy("block").cogroup(asked.withColumn("block", block_of("earlier", n_blocks)).groupBy("block")).applyInArrow(answer, "id long, earlier long")
+    return copies.unionAll(verified)
+
+
+def first_of_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, share: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` without the documents that :func:`similar_pairs` pairs with an earlier one.
+
+    Every group of paired documents keeps the one with the smallest id. Rows without an id stay.
     """
-    groups = near_duplicates(docs, id_col, text_col, size, radius)
-    others = groups.where(F.col("id") != F.col("component_id")).select(F.col("id").alias("__gone")).distinct()
-    return docs.join(others, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+    gone = similar_pairs(docs, id_col, text_col, size, share).select(F.col("id").alias("__gone")).distinct()
+    return docs.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
