@@ -207,15 +207,26 @@ def versions(texts: list[str], following: np.ndarray) -> list[pa.Array]:
 def edited_versions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each document, its fingerprint, and how alike its text is to an edit of it and to the next document.
 
-    Documents stand by descending id (NULL last, equal ids by their text); the last is followed by the
-    first, a single one by itself. The edit takes its second half from the next document. NULL counts as
+    Documents stand by descending id (NULL last); the last is followed by the
+    first, a single one by itself (equal ids stand by a hash of their texts). The edit takes its second half from the next document. NULL counts as
     the empty text. Texts move once, into ranges of ids; only the rows at the ranges' ends meet again.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    order = [F.col("id").desc_nulls_last(), F.col("text")]
-    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+
+    def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd", compression_level=6)
+        for b in batches:
+            raw = [t.as_buffer() or pa.py_buffer(b"") for t in b.column("text").cast(pa.large_binary())]
+            sizes = pa.array([r.size for r in raw], pa.int64())
+            yield pa.record_batch([b.column("id"), b.column("tie"), sizes, pa.array([codec.compress(r, asbytes=True) for r in raw], pa.binary())], names=["id", "tie", "size", "zipped"])
+
+    # texts cross the shuffle compressed one by one
+    zipped = rows.withColumn("tie", F.xxhash64("text")).select("id", "tie", "text").mapInArrow(small, "id long, tie long, size long, zipped binary")
+    order = [F.col("id").desc_nulls_last(), F.col("tie")]
+    ranged = zipped.repartitionByRange(*order).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd", compression_level=6)
         part = TaskContext.get().partitionId()
         ids: list = []
         texts: list[str] = []
@@ -230,8 +241,8 @@ def edited_versions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             return pa.record_batch([pa.array([kind]), pa.array([part], pa.int32()), pa.array([i], pa.int64()), pa.array([t]), *(pa.nulls(1, k) for k in (pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()))], names=["kind", "part", "id", "text", *RESULT])
 
         for b in batches:
-            for i, t in zip(b.column("id").to_pylist(), b.column("text")):
-                t = t.as_py()
+            for i, size, z in zip(b.column("id").to_pylist(), b.column("size").to_pylist(), b.column("zipped")):
+                t = codec.decompress(z.as_buffer(), size, asbytes=True).decode("utf-8", "surrogatepass")
                 if not begun:
                     begun = True
                     yield end("head", i, t)
