@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from emberline.llm.tokens import LOWER, prefix_sums, slices, span_hashes, words
 
 BITS = 18
-FIT_ROWS = 12_000
+FIT_ROWS = 8_000
 _DENSE = 6
 _SPREAD = 0xD6E8FEB86659FD93
 _MARK = np.ones(256, dtype=bool)
@@ -93,7 +93,7 @@ def telling(numbers: np.ndarray, first: np.ndarray, grades: np.ndarray, n_grades
     ``least`` or more; words that merely come with longer documents stay below.
     """
     size = 1 << BITS
-    grade_of = np.repeat(grades, np.diff(first))
+    grade_of = np.repeat(grades.astype(np.int8), np.diff(first))
     have = np.stack([np.bincount(numbers[grade_of == g], minlength=size) for g in range(n_grades)]).astype(float)
     n = np.bincount(grades, minlength=n_grades).astype(float)
     out = np.zeros(size)
@@ -179,10 +179,11 @@ def train(docs: DataFrame, grades: DataFrame, n_grades: int, id_col: str = "doc_
     grade = np.array([r.grade for r in got], dtype=np.int64)
     if len(set(grade.tolist())) < 2:
         return Model(np.zeros(1 << BITS, np.float32), np.zeros(_DENSE), -4.0 + 0.1 * np.arange(n_grades - 1))
-    each = [np.frombuffer(r.numbers, np.int32) for r in got]
-    first = np.append(0, np.cumsum([len(e) for e in each]))
+    first = np.append(0, np.cumsum([len(r.numbers) // 4 for r in got]))
+    numbers = np.frombuffer(b"".join(r.numbers for r in got), np.int32)
     dense = np.stack([np.frombuffer(r.dense, np.float64) for r in got])
-    return fit(np.concatenate(each), first, dense, grade, n_grades)
+    del got
+    return fit(numbers, first, dense, grade, n_grades)
 
 
 def rate(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep_from: int | None = None, least: float = 0.5) -> DataFrame:
