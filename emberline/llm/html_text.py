@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberline.llm.tokens import slices
+from emberline.llm.tokens import SLICE_BYTES, slices
 from emberline.llm.url_filter import split_url
 
 LEAST_TEXTS = 5  # different main texts of the host under which a template occurs at least
@@ -340,12 +340,23 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     host = F.translate(F.regexp_extract(F.col(url_col), r"(?s)^.*?://([^/?#]*)", 1), capitals, capitals.lower())
     source = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), F.coalesce(host, F.lit("")).alias("host"))
     known = host_templates(pages, id_col, url_col, html_col, least_texts, least_share).withColumnRenamed("host", "site")
-    joined = source.join(known, F.col("host") == F.col("site"), "left").select("id", "url", "html", "templates")
+    kind = source.schema["id"].dataType.simpleString()
+
+    def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd")
+        for b in batches:
+            raw = [_html(h).encode("utf-8", "surrogatepass") for h in b.column("html")]
+            yield pa.record_batch([b.column("id"), b.column("url"), b.column("host"), pa.array([len(r) for r in raw], pa.int64()), pa.array([codec.compress(r, asbytes=True) for r in raw], pa.binary())], names=["id", "url", "host", "size", "zipped"])
+
+    # pages cross the shuffle compressed one by one
+    zipped = source.mapInArrow(small, f"id {kind}, url string, host string, size long, zipped binary")
+    joined = zipped.join(known, F.col("host") == F.col("site"), "left").select("id", "url", "size", "zipped", "templates")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "html"):
-            texts = [Page(_html(h)).text(frozenset(t or ())) for h, t in zip(b.column("html"), b.column("templates").to_pylist())]
+        codec = pa.Codec("zstd")
+        for b in slices(batches, "zipped", SLICE_BYTES // 4):
+            sources = (codec.decompress(z.as_buffer(), n, asbytes=True).decode("utf-8", "surrogatepass") for z, n in zip(b.column("zipped"), b.column("size").to_pylist()))
+            texts = [Page(h).text(frozenset(t or ())) for h, t in zip(sources, b.column("templates").to_pylist())]
             yield pa.record_batch([b.column("id"), b.column("url"), pa.array(texts, pa.string()), pa.array(np.array([len(t) for t in texts], np.int64))], names=["id", "url", "text", "n_chars"])
 
-    kind = joined.schema["id"].dataType.simpleString()
     return joined.mapInArrow(run, f"id {kind}, url string, text string, n_chars long")
