@@ -7,12 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberline.operators.ordered import number_rows, spread_join
-
-
-def name_bucket(name: Column | str) -> Column:
-    """Number of the first two bytes of a text; does not decrease in Spark's text order."""
-    return F.conv(F.rpad(F.substring(F.hex(name), 1, 4), 4, "0"), 16, 10).cast("long")
+from emberline.operators.ordered import number_by_range, number_rows, spread_join
 
 
 def missing_outputs(videos: DataFrame, results: DataFrame, key: str = "video") -> DataFrame:
@@ -62,13 +57,7 @@ def experiment_matrix(
     methods = list(methods)
     if not methods:
         raise ValueError("no methods provided")
-    placed = number_rows(
-        datasets.select("dataset").distinct(),
-        [],
-        ["dataset"],
-        name_bucket("dataset"),
-        "__place",
-    )
+    placed = number_by_range(datasets.select("dataset").distinct(), [], ["dataset"], "__place")
     options = F.array(*[F.struct(F.lit(i).alias("m"), F.lit(m).alias("method")) for i, m in enumerate(methods)])
     out = placed.withColumn("__o", F.explode(options))
     if timestamps is None:
@@ -137,7 +126,7 @@ def stratified_split(
 def class_index(labels: DataFrame, name: str) -> DataFrame:
     """Distinct class names numbered from 0 in name order, with the number of classes."""
     names = labels.filter(F.col(name).isNotNull()).select(F.col(name).alias("class_name")).distinct()
-    placed = number_rows(names, [], ["class_name"], name_bucket("class_name"), "__place")
+    placed = number_by_range(names, [], ["class_name"], "__place")
     return placed.select("class_name", (F.col("__place") - 1).alias("class_id"))
 
 
@@ -147,7 +136,7 @@ def with_class_index(df: DataFrame, name: str) -> DataFrame:
     return spread_join(df, index, [name], F.xxhash64(*df.columns))
 
 
-def rank_rows(df: DataFrame, order: Column, bucket: Column, name: str = "place") -> DataFrame:
-    """Rank over a whole table (equal values share a rank) without one global sort task."""
-    return number_rows(df, [], [order], bucket, name, method="rank")
+def rank_rows(df: DataFrame, order: Column, name: str = "place") -> DataFrame:
+    """Rank over a whole table (equal values share a rank) without one global sort task; NULL and NaN as in ``order``."""
+    return number_by_range(df, [], [order], name, method="rank")
 

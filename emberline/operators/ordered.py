@@ -21,6 +21,8 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from emberline.storage import materialize
+
 CHUNK = 1 << 16  # frames of one video handled by one task at a time
 CELL_CHUNK = 1 << 10  # frames of one pixel handled by one window partition
 SALTS = 16
@@ -86,6 +88,30 @@ def number_rows(
     return out.withColumn(name, position).drop("__pos", "__before", _CHUNK)
 
 
+def number_by_range(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[Column | str],
+    name: str = "row_id",
+    method: str = "row_number",
+) -> DataFrame:
+    """As :func:`number_rows`, for any order: ranges of the rows take the place of a bucket.
+
+    Spark cuts the rows into ranges of about equal size along ``(keys, order)``, with NULL and NaN
+    where ``order`` puts them; equal rows share a range. Ranges are numbered one by one, and a
+    key's count in its earlier ranges is added. The ranged rows are written once.
+    """
+    function = {"row_number": F.row_number, "rank": F.rank}[method]
+    by = [F.col(k) for k in keys] + [F.col(o) if isinstance(o, str) else o for o in order]
+    rows = materialize(df.repartitionByRange(*by).withColumn(_CHUNK, F.spark_partition_id()), "ranges")
+    totals = rows.groupBy(*keys, _CHUNK).agg(F.count(F.lit(1)).alias("__n"))
+    past = Window.partitionBy(*keys).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*keys, _CHUNK, F.coalesce(F.sum("__n").over(past), F.lit(0)).alias("__before"))
+    rows = rows.withColumn("__pos", function().over(Window.partitionBy(*keys, _CHUNK).orderBy(*order)))
+    out = join_carry(rows, offsets, [*keys, _CHUNK])
+    return out.withColumn(name, (F.col("__pos") + F.col("__before")).cast("long")).drop("__pos", "__before", _CHUNK)
+
+
 _TOTAL = {
     "sum": lambda c, _: F.sum(c),
     "count": lambda c, _: F.count(c),
@@ -245,10 +271,11 @@ def with_previous(
     columns: Mapping[str, Column],
     size: int = CELL_CHUNK,
 ) -> DataFrame:
-    """Add the previous row's values (NULL on the first row of a sequence)."""
+    """Add the values of the row before by ``index`` (NULL where the sequence begins or has a hole)."""
     rows = with_halo(df, index, 1, size)
     base = Window.partitionBy(*keys, _CHUNK).orderBy(index)
-    rows = rows.withColumns({name: F.lag(expr).over(base) for name, expr in columns.items()})
+    next_to = F.col(index) - F.lag(index).over(base) == 1
+    rows = rows.withColumns({name: F.when(next_to, F.lag(expr).over(base)) for name, expr in columns.items()})
     return rows.filter(~F.col("__halo")).drop("__halo", _CHUNK)
 
 

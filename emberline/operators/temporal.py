@@ -324,15 +324,9 @@ def speed_guard(frames: DataFrame, min_fps: float = 5.0, after: int = 10, size:
     out = out.withColumn("mean_fps", F.col("__rates") / F.col("__frames"))
     slow = (F.col("__frames") >= after) & (F.col("mean_fps") < min_fps)
     # A frame stays while no earlier frame was slow.
-    out = running(
-        out.withColumn("__slow", slow.cast("int")),
-        ["video"],
-        "frame_idx",
-        {"__stopped": ("max", F.col("__slow"))},
-        chunk_of("frame_idx", size),
-        exclusive=True,
-    )
-    return out.filter(F.coalesce("__stopped", F.lit(0)) == 0).drop("__rates", "__frames", "__slow", "__stopped")
+    stops = out.filter(slow).groupBy("video").agg(F.min("frame_idx").alias("__stop"))
+    out = spread_join(out, stops, ["video"], F.col("frame_idx"))
+    return out.filter(F.col("__stop").isNull() | (F.col("frame_idx") <= F.col("__stop"))).drop("__rates", "__frames", "__stop")
 
 
 def best_so_far(

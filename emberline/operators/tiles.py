@@ -46,7 +46,9 @@ def image_tiles(frames: DataFrame, tile: int = 64, k: int = 1) -> DataFrame:
     """Cut image rows (``video, frame_idx, height, width, channels, data``) into tiles, without a shuffle.
 
     With ``k`` the image is first shrunk to 1/k by area means; its sides must be multiples of k.
+    An unreadable image (height -1) has no tiles.
     """
+    frames = frames.where("height > 0")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -59,10 +59,9 @@ def baseline_delta(perf_long: DataFrame, base: str = "no_temp", method: str = "m
     return out.withColumn("delta", F.col("value") - F.col("base_value"))
 
 
-def speed_ranking(log: DataFrame, bucket: Column | None = None) -> DataFrame:
-    """Algorithms by FPS, fastest first; equal speeds share a rank."""
-    bucket = F.floor(-F.col("fps")) if bucket is None else bucket
-    return rank_rows(log, F.col("fps").desc(), bucket, "place")
+def speed_ranking(log: DataFrame) -> DataFrame:
+    """Algorithms by FPS, fastest first; equal speeds share a rank. NaN comes first and NULL last, as Spark sorts."""
+    return rank_rows(log, F.col("fps").desc(), "place")
 
 
 def first_errors(table: DataFrame, n: int = 10) -> DataFrame:

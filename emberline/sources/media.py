@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberline.functions.labels import video_of_file
-from emberline.operators.ordered import number_rows
+from emberline.operators.ordered import number_by_range
 from emberline.sources.logs import VIDEO_TYPES
 
 
@@ -32,20 +32,19 @@ def read_image_frames(spark: SparkSession, path: str) -> DataFrame:
     """A folder per video, an image per frame; frames follow the order of the file names.
 
     Returns ``video, frame_idx, height, width, channels, data`` with rows of blue-green-red bytes.
-    Numbering touches the file names only.
+    Numbering touches the file names only. An unreadable image keeps its number, with height -1 and no data.
     """
     images = (
         spark.read.format("image")
         .option("recursiveFileLookup", "true")
-        .option("dropInvalid", "true")
+        .option("dropInvalid", "false")
         .load(path)
         .select("image.*")
     )
     video = F.regexp_extract("origin", r"([^/\\]+)[/\\][^/\\]+$", 1)
     images = images.withColumns({"video": video, "__name": video_of_file("origin")})
-    # Any bucket that follows the name order is exact; the name's first bytes are enough here.
-    first = F.conv(F.rpad(F.substring(F.hex("__name"), 1, 12), 12, "0"), 16, 10).cast("long")
-    out = number_rows(images, ["video"], ["__name"], first, "frame_idx")
+    places = number_by_range(images.select("video", "__name", F.col("origin").alias("__origin")), ["video"], ["__name"], "frame_idx")
+    out = images.join(places.select("__origin", "frame_idx"), F.col("origin") == F.col("__origin"))
     return out.select(
         "video", F.col("frame_idx").cast("int"), "height", "width", F.col("nChannels").alias("channels"), "data"
     )
@@ -76,6 +75,6 @@ def image_cells(frames: DataFrame) -> DataFrame:
                         }
                     )
 
-    return frames.mapInPandas(
+    return frames.where("height > 0").mapInPandas(
         unpack, "video string, frame_idx int, y int, x int, b smallint, g smallint, r smallint"
     )

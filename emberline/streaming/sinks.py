@@ -7,7 +7,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.storage import fresh_path, materialize
+from emberline.operators.ordered import number_by_range
+from emberline.storage import fresh_path
 
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -62,24 +63,25 @@ def run_in_epochs(
     """Feed a stored table to a stream in the order of ``order``, a numeric position in time.
 
     Keyed state needs its rows in order, and a file source orders files by landing time only. So
-    the table lands in epochs of about ``epoch_rows`` rows, each processed before the next lands,
-    all with one progress folder: a task never holds more than one epoch of a channel.
+    the table lands in epochs of about ``epoch_rows`` rows (equal times stay together), each
+    processed before the next lands, all with one progress folder: a task never holds more than one
+    epoch of a channel. The table is cut once, into a folder for each epoch; one path serves all
+    sizes. A row without a time has no place in the order, so it is an error, never a late row.
     """
     spark = df.sparkSession
-    rows = df.withColumn("__at", order)
-    low, high, n = rows.agg(F.min("__at"), F.max("__at"), F.count(F.lit(1))).first()
-    epochs = max(1, -(-n // epoch_rows))
-    if epochs > 1:
-        rows = materialize(rows, f"{name}-all")
+    rows = number_by_range(df.withColumn("__at", order), [], ["__at"], "__rank", method="rank")
+    cut = fresh_path(spark, f"{name}-epochs")
+    rows.withColumn("__epoch", F.floor((F.col("__rank") - 1) / F.lit(epoch_rows))).write.partitionBy("__epoch").parquet(cut)
+    landed = spark.read.schema(rows.select("__at").schema.add("__epoch", "long")).parquet(cut)
+    if landed.filter(F.col("__at").isNull()).limit(1).count():
+        raise ValueError("a row without a time can't be put in order")
+    epochs = [r[0] for r in landed.select("__epoch").distinct().sort("__epoch").collect()]
     source = fresh_path(spark, f"{name}-in")
     place = (fresh_path(spark, name), fresh_path(spark, f"{name}-progress"))
     result = None
-    for e in range(epochs):
-        part = rows
-        if epochs > 1:
-            share = (F.col("__at") - F.lit(low)) / F.lit(float(high - low + 1))
-            part = rows.filter(F.least(F.floor(share * epochs), F.lit(epochs - 1)) == e)
-        part.drop("__at").write.mode("append").parquet(source)
+    for e in epochs or [None]:
+        part = df.limit(0) if e is None else spark.read.schema(df.schema).parquet(f"{cut}/__epoch={e}")
+        part.write.mode("append").parquet(source)
         stream = spark.readStream.schema(df.schema).parquet(source)
         result = run_to_table(transform(stream), name, mode, place)
     return result

@@ -212,6 +212,15 @@ def test_ranking_shares_ties(spark):
     assert {r.algorithm: r.place for r in R.speed_ranking(log).collect()} == {"b": 1, "a": 2, "c": 2, "d": 4}
 
 
+def test_ranking_puts_null_and_nan_as_rank_does(spark):
+    from pyspark.sql import Window
+
+    rows = [("a", 10.5), ("b", None), ("c", 20.0), ("d", float("nan")), ("e", None), ("f", 20.0), ("g", -1.0)]
+    log = spark.createDataFrame(rows, "algorithm string, fps double").repartition(5)
+    want = log.withColumn("place", F.rank().over(Window.orderBy(F.col("fps").desc())))
+    assert {r.algorithm: r.place for r in R.speed_ranking(log).collect()} == {r.algorithm: r.place for r in want.collect()}
+
+
 def test_best_trial_and_tie(spark):
     t = spark.createDataFrame([(0, 0.1, None), (1, 0.2, 0.9), (2, 0.3, 0.9), (3, 0.4, 0.5)], "trial_id int, thr double, value double")
     assert R.best_trial(t).first().trial_id == 1

@@ -5,6 +5,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from emberline.plans.catalog import QUERIES, SQL
 from check_oracle import compare, duck
 
 SF = "/root/testdata/sf0.001"
@@ -16,14 +17,15 @@ def con():
     return duck(SF)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
-    df = entry.queries()[name](spark, SF)
-    assert compare(df, con, entry.oracle_sql()[name]) is None
+    df = QUERIES[name](spark, SF)
+    assert compare(df, con, SQL[name]) is None
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql())
 
 
 def test_entry(spark):

@@ -153,6 +153,22 @@ def test_materialize_cuts_the_lineage(spark, frames):
     assert back.count() == len(ROWS) and back.schema.simpleString() == frames.schema.simpleString()
 
 
+def test_epochs_have_rows_not_time_in_common(spark, frames):
+    """An outlying time does not make one epoch of all the rest; a missing time is an error."""
+    at = F.when(F.col("frame_idx") == 1, F.lit(-1_000_000_000)).otherwise(F.col("frame_idx"))
+    seen = []
+
+    def watch(stream):
+        seen.append(1)
+        return ST.stream_tpt(stream, "sticky", 8, 0.5)
+
+    out = sinks.run_in_epochs(frames, at, watch, "t", epoch_rows=60)
+    assert out.count() == frames.count() and len(seen) >= frames.count() // 120
+    lost = F.when(F.col("frame_idx") != 3, F.col("frame_idx"))
+    with pytest.raises(ValueError):
+        sinks.run_in_epochs(frames, lost, watch, "t", epoch_rows=60)
+
+
 def test_epochs_go_on_from_the_state(spark, frames):
     """Many small epochs give what one batch gives."""
     out = sinks.run_in_epochs(
