@@ -33,7 +33,8 @@ SPAN = 50
 SEED = 20
 BLOCK_BYTES = 8 << 20
 HOT = 4096
-STEP_ROWS = 1 << 16
+STEP_ROWS = 1 << 15
+STEP_BYTES = 1 << 20
 _LOW = np.uint64((1 << 31) - 1)
 _OTHER = np.uint64(0x5851F42D4C957F2D)
 
@@ -172,7 +173,7 @@ def repeats(docs: DataFrame, n_blocks: int, span: int = SPAN, seed: int = SEED,
         # a document lies in one slice, so two rows with a seed are of two documents; one with a negative block is, too
         for batch in batches:
             for block, value in zip(batch.column("block").to_pylist(), batch.column("docs")):
-                for b in slices(unpacked([value]), "text"):
+                for b in slices(unpacked([value]), "text", STEP_BYTES):
                     h, _, _, text = super_strings(*text_buffer(b.column("text")), span, seed)
                     by = np.argsort(h, kind="stable")
                     h, text = h[by], text[by]
@@ -199,7 +200,7 @@ def repeats(docs: DataFrame, n_blocks: int, span: int = SPAN, seed: int = SEED,
         seeds, is_hot = seeds[by], np.array(right.column("hot").to_numpy(), dtype=bool)[by]
         nothing = pa.table([pa.array([], pa.int32()), pa.array([], pa.binary())], names=["part", "filed"])
         held: list[tuple] = []
-        for b in slices(unpacked(left.column("docs")), "text") if len(seeds) else ():
+        for b in slices(unpacked(left.column("docs")), "text", STEP_BYTES) if len(seeds) else ():
             buf, offsets = text_buffer(b.column("text"))
             h, first, stop, text = super_strings(buf, offsets, span, seed)
             if not len(h):
