@@ -24,9 +24,11 @@ from pyspark.sql import functions as F
 
 from emberline.llm.tokens import SLICE_BYTES, slices
 from emberline.llm.url_filter import split_url
+from emberline.operators.ordered import spread_join
 
 LEAST_TEXTS = 5  # different main texts of the host under which a template occurs at least
 LEAST_SHARE = 0.2  # and their part of all of the host
+HOST_SALTS = 64
 
 # Element and attribute names of HTML, and words that name page furniture.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -339,7 +341,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     capitals = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     host = F.translate(F.regexp_extract(F.col(url_col), r"(?s)^.*?://([^/?#]*)", 1), capitals, capitals.lower())
     source = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), F.coalesce(host, F.lit("")).alias("host"))
-    known = host_templates(pages, id_col, url_col, html_col, least_texts, least_share).withColumnRenamed("host", "site")
+    known = host_templates(pages, id_col, url_col, html_col, least_texts, least_share)
     kind = source.schema["id"].dataType.simpleString()
 
     def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -350,7 +352,8 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
     # pages cross the shuffle compressed one by one
     zipped = source.mapInArrow(small, f"id {kind}, url string, host string, size long, zipped binary")
-    joined = zipped.join(known, F.col("host") == F.col("site"), "left").select("id", "url", "size", "zipped", "templates")
+    # a host may have a third of all pages: its pages are spread over as many sub-keys
+    joined = spread_join(zipped, known, ["host"], F.col("id"), salts=HOST_SALTS).select("id", "url", "size", "zipped", "templates")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = pa.Codec("zstd")
