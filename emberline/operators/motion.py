@@ -7,7 +7,7 @@ cuts the rows by k*k before anything is shuffled.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -40,13 +40,13 @@ def frame_diff(cells: DataFrame, thr: float = 5, size: int = CELL_CHUNK) -> Data
     return out.withColumn("fg", F.col("diff") > thr)
 
 
-def downscale(cells: DataFrame, k: int, value: str = "gray") -> DataFrame:
-    """Shrink by 1/k: mean of each k x k area, rounded half to even."""
+def downscale(cells: DataFrame, k: int, value: str | Sequence[str] = "gray") -> DataFrame:
+    """Shrink by 1/k: mean of each k x k area, rounded half to even; ``value`` names one channel or several."""
     if k < 1 or int(k) != k:
         raise ValueError("only whole factors are exact: the scale must be 1/k")
     return cells.groupBy(
         *FRAME, F.floor(F.col("y") / F.lit(k)).cast("int").alias("y"), F.floor(F.col("x") / F.lit(k)).cast("int").alias("x")
-    ).agg(F.bround(F.avg(value)).cast("int").alias(value))
+    ).agg(*[F.bround(F.avg(v)).cast("int").alias(v) for v in ([value] if isinstance(value, str) else value)])
 
 
 def two_point_mask(cells: DataFrame) -> DataFrame:

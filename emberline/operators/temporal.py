@@ -27,6 +27,7 @@ from emberline.operators.ordered import (
     running,
     spread_join,
 )
+from emberline.operators.stabilize import temp_stabilize
 
 
 def no_temp(frames: DataFrame) -> DataFrame:
@@ -371,6 +372,7 @@ METHODS: dict[str, Callable[..., DataFrame]] = {
     "temp_tpt": tpt_sticky,
     "temp_tpt_sliding": tpt_sliding,
     "temp_tpt_by_detection": tpt_by_detection,
+    "temp_stabilize": temp_stabilize,
 }
 
 

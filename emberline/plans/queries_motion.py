@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 
 from emberline.deploy import ship
 from emberline.functions import geometry as G
+from emberline.functions import labels as L
+from emberline.operators import metrics as MT
 from emberline.operators import motion as M
+from emberline.operators import temporal as T
 from emberline.operators import tiles as TI
 from emberline.plans import views as V
 from emberline.plans.registry import query
@@ -354,6 +357,80 @@ def _roi_diff(spark, sf):
     return out.withColumn("mean_change", F.round("mean_change", 6))
 
 
+# --- the stabilizing method ---------------------------------------------------------------------------
+#
+# 2 x 2 blocks on the 8 x 8 frames. The block model is ``_logistic``; the frame model scores the mean gray value of the region.
+
+_CLIP = ", ".join(
+    f"CAST({v} AS INTEGER) AS {a}{i}"
+    for a in "xy"
+    for i, v in (
+        (1, f"greatest(0, {a}1 - CASE WHEN {a}2 - {a}1 < 5 THEN (5 - ({a}2 - {a}1)) // 2 ELSE 0 END)"),
+        (2, f"least(8, {a}2 + CASE WHEN {a}2 - {a}1 < 5 THEN (5 - ({a}2 - {a}1)) // 2 ELSE 0 END)"),
+    )
+)
+STABILIZED = f"""{VD}, counted AS (SELECT video, frame_idx, y // 2 AS by_, x // 2 AS bx_, sum(CAST(coalesce(diff > {THR}, FALSE) AS INT)) AS n
+    FROM diffs GROUP BY 1, 2, 3, 4),
+  active AS (SELECT * FROM counted WHERE n >= 3),
+  tests AS (SELECT e.video, e.frame_idx, count(a.n) AS n_active FROM emb e LEFT JOIN active a ON a.video = e.video AND a.frame_idx = e.frame_idx GROUP BY 1, 2),
+  box AS (SELECT a.video, a.frame_idx, min(bx_) * 2 AS x1, min(by_) * 2 AS y1, max(bx_ + 1) * 2 AS x2, max(by_ + 1) * 2 AS y2
+    FROM active a JOIN tests t ON t.video = a.video AND t.frame_idx = a.frame_idx WHERE t.n_active < 4 AND a.n = 4 GROUP BY 1, 2),
+  rois AS (SELECT video, frame_idx, {_CLIP} FROM box
+    UNION ALL SELECT video, frame_idx, 0, 8, 0, 8 FROM tests WHERE n_active >= 4),
+  means AS (SELECT c.video, c.frame_idx, avg(c.gray) - 128 AS m FROM cells c JOIN rois r
+    ON r.video = c.video AND r.frame_idx = c.frame_idx AND c.x >= x1 AND c.x < x2 AND c.y >= y1 AND c.y < y2 GROUP BY 1, 2),
+  stabilized AS (SELECT t.video, t.frame_idx, t.n_active, x1, y1, x2, y2,
+    CASE WHEN r.video IS NULL THEN 'skip' WHEN n_active >= 4 THEN 'full' ELSE 'roi' END AS decision,
+    CASE WHEN r.video IS NULL THEN 'skipped' WHEN m >= 1 THEN 'Fire' WHEN m >= -1 THEN 'None' ELSE 'SmokeOnly' END AS pred_label,
+    CASE WHEN r.video IS NULL THEN 0.0::DOUBLE ELSE round(exp(m / 4) / (exp(m / 4) + exp(0.25::DOUBLE) + exp(-m / 4)), 6) END AS fire
+    FROM tests t LEFT JOIN rois r ON r.video = t.video AND r.frame_idx = t.frame_idx
+    LEFT JOIN means s ON s.video = t.video AND s.frame_idx = t.frame_idx)"""
+
+
+def _region_scores(pixels):
+    mean = pixels.groupBy(*M.FRAME).agg((F.avg("gray") - 128).alias("m"))
+    return mean.select(*M.FRAME, F.array(F.col("m") / 4, F.lit(0.25), -F.col("m") / 4).alias("logits"))
+
+
+def _stabilized(spark, sf):
+    ship(spark)
+    every = V._numbered_vectors(spark, sf).select("video", "frame_idx")
+    return T.apply_method(
+        every,
+        "temp_stabilize",
+        cells=V.cells(spark, sf),
+        **W8,
+        block_fn=_logistic,
+        frame_fn=_region_scores,
+        class_names=V.CLASS_NAMES,
+        blk=2,
+        diff_thres=THR,
+        blk_act_thres=0.5,
+        frm_act_thres=0.25,
+        cls_thres=0.8,
+        min_roi=0.65,
+    )
+
+
+@query("temp_stabilize", f"WITH {STABILIZED} SELECT * FROM stabilized")
+def _temp_stabilize(spark, sf):
+    fire = F.round(F.get("probs", F.lit(0)), 6).alias("fire")
+    return _stabilized(spark, sf).select("video", "frame_idx", "n_active", "roi.*", "decision", "pred_label", fire)
+
+
+@query(
+    "temp_stabilize_metrics",
+    f"""WITH {STABILIZED}, p AS (SELECT pred_label IN ('Fire', 'SmokeOnly') AS pred, CAST(substr(video, 5) AS INTEGER) % 2 = 0 AS truth FROM stabilized),
+    c AS (SELECT count(*) FILTER (pred AND truth) AS tp, count(*) FILTER (pred AND NOT truth) AS fp,
+      count(*) FILTER (NOT pred AND NOT truth) AS tn, count(*) FILTER (NOT pred AND truth) AS fn FROM p)
+    SELECT *, (tp + tn) / (tp + fp + tn + fn) AS accuracy, coalesce(tp / nullif(tp + fp, 0), 0) AS precision, coalesce(tp / nullif(tp + fn, 0), 0) AS recall,
+      coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) AS f1_score, coalesce(fp / nullif(fp + tn, 0), 0) AS fpr FROM c""",
+)
+def _temp_stabilize_metrics(spark, sf):
+    truth = F.substring("video", 5, 9).cast("int") % 2 == 0
+    return MT.classification_metrics(_stabilized(spark, sf), L.is_fire_or_smoke("pred_label"), truth)
+
+
 # --- packed tiles ------------------------------------------------------------------------------------
 
 
