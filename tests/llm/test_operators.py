@@ -325,3 +325,20 @@ def test_windows_cover_texts():
         for s in starts[owner == i] - offsets[i]:
             seen[s : s + langid.WINDOW] = True
         assert seen.all() and (owner == i).sum() == max(1, -(-n // langid.WINDOW))
+
+
+def left_words(docs, **params):
+    return {r.doc_id: r.text.split() for r in passages.without_passages(docs, **params).collect()}
+
+
+def test_passage_that_occurs_many_times(spark):
+    passage, lead = prose(21, 55), " ".join(prose(21, 55).split()[10:18])
+    rows = [doc(1, prose(22, 50) + " " + passage + " " + prose(23, 40)), doc(2, prose(24, 30) + " " + " ".join([passage] * 13)), doc(3, prose(25, 20) + " " + lead + " " + prose(26, 60) + " " + passage + " " + prose(27, 30))]
+    for block_bytes in (8 << 20, 500):
+        got = left_words(spark.createDataFrame(rows, DOCS), block_bytes=block_bytes)
+        assert got[1] == rows[0][1].split() and got[2] == prose(24, 30).split()
+        assert len(got[3]) == len(rows[2][1].split()) - 55
+    # periods: as many words as the longer of two repetitive texts has in common with the other
+    rows = [doc(1, "x y z " + "a b c d e f g " * 30), doc(2, "a b c d e f g " * 50 + "u v w")]
+    got = left_words(spark.createDataFrame(rows, DOCS))
+    assert len(got[2]) <= 3 + 7
