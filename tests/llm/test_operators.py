@@ -342,3 +342,25 @@ def test_passage_that_occurs_many_times(spark):
     rows = [doc(1, "x y z " + "a b c d e f g " * 30), doc(2, "a b c d e f g " * 50 + "u v w")]
     got = left_words(spark.createDataFrame(rows, DOCS))
     assert len(got[2]) <= 3 + 7
+
+
+def edited(text, share, rng):
+    """The text with ``share`` of its words replaced, not the first and the last."""
+    out = text.split()
+    for i in rng.sample(range(1, len(out) - 1), int(share * len(out))):
+        out[i] = "q%d" % rng.randrange(10**6)
+    return " ".join(out)
+
+
+def test_recall_at_share(spark):
+    rng, rows, n = random.Random(5), [], 0
+    for size in (40, 50, 60, 100):
+        for share in (0.1, 0.15, 0.2):
+            for _ in range(20):
+                passage = prose(1000 + n, size)
+                rows.append(doc(2 * n, prose(50_000 + n, 60) + " " + passage + " " + prose(60_000 + n, 60)))
+                rows.append(doc(2 * n + 1, prose(70_000 + n, 60) + " " + edited(passage, share, rng) + " " + prose(80_000 + n, 60)))
+                n += 1
+    got = {(r.id, r.earlier_id) for r in passages.repeated_passages(spark.createDataFrame(rows, DOCS), block_bytes=100_000).collect()}
+    assert len(got & {(2 * i + 1, 2 * i) for i in range(n)}) >= 0.99 * n
+    assert not {d for d, _ in got if d % 2 == 0}
