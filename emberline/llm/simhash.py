@@ -174,13 +174,17 @@ TIGHT, WIDE = 7, 18
 
 
 def _signatures(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """``(id, ident, n, fp, keys)``: what copies have in common, the number of shingles, bits, and MinHash band keys."""
+    """``(id, ident, n, fp, keys)``: what copies have in common, the number of distinct shingles, their bits, and MinHash band keys."""
     rng = np.random.default_rng(11)
     odd = rng.integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             h, owner = shingle_hashes(b.column("text"), size)
+            by = np.lexsort((h, owner))
+            h, owner = h[by], owner[by]
+            once = run_starts(h, owner)
+            h, owner = h[once], owner[once]
             first = np.searchsorted(owner, np.arange(b.num_rows + 1))
             n = np.diff(first)
             some = np.flatnonzero(n)

@@ -399,3 +399,15 @@ def test_passages_across_seams(spark):
         assert len(got[4]) == 100 and len(got[5]) == 100
         found = {(r.id, r.start, r.n_words, r.earlier_id) for r in passages.repeated_passages(docs, block_bytes=block_bytes).collect()}
         assert (4, 50, 60, 3) in found
+
+
+def test_repeats_inside_a_text_leave_it_similar(spark):
+    texts = [prose(400 + i, 150) for i in range(12)]
+    rows = [doc(i, t) for i, t in enumerate(texts)]
+    rows += [doc(100 + i, t + " " + t) for i, t in enumerate(texts)]
+    rows += [doc(200 + i, t + " " + " ".join([" ".join(t.split()[:60])] * 6)) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, DOCS)
+    sets = {r[0]: {tuple(w[i : i + 5]) for w in [r[1].split()] for i in range(len(w) - 4)} for r in rows}
+    for i in range(12):
+        assert all(len(sets[i] & sets[k + i]) >= 0.8 * len(sets[i] | sets[k + i]) for k in (100, 200))
+    assert sorted(r.doc_id for r in simhash.first_of_similar(docs).select("doc_id").collect()) == list(range(12))
