@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.llm import decontam, fingerprints, html_text, langid, mixing, passages, quality, simhash, suffix_dedup, url_filter
+from emberline.llm import decontam, fingerprints, html_text, langid, mixing, passages, quality, runs, simhash, suffix_dedup, url_filter
 from emberline.llm.registry import query, table
 
 URL_RULES = (
@@ -150,3 +150,37 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = passages.repeated_passages(table(spark, sf_dir, "documents"))
     return found.withColumnsRenamed({"id": "doc_id", "earlier_id": "earlier_doc_id"})
+
+
+def looped_tails(docs: DataFrame) -> DataFrame:
+    """``doc_id, text``: a tenth of the documents, by a hash of the id, go on from some word to their end by repeating a few words."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+    rows = docs.select("doc_id", "text", g.alias("g"), F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).alias("w"))
+    rows = rows.withColumn("n", F.coalesce(F.size("w"), F.lit(0)))
+    rows = rows.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")).cast("int"))
+    left = F.col("n") - F.col("a")
+    rows = rows.withColumn("p", (1 + F.floor(left / (3 + F.col("g") % 8))).cast("int"))
+    times = F.ceil(left / F.col("p")).cast("int")
+    tail = F.flatten(F.array_repeat(F.slice("w", F.col("a") + 1, F.col("p")), times))
+    text = F.concat_ws(" ", F.slice("w", F.lit(1), F.col("a")), F.slice(tail, F.lit(1), left))
+    return rows.select("doc_id", F.when(F.col("n") > 0, text).otherwise(F.col("text")).alias("text"))
+
+
+@query("op13_periodic_runs")
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.periodic_runs(looped_tails(table(spark, sf_dir, "documents")))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    # longest first; then the smallest start, then the smallest period
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"], (-r["start"]).alias("s"), (-r["period"]).alias("p"))))
+    found = found.select("id", "runs", "collapsed", F.array_join(lines, "").alias("lines"), best.alias("best"))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("best.s")).alias("start"),
+        F.col("best.length").alias("length"),
+        (-F.col("best.p")).alias("period"),
+        F.floor(1000 * F.col("best.length") / -F.col("best.p")).cast("long").alias("exponent_milli"),
+        F.sha2("lines", 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
