@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.llm import decontam, fingerprints, html_text, langid, mixing, passages, quality, runs, simhash, suffix_dedup, url_filter
+from emberline.llm import decontam, fingerprints, html_text, langid, mixing, neighbors, passages, quality, runs, simhash, suffix_dedup, url_filter
 from emberline.llm.registry import query, table
 
 URL_RULES = (
@@ -184,3 +184,26 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("lines", 256).alias("runs_sha256"),
         F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+_NEAR_SQL = r"""
+WITH RECURSIVE vectors AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+), sound AS (
+  SELECT vec_id, x FROM vectors
+  WHERE x IS NOT NULL AND len(list_filter(x, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(x, lambda c: c <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS u, b.vec_id AS v FROM sound a JOIN sound b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+  WHERE list_cosine_similarity(a.x, b.x) >= 0.9
+), reached AS (
+  SELECT vec_id AS u, vec_id AS v FROM vectors UNION SELECT r.u, l.v FROM reached r JOIN links l ON r.v = l.u
+), counts AS (SELECT u, count(*) AS n FROM links GROUP BY u)
+SELECT r.u AS vec_id, coalesce(any_value(c.n), 0)::BIGINT AS n_links, min(r.v) AS component_id, min(r.v) = r.u AS kept
+FROM reached r LEFT JOIN counts c ON c.u = r.u GROUP BY r.u
+"""
+
+
+@query("op12_embedding_near_dedup", _NEAR_SQL)
+def op12_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neighbors.near_vectors(table(spark, sf_dir, "embeddings"))
+    return found.select(F.col("id").alias("vec_id"), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
