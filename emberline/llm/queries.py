@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.llm import decontam, fingerprints, html_text, langid, mixing, neighbors, passages, quality, runs, simhash, suffix_dedup, url_filter
+from emberline.llm import decontam, fingerprints, html_text, langid, mixing, neighbors, passages, quality, runs, simhash, suffix_dedup, turn_trie, url_filter
 from emberline.llm.registry import query, table
+from emberline.storage import materialize
 
 URL_RULES = (
     ("allow", "org", "/"),
@@ -207,3 +208,63 @@ FROM reached r LEFT JOIN counts c ON c.u = r.u GROUP BY r.u
 def op12_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = neighbors.near_vectors(table(spark, sf_dir, "embeddings"))
     return found.select(F.col("id").alias("vec_id"), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+_TRIE_SQL = r"""
+WITH RECURSIVE given AS (
+  SELECT conv_id AS conv, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS n
+  FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+  SELECT conv, conv - conv % 5 AS base,
+         xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(conv::VARCHAR, ''), lambda c: ord(c)::BIGINT)),
+             lambda a, b: list_reduce(list_concat([xor(a, b)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+                 lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END)), 4294967295::BIGINT) % 9 AS h
+  FROM (SELECT DISTINCT conv FROM given)
+), turns AS (
+  SELECT c.conv, g.n AS place, g.role, g.text FROM convs c JOIN given g ON g.conv = c.base AND g.n <= c.h
+  UNION ALL
+  SELECT c.conv, g.n + 8 AS place, g.role, g.text FROM convs c JOIN given g ON g.conv = c.conv AND g.n > c.h
+), rebuilt AS (
+  SELECT conv, row_number() OVER (PARTITION BY conv ORDER BY place) AS depth, sha256(strlen(role) || ':' || role || text) AS sha, strlen(text) AS n_bytes FROM turns
+), prefixes AS (
+  SELECT conv, 0::BIGINT AS depth, '' AS prefix, NULL AS parent, 0::BIGINT AS n_bytes FROM convs
+  UNION ALL
+  SELECT r.conv, r.depth, sha256(p.prefix || r.sha), p.prefix, r.n_bytes FROM prefixes p JOIN rebuilt r ON r.conv = p.conv AND r.depth = p.depth + 1
+), lengths AS (
+  SELECT conv, max(depth) AS n FROM prefixes GROUP BY conv
+), nodes AS (
+  SELECT p.depth, p.prefix, any_value(p.parent) AS parent, min(p.conv) AS conv, count(*) AS n_convs, any_value(p.n_bytes) AS n_bytes,
+         sha256(coalesce(string_agg(p.conv::VARCHAR, ',' ORDER BY p.conv) FILTER (WHERE p.depth = l.n), '')) AS ends
+  FROM prefixes p JOIN lengths l USING (conv) GROUP BY p.depth, p.prefix
+), children AS (
+  SELECT depth - 1 AS depth, parent AS prefix, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY depth, parent
+), below AS (
+  SELECT a.depth, a.prefix, n.depth AS d, n.prefix AS x, n.parent AS up FROM nodes a JOIN nodes n ON a.depth = n.depth AND a.prefix = n.prefix
+  UNION ALL
+  SELECT b.depth, b.prefix, n.depth, n.prefix, n.parent FROM below b JOIN nodes n ON n.depth = b.d + 1 AND n.parent = b.x
+), sums AS (
+  SELECT b.depth, b.prefix, count(*) FILTER (WHERE c.n IS NULL)::BIGINT AS n_leaves, sum((n.n_convs - 1) * n.n_bytes)::BIGINT AS saved
+  FROM below b JOIN nodes n ON n.depth = b.d AND n.prefix = b.x LEFT JOIN children c ON c.depth = b.d AND c.prefix = b.x GROUP BY b.depth, b.prefix
+)
+SELECT n.conv AS conv_id, n.depth, p.conv AS parent_conv_id, n.n_convs, coalesce(c.n, 0)::BIGINT AS n_children, s.n_leaves, s.saved AS saved_tokens, n.ends AS ends_sha256
+FROM nodes n JOIN sums s ON s.depth = n.depth AND s.prefix = n.prefix LEFT JOIN children c ON c.depth = n.depth AND c.prefix = n.prefix
+LEFT JOIN nodes p ON p.depth = n.depth - 1 AND p.prefix = n.parent
+"""
+
+
+def rebuilt_conversations(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Turns of each conversation with its first ones, up to 8 by a hash of the id, taken from the conversation its family begins with; and all conversations."""
+    turns = turn_trie.numbered_turns(conversations)
+    convs = turns.where("depth = 1").select("conv", (F.col("conv") - F.col("conv") % 5).alias("base"), (F.crc32(F.col("conv").cast("string")) % 9).alias("h"))
+    early = turns.where("depth <= 8").withColumnsRenamed({"conv": "c"})
+    taken = convs.join(early, (F.col("base") == F.col("c")) & (F.col("depth") <= F.col("h"))).select("conv", "depth", "h1", "h2", "n_bytes")
+    there = early.groupBy("c").agg(F.max("depth").alias("n"))
+    facts = convs.join(there, F.col("base") == F.col("c"), "left").select(F.col("conv").alias("c"), "h", F.least("h", F.coalesce("n", F.lit(0))).alias("n"))
+    own = turns.join(facts, F.col("conv") == F.col("c")).where("depth > h").select("conv", (F.col("depth") - F.col("h") + F.col("n")).alias("depth"), "h1", "h2", "n_bytes")
+    return materialize(taken.unionByName(own), "rebuilt"), convs.select("conv")
+
+
+@query("op11_conversation_trie", _TRIE_SQL)
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_trie.prefix_trie(*rebuilt_conversations(table(spark, sf_dir, "conversations"))).drop("n_ends")
