@@ -228,7 +228,7 @@ WITH RECURSIVE given AS (
 ), rebuilt AS (
   SELECT conv, row_number() OVER (PARTITION BY conv ORDER BY place) AS depth, sha256(strlen(role) || ':' || role || text) AS sha, strlen(text) AS n_bytes FROM turns
 ), prefixes AS (
-  SELECT conv, 0::BIGINT AS depth, '' AS prefix, NULL AS parent, 0::BIGINT AS n_bytes FROM convs
+  SELECT conv, 0::BIGINT AS depth, ''::VARCHAR AS prefix, NULL::VARCHAR AS parent, 0::BIGINT AS n_bytes FROM convs
   UNION ALL
   SELECT r.conv, r.depth, sha256(p.prefix || r.sha), p.prefix, r.n_bytes FROM prefixes p JOIN rebuilt r ON r.conv = p.conv AND r.depth = p.depth + 1
 ), lengths AS (
