@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
@@ -13,6 +15,9 @@ from emberline.operators import metrics as MT
 from emberline.operators import motion as M
 from emberline.operators import temporal as T
 from emberline.operators import tiles as TI
+from emberline.plans import report as R
+from emberline.plans import sweep as SW
+from emberline.plans import sweep_stabilize as SS
 from emberline.plans import views as V
 from emberline.plans.registry import query
 
@@ -431,6 +436,79 @@ def _temp_stabilize_metrics(spark, sf):
     return MT.classification_metrics(_stabilized(spark, sf), L.is_fire_or_smoke("pred_label"), truth)
 
 
+_SPACE = {
+    "diff_thres": [THR],
+    "shrink": [1, 2],
+    "blk_size": [2],
+    "blk_act_thres": {"type": "range", "values": [0.3, 0.61, 0.3]},
+    "frm_act_thres": [0.25, 0.4],
+    "cls_thres": {"type": "range", "values": [0.5, 0.81, 0.1]},
+    "min_roi": {"type": "range", "values": [0.5, 0.71, 0.1]},
+}
+_TRIALS = ", ".join(
+    f"({i}, {', '.join(map(str, v))})" for i, v in enumerate(itertools.product(*(SW.values_of(s) for s in _SPACE.values())))
+)
+
+
+def _clipped(side: str) -> str:
+    low, high, least = f"{side}1 * shrink", f"{side}2 * shrink", "CAST(floor(min_roi * 8) AS BIGINT)"
+    grow = f"CASE WHEN {high} - {low} < {least} THEN ({least} - ({high} - {low})) // 2 ELSE 0 END"
+    return f"greatest(0, {low} - {grow}) AS {side}1, least(8, {high} + {grow}) AS {side}2"
+
+
+STABILIZE_SWEEP = f"""{VC}, trials(trial_id, diff_thres, shrink, blk_size, blk_act_thres, frm_act_thres, cls_thres, min_roi) AS (VALUES {_TRIALS}),
+  scaled AS (SELECT 1 AS shrink, video, frame_idx, y, x, gray FROM cells
+    UNION ALL SELECT 2, video, frame_idx, y // 2, x // 2, CAST(round_even(avg(gray), 0) AS INTEGER) FROM cells GROUP BY 2, 3, 4, 5),
+  changes AS (SELECT *, abs(gray - lag(gray) OVER (PARTITION BY shrink, video, y, x ORDER BY frame_idx)) AS diff FROM scaled),
+  counted AS (SELECT shrink, video, frame_idx, y // 2 AS by_, x // 2 AS bx_, sum(CAST(coalesce(diff > {THR}, FALSE) AS INT)) / CAST(4 AS DOUBLE) AS frac FROM changes GROUP BY 1, 2, 3, 4, 5),
+  scored AS (SELECT *, round(1 / (1 + exp(2 - 4 * frac)), 9) AS prob FROM counted),
+  tests AS (SELECT t.*, s.video, s.frame_idx, count(*) FILTER (frac > blk_act_thres) AS n_active, count(*) FILTER (frac > blk_act_thres AND prob >= cls_thres) AS n_kept,
+    min(bx_) FILTER (frac > blk_act_thres AND prob >= cls_thres) * 2 AS x1, max(bx_ + 1) FILTER (frac > blk_act_thres AND prob >= cls_thres) * 2 AS x2,
+    min(by_) FILTER (frac > blk_act_thres AND prob >= cls_thres) * 2 AS y1, max(by_ + 1) FILTER (frac > blk_act_thres AND prob >= cls_thres) * 2 AS y2
+    FROM trials t JOIN scored s ON s.shrink = t.shrink GROUP BY ALL),
+  decided AS (SELECT * EXCLUDE (x1, x2, y1, y2), {_clipped("x")}, {_clipped("y")},
+    CASE WHEN n_active = 0 THEN 'skip' WHEN n_active / (16 / (shrink * shrink)) >= frm_act_thres THEN 'full' WHEN n_kept = 0 THEN 'skip' ELSE 'roi' END AS decision FROM tests),
+  regions AS (SELECT trial_id, video, frame_idx, decision, CASE decision WHEN 'full' THEN 0 ELSE n_active END AS n_scored,
+    CASE decision WHEN 'full' THEN 0 ELSE x1 END AS x1, CASE decision WHEN 'full' THEN 8 ELSE x2 END AS x2,
+    CASE decision WHEN 'full' THEN 0 ELSE y1 END AS y1, CASE decision WHEN 'full' THEN 8 ELSE y2 END AS y2 FROM decided),
+  boxes AS (SELECT DISTINCT video, frame_idx, x1, x2, y1, y2 FROM regions WHERE decision <> 'skip'),
+  means AS (SELECT b.*, avg(c.gray) - 128 AS m FROM boxes b JOIN cells c USING (video, frame_idx) WHERE c.x >= x1 AND c.x < x2 AND c.y >= y1 AND c.y < y2 GROUP BY ALL),
+  preds AS (SELECT r.*, CAST(substr(r.video, 5) AS INTEGER) % 2 = 0 AS truth, decision <> 'skip' AND coalesce(m >= 1 OR m < -1, FALSE) AS pred
+    FROM regions r LEFT JOIN means s ON r.decision <> 'skip' AND (r.video, r.frame_idx, r.x1, r.x2, r.y1, r.y2) = (s.video, s.frame_idx, s.x1, s.x2, s.y1, s.y2)),
+  sums AS (SELECT trial_id, count(*) AS frames, count(*) FILTER (decision = 'skip') AS skipped, count(*) FILTER (decision = 'full') AS "full", count(*) FILTER (decision = 'roi') AS roi,
+    sum(n_scored)::BIGINT AS blocks, coalesce(sum((x2 - x1) * (y2 - y1)) FILTER (decision <> 'skip'), 0)::BIGINT AS pixels,
+    count(*) FILTER (pred AND truth) AS tp, count(*) FILTER (pred AND NOT truth) AS fp, count(*) FILTER (NOT pred AND NOT truth) AS tn, count(*) FILTER (NOT pred AND truth) AS fn
+    FROM preds GROUP BY 1),
+  swept AS (SELECT trial_id, shrink, blk_act_thres::DOUBLE AS blk_act_thres, frm_act_thres::DOUBLE AS frm_act_thres, cls_thres::DOUBLE AS cls_thres, min_roi::DOUBLE AS min_roi,
+    frames, skipped, "full", roi, blocks, pixels, tp, fp, tn, fn, (tp + tn) / frames AS accuracy, coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) AS f1_score,
+    round(frames / (frames * 0.001::DOUBLE + blocks * 0.0001::DOUBLE + pixels * 0.00000001::DOUBLE), 6) AS fps FROM sums JOIN trials USING (trial_id))"""
+
+
+def _box_scores(pixels, keys):
+    mean = pixels.groupBy(*keys).agg((F.avg("gray") - 128).alias("m"))
+    return mean.select(*keys, F.array(F.col("m") / 4, F.lit(0.25), -F.col("m") / 4).alias("logits"))
+
+
+def _swept(spark, sf):
+    ship(spark)
+    every = V._numbered_vectors(spark, sf).select("video", "frame_idx")
+    truth = F.substring("video", 5, 9).cast("int") % 2 == 0
+    out = SS.sweep_stabilize(every, truth, V.cells(spark, sf), 8, 8, _logistic, _box_scores, V.CLASS_NAMES, _SPACE)
+    params = ["trial_id", "shrink", "blk_act_thres", "frm_act_thres", "cls_thres", "min_roi"]
+    counts = ["frames", "skipped", "full", "roi", "blocks", "pixels", "tp", "fp", "tn", "fn"]
+    return out.select(*params, *counts, "accuracy", "f1_score", F.round("fps", 6).alias("fps"))
+
+
+@query("sweep_stabilize", f"WITH {STABILIZE_SWEEP} SELECT * FROM swept")
+def _sweep_stabilize(spark, sf):
+    return _swept(spark, sf)
+
+
+@query("best_stabilize", f"WITH {STABILIZE_SWEEP} SELECT * FROM swept ORDER BY f1_score DESC, trial_id LIMIT 1")
+def _best_stabilize(spark, sf):
+    return R.best_trial(_swept(spark, sf), "f1_score")
+
+
 # --- packed tiles ------------------------------------------------------------------------------------
 
 
