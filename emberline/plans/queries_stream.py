@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from emberline.deploy import ship
 from emberline.functions import labels as L
@@ -135,29 +137,43 @@ def _memory(spark, sf):
     return sinks.run_in_epochs(cells, F.col("frame_idx"), lambda s: ST.stream_motion_memory(s, thr=20), "memory")
 
 
+class _FailsOnce(sinks.ParquetHandler):
+    """A sink that is cut off in its fourth batch, after the sinks before it have written theirs."""
+
+    failed = False
+
+    def handle(self, batch: DataFrame, batch_id: int) -> None:
+        if batch_id == 3 and not self.failed:
+            self.failed = True
+            raise RuntimeError("cut off")
+        super().handle(batch, batch_id)
+
+
 @query(
     "stream_results",
-    f"""WITH {VF} SELECT 'all' AS sink, count(*) AS rows, CAST(sum(frame_idx) AS BIGINT) AS idx FROM frames
-    UNION ALL SELECT 'positive', count(*), CAST(sum(frame_idx) AS BIGINT) FROM frames WHERE {POS}""",
+    f"""WITH {VF} SELECT 'all' AS sink, count(*) AS rows, CAST(sum(frame_idx) AS BIGINT) AS idx, 5 AS batches FROM frames
+    UNION ALL SELECT 'positive', count(*), CAST(sum(frame_idx) AS BIGINT), 5 FROM frames WHERE {POS}""",
 )
 def _results(spark, sf):
-    every, positive = fresh_path(spark, "sink"), fresh_path(spark, "sink")
-    landed = fresh_path(spark, "frames-in")
-    _frames(spark, sf).select("channel", "frame_idx", "pred_label").write.parquet(landed)
-    stream = logs.stream_frame_log(spark, landed, "channel long, frame_idx long, pred_label string")
-    sinks.stream_results(
-        stream,
-        [
-            sinks.ParquetHandler(every),
-            sinks.ParquetHandler(positive, lambda b: b.filter(L.is_fire_or_smoke("pred_label"))),
-        ],
-    )
-    schema = stream.schema
+    """Five batches to two sinks; the fourth is repeated after a failure between the sinks."""
+    every, positive, progress = (fresh_path(spark, "sink") for _ in range(3))
+    frames = _frames(spark, sf).select("channel", "frame_idx", "pred_label", "ts")
+    stream = sinks.land_in_epochs(frames, F.unix_micros("ts"), "results")
+    handlers = [
+        sinks.ParquetHandler(every),
+        _FailsOnce(positive, lambda b: b.filter(L.is_fire_or_smoke("pred_label"))),
+    ]
+    try:
+        sinks.stream_results(stream, handlers, progress=progress)
+    except StreamingQueryException:
+        sinks.stream_results(stream, handlers, progress=progress)
+    schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.IntegerType())])
     both = (
         spark.read.schema(schema).parquet(every).withColumn("sink", F.lit("all"))
         .unionByName(spark.read.schema(schema).parquet(positive).withColumn("sink", F.lit("positive")))
     )
-    return both.groupBy("sink").agg(F.count(F.lit(1)).alias("rows"), F.sum("frame_idx").alias("idx"))
+    sums = {"rows": F.count(F.lit(1)), "idx": F.sum("frame_idx"), "batches": F.count_distinct("batch").cast("int")}
+    return both.groupBy("sink").agg(*[c.alias(n) for n, c in sums.items()])
 
 
 @query("late_frames", f"WITH {VF} SELECT channel, frame_idx, elapsed_time FROM frames")
@@ -168,3 +184,69 @@ def _late(spark, sf):
     twice = fr.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1)))).drop("copy")
     out = sinks.run_in_epochs(twice, F.unix_micros("ts"), lambda s: ST.late_frames(s, "1 hour"), "late")
     return out.select("channel", "frame_idx", "elapsed_time")
+
+
+# --- late rows ---------------------------------------------------------------------------------------
+#
+# Frames arrive in epochs of four days. One in ten comes six days late, one in five twice, the second time an hour later, one in
+# fifty again ten days later. A batch drops what lies behind the watermark of the batch before it: the latest time of all
+# epochs up to the last but one, less an hour. What the watermark has not passed at the end is still open.
+
+_HOUR = 3_600_000_000
+_EPOCH = 96 * _HOUR
+
+
+def _arrivals(spark, sf) -> DataFrame:
+    ship(spark)
+    fr = V.frames(spark, sf).select("channel", "frame_idx", "pred_label", "elapsed_time", F.timestamp_micros(V.micros_of("ts")).alias("ts"))
+    n = F.col("frame_idx") + F.col("channel")
+    times = F.array_compact(F.array(F.when(n % 10 == 7, 144).otherwise(0), F.when(n % 5 == 0, 1), F.when(n % 50 == 10, 240)))
+    return fr.withColumn("late", F.explode(times)).withColumn("arrival", F.unix_micros("ts") + F.col("late") * F.lit(_HOUR)).drop("late")
+
+
+ARRIVALS = f"""{VF}, times AS (SELECT channel, frame_idx, pred_label, elapsed_time, ts, epoch_us(ts) AS us,
+    unnest(list_filter([CASE WHEN (frame_idx + channel) % 10 = 7 THEN 144 ELSE 0 END, CASE WHEN (frame_idx + channel) % 5 = 0 THEN 1 END,
+      CASE WHEN (frame_idx + channel) % 50 = 10 THEN 240 END], lambda h: h IS NOT NULL)) AS late FROM frames),
+  arrivals AS (SELECT *, (us + late * {_HOUR}::BIGINT) // {_EPOCH} AS epoch FROM times),
+  ends AS (SELECT e.epoch, (SELECT max(us) // 1000 * 1000 - {_HOUR} FROM arrivals a WHERE a.epoch < e.before) AS mark
+    FROM (SELECT epoch, lag(epoch) OVER (ORDER BY epoch) AS before FROM (SELECT DISTINCT epoch FROM arrivals)) e),
+  marked AS (SELECT a.*, coalesce(e.mark, 0) AS mark FROM arrivals a JOIN ends e USING (epoch)),
+  last AS (SELECT max(us) // 1000 * 1000 - {_HOUR} AS mark FROM arrivals),
+  kept AS (SELECT DISTINCT channel, frame_idx, pred_label, elapsed_time, ts, us FROM marked WHERE us > mark)"""
+
+
+def _arriving(spark, sf, transform, name: str) -> DataFrame:
+    frames = _arrivals(spark, sf)
+    arrival = F.col("arrival")
+    return sinks.run_in_epochs(frames, arrival, transform, name, epoch=F.floor(arrival / _EPOCH))
+
+
+@query("late_frames_dropped", f"WITH {ARRIVALS} SELECT channel, frame_idx, elapsed_time, count(*) AS n FROM kept GROUP BY ALL")
+def _late_dropped(spark, sf):
+    out = _arriving(spark, sf, lambda s: ST.late_frames(s, "1 hour"), "late")
+    return out.groupBy("channel", "frame_idx", "elapsed_time").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "stream_fps_closed",
+    f"""WITH {ARRIVALS}, w AS (SELECT channel, elapsed_time, mark, us // (24 * {_HOUR}::BIGINT) * 24 * {_HOUR} AS start_us FROM marked)
+    SELECT channel, start_us, count(*) AS frames, round(count(*) / sum(elapsed_time), 6) AS fps FROM w
+    WHERE start_us + 24 * {_HOUR}::BIGINT > mark AND start_us + 24 * {_HOUR}::BIGINT <= (SELECT mark FROM last) GROUP BY 1, 2""",
+)
+def _fps_closed(spark, sf):
+    out = _arriving(spark, sf, lambda s: ST.stream_fps(s, "1 day", delay="1 hour"), "fps")
+    return out.select("channel", F.unix_micros("start_ts").alias("start_us"), "frames", F.round("fps", 6).alias("fps"))
+
+
+@query(
+    "stream_episodes_closed",
+    f"""WITH {ARRIVALS}, h AS (SELECT channel, us, CASE WHEN us >= lag(us) OVER (PARTITION BY channel ORDER BY us) + 12 * {_HOUR}::BIGINT THEN 1 ELSE 0 END AS new
+      FROM kept WHERE {POS}),
+    n AS (SELECT channel, us, sum(new) OVER (PARTITION BY channel ORDER BY us) AS e FROM h)
+    SELECT channel, min(us) AS start_us, max(us) AS last_us, count(*) AS detections FROM n GROUP BY channel, e
+    HAVING max(us) + 12 * {_HOUR}::BIGINT <= (SELECT mark FROM last)""",
+)
+def _episodes_closed(spark, sf):
+    """Late and repeated frames go first, so that none of them opens an episode again."""
+    out = _arriving(spark, sf, lambda s: ST.stream_episodes(ST.late_frames(s, "1 hour"), "12 hours", None), "episodes")
+    return out.select("channel", F.unix_micros("start_ts").alias("start_us"), F.unix_micros("last_ts").alias("last_us"), "detections")

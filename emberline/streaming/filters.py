@@ -248,9 +248,12 @@ def stream_motion_memory(cells: DataFrame, thr: float = 1, active_at: int = 10,
 # --- event time --------------------------------------------------------------------------------
 
 
-def stream_episodes(frames: DataFrame, gap: str = "30 seconds", delay: str = "1 minute") -> DataFrame:
-    """Detection episodes on event time: a session closes after ``gap`` without fire or smoke."""
-    hits = frames.filter(is_fire_or_smoke("pred_label")).withWatermark("ts", delay)
+def stream_episodes(frames: DataFrame, gap: str = "30 seconds", delay: str | None = "1 minute") -> DataFrame:
+    """Detection episodes on event time: a session closes after ``gap`` without fire or smoke.
+
+    In Append mode a session is given out once the watermark has passed its end. Without ``delay`` the frames have a watermark already.
+    """
+    hits = (frames.withWatermark("ts", delay) if delay else frames).filter(is_fire_or_smoke("pred_label"))
     return (
         hits.groupBy("channel", F.session_window("ts", gap).alias("w"))
         .agg(F.count(F.lit(1)).alias("detections"), F.max("ts").alias("last_ts"))
@@ -259,7 +262,7 @@ def stream_episodes(frames: DataFrame, gap: str = "30 seconds", delay: str = "1
 
 
 def stream_fps(frames: DataFrame, width: str = "10 seconds", slide: str | None = None, delay: str = "1 minute") -> DataFrame:
-    """Frames and mean rate per channel and time window."""
+    """Frames and mean rate per channel and time window; in Append mode once the watermark has passed a window's end."""
     window = F.window("ts", width, slide) if slide else F.window("ts", width)
     total = F.sum("elapsed_time")
     return (

@@ -7,8 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.operators.ordered import number_by_range
-from emberline.storage import fresh_path
+from emberline.storage import fresh_path, materialize
 
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -39,17 +38,53 @@ def run_to_table(
     """
     spark = stream.sparkSession
     out, progress = place or (fresh_path(spark, name), fresh_path(spark, f"{name}-progress"))
+    done: list[str] = []
     if mode == "append":
         writer = stream.writeStream.format("parquet").option("path", out)
     else:
-        # Complete mode: every batch replaces the table with the state so far.
-        writer = stream.writeStream.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(out))
+        # Complete mode: every batch has all results so far, in a folder of its own, so that a whole one is always there.
+        def write(df: DataFrame, batch_id: int) -> None:
+            df.write.mode("overwrite").parquet(f"{out}/{batch_id}")
+            done.append(f"{out}/{batch_id}")
+
+        writer = stream.writeStream.foreachBatch(write)
     writer = writer.outputMode(mode).option("checkpointLocation", progress).trigger(availableNow=True)
     _with_state_store(spark, writer.start)
-    return spark.read.schema(stream.schema).parquet(out)
+    if mode != "append" and not done:
+        raise ValueError("no new input to go on with")
+    return spark.read.schema(stream.schema).parquet(out if mode == "append" else done[-1])
 
 
 EPOCH_ROWS = 10_000_000
+LEAST_EPOCHS = 5
+
+
+def land_in_epochs(
+    df: DataFrame, order: Column, name: str, epoch_rows: int = EPOCH_ROWS, epoch: Column | None = None
+) -> DataFrame:
+    """A stored table as a stream whose micro-batches are epochs in the order of ``order``, a numeric position in time.
+
+    Keyed state needs its rows in order, and a file source orders files by landing time only. So
+    the table is cut into ranges of at most about ``epoch_rows`` rows (equal times stay together), or by ``epoch``, an
+    ascending number, and each lands as one file, one after the other, to be read one by one. A row without a time has no place in the
+    order, so it is an error, never a late row.
+    """
+    spark = df.sparkSession
+    rows = materialize(df.withColumns({"__at": order, "__epoch": F.lit(0).cast("long") if epoch is None else epoch.cast("long")}), f"{name}-all")
+    n, known = rows.agg(F.count(F.lit(1)), F.count(F.when(F.col("__at").isNotNull() & F.col("__epoch").isNotNull(), 1))).first()
+    if known < n:
+        raise ValueError("a row without a time can't be put in order")
+    cut, source = fresh_path(spark, f"{name}-epochs"), fresh_path(spark, f"{name}-in")
+    if epoch is None:
+        rows = rows.repartitionByRange(max(LEAST_EPOCHS, -(-n // epoch_rows)), "__at").withColumn("__epoch", F.spark_partition_id().cast("long"))
+    else:
+        rows = rows.repartition("__epoch")
+    rows.drop("__at").write.partitionBy("__epoch").parquet(cut)
+    epochs = sorted(r[0] for r in spark.read.schema("__epoch long").parquet(cut).distinct().collect()) if n else [None]
+    for e in epochs:
+        part = df.limit(0) if e is None else spark.read.schema(df.schema).parquet(f"{cut}/__epoch={e}")
+        part.coalesce(1).write.mode("append").parquet(source)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(source)
 
 
 def run_in_epochs(
@@ -59,32 +94,10 @@ def run_in_epochs(
     name: str,
     mode: str = "append",
     epoch_rows: int = EPOCH_ROWS,
+    epoch: Column | None = None,
 ) -> DataFrame:
-    """Feed a stored table to a stream in the order of ``order``, a numeric position in time.
-
-    Keyed state needs its rows in order, and a file source orders files by landing time only. So
-    the table lands in epochs of about ``epoch_rows`` rows (equal times stay together), each
-    processed before the next lands, all with one progress folder: a task never holds more than one
-    epoch of a channel. The table is cut once, into a folder for each epoch; one path serves all
-    sizes. A row without a time has no place in the order, so it is an error, never a late row.
-    """
-    spark = df.sparkSession
-    rows = number_by_range(df.withColumn("__at", order), [], ["__at"], "__rank", method="rank")
-    cut = fresh_path(spark, f"{name}-epochs")
-    rows.withColumn("__epoch", F.floor((F.col("__rank") - 1) / F.lit(epoch_rows))).write.partitionBy("__epoch").parquet(cut)
-    landed = spark.read.schema(rows.select("__at").schema.add("__epoch", "long")).parquet(cut)
-    if landed.filter(F.col("__at").isNull()).limit(1).count():
-        raise ValueError("a row without a time can't be put in order")
-    epochs = [r[0] for r in landed.select("__epoch").distinct().sort("__epoch").collect()]
-    source = fresh_path(spark, f"{name}-in")
-    place = (fresh_path(spark, name), fresh_path(spark, f"{name}-progress"))
-    result = None
-    for e in epochs or [None]:
-        part = df.limit(0) if e is None else spark.read.schema(df.schema).parquet(f"{cut}/__epoch={e}")
-        part.write.mode("append").parquet(source)
-        stream = spark.readStream.schema(df.schema).parquet(source)
-        result = run_to_table(transform(stream), name, mode, place)
-    return result
+    """Feed a stored table to one stream, epoch by epoch, see :func:`land_in_epochs`: a task never holds more than one epoch of a channel."""
+    return run_to_table(transform(land_in_epochs(df, order, name, epoch_rows, epoch)), name, mode)
 
 
 class ResultHandler:
@@ -108,10 +121,16 @@ class ParquetHandler(ResultHandler):
         out.write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
 
 
-def stream_results(stream: DataFrame, handlers: Sequence[ResultHandler], mode: str = "append") -> int:
-    """Give every micro-batch to all handlers; the batch is computed once. Returns the batch count."""
+def stream_results(
+    stream: DataFrame, handlers: Sequence[ResultHandler], mode: str = "append", progress: str | None = None
+) -> int:
+    """Give every micro-batch to all handlers; the batch is computed once. Returns the batch count.
+
+    A batch that fails in one handler was perhaps taken by others: started again with the same
+    ``progress`` folder, the stream repeats it under the same number, by which handlers replace what they have.
+    """
     spark = stream.sparkSession
-    progress = fresh_path(spark, "results-progress")
+    progress = progress or fresh_path(spark, "results-progress")
     seen = []
 
     def fan_out(batch: DataFrame, batch_id: int) -> None:

@@ -156,17 +156,55 @@ def test_materialize_cuts_the_lineage(spark, frames):
 def test_epochs_have_rows_not_time_in_common(spark, frames):
     """An outlying time does not make one epoch of all the rest; a missing time is an error."""
     at = F.when(F.col("frame_idx") == 1, F.lit(-1_000_000_000)).otherwise(F.col("frame_idx"))
-    seen = []
+    out = sinks.run_in_epochs(frames, at, lambda s: ST.stream_tpt(s, "sticky", 8, 0.5), "t", epoch_rows=60)
+    assert out.count() == frames.count()
 
-    def watch(stream):
-        seen.append(1)
-        return ST.stream_tpt(stream, "sticky", 8, 0.5)
+    class Sizes(sinks.ResultHandler):
+        rows: list[int] = []
 
-    out = sinks.run_in_epochs(frames, at, watch, "t", epoch_rows=60)
-    assert out.count() == frames.count() and len(seen) >= frames.count() // 120
+        def handle(self, batch, batch_id):
+            self.rows.append(batch.count())
+
+    batches = sinks.stream_results(sinks.land_in_epochs(frames, at, "t", epoch_rows=60), [Sizes()])
+    assert batches == len(Sizes.rows) >= frames.count() // 120 and max(Sizes.rows) <= frames.count() // 2
     lost = F.when(F.col("frame_idx") != 3, F.col("frame_idx"))
     with pytest.raises(ValueError):
-        sinks.run_in_epochs(frames, lost, watch, "t", epoch_rows=60)
+        sinks.run_in_epochs(frames, lost, lambda s: s, "t", epoch_rows=60)
+
+
+def test_late_rows_and_closed_windows(spark):
+    """Append mode: what lies behind the watermark of the batch before goes, what it has passed closes, the rest stays open."""
+    hour = 3600
+    rows = [(1, 1, "Fire", 0, 0), (1, 2, "Fire", 1 * hour, 0), (1, 3, "None", 30 * hour, 1), (1, 4, "Fire", 50 * hour, 2)]
+    rows += [(1, 2, "Fire", 1 * hour, 1), (1, 5, "Fire", 2 * hour, 3), (1, 6, "Fire", 29 * hour, 2), (1, 7, "Fire", 80 * hour, 3), (1, 8, "Fire", 3 * hour, 1)]
+    df = spark.createDataFrame(rows, "channel long, frame_idx long, pred_label string, s long, epoch long")
+    df = df.withColumn("ts", F.timestamp_seconds(F.col("s") + 240 * hour)).withColumn("elapsed_time", F.lit(0.5))
+
+    def run(transform):
+        return sinks.run_in_epochs(df, F.col("epoch") * 1000 + F.col("frame_idx"), transform, "t", epoch=F.col("epoch")).collect()
+
+    kept = sorted(r.frame_idx for r in run(lambda s: ST.late_frames(s.select("channel", "frame_idx", "ts"), "1 hour")))
+    assert kept == [1, 2, 3, 4, 6, 7, 8]  # 2 again is a repeat; 5 comes when the watermark is at 49 h; 8 and 6 come while it is at 0 h and 29 h less
+    closed = run(lambda s: ST.stream_episodes(ST.late_frames(s.drop("s", "epoch"), "1 hour"), "12 hours", None))
+    assert sorted((r.start_ts.timestamp() // hour - 240, r.detections) for r in closed) == [(0, 3), (29, 1), (50, 1)]
+    windows = run(lambda s: ST.stream_fps(s.drop("s", "epoch"), "1 day", delay="1 hour"))
+    assert sorted((r.start_ts.timestamp() // hour - 240, r.frames, r.fps) for r in windows) == [(0, 4, 2.0), (24, 2, 2.0), (48, 1, 2.0)]
+
+
+def test_failed_batch_is_repeated_under_its_number(spark, tmp_path):
+    from pyspark.errors import StreamingQueryException
+
+    from emberline.plans.queries_stream import _FailsOnce
+
+    df = spark.range(100).withColumn("at", F.col("id"))
+    stream = sinks.land_in_epochs(df, F.col("at"), "t")
+    first, second = sinks.ParquetHandler(f"{tmp_path}/a"), _FailsOnce(f"{tmp_path}/b")
+    progress = f"{tmp_path}/progress"
+    with pytest.raises(StreamingQueryException):
+        sinks.stream_results(stream, [first, second], progress=progress)
+    assert sinks.stream_results(stream, [first, second], progress=progress) == 2
+    for sink in (first, second):
+        assert sorted(r.id for r in spark.read.parquet(sink.path).collect()) == list(range(100))
 
 
 def test_epochs_go_on_from_the_state(spark, frames):
