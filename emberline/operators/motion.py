@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from emberline.functions import geometry as G
+from emberline.operators.clipmaps import FAN, chunk_starts, packed_map
 from emberline.operators.ordered import CELL_CHUNK, chunk_of, join_carry, spread_join, with_previous
 
 FRAME = ["video", "frame_idx"]
@@ -25,16 +26,18 @@ PIXEL = ["video", "y", "x"]
 # --- foreground masks --------------------------------------------------------------------------
 
 
-def frame_diff(cells: DataFrame, thr: float = 5, size: int = CELL_CHUNK) -> DataFrame:
+def frame_diff(cells: DataFrame, thr: float = 5, size: int = CELL_CHUNK, segment: str | None = None) -> DataFrame:
     """Difference with the same pixel of the previous frame; ``fg`` is NULL on the first frame.
 
-    With colour channels the gray value is taken of the difference, not of the frames.
+    With colour channels the gray value is taken of the difference, not of the frames. With ``segment``, a column
+    as of :func:`temporal.segment_on_resize`, the first frame of every segment has no previous one.
     """
+    pixel = [*PIXEL, segment] if segment else PIXEL
     if "gray" in cells.columns:
-        out = with_previous(cells, PIXEL, "frame_idx", {"__gray": F.col("gray")}, size)
+        out = with_previous(cells, pixel, "frame_idx", {"__gray": F.col("gray")}, size)
         out = out.withColumn("diff", F.abs(F.col("gray") - F.col("__gray")).cast("int")).drop("__gray")
     else:
-        out = with_previous(cells, PIXEL, "frame_idx", {f"__{c}": F.col(c) for c in "bgr"}, size)
+        out = with_previous(cells, pixel, "frame_idx", {f"__{c}": F.col(c) for c in "bgr"}, size)
         change = {c: F.abs(F.col(c) - F.col(f"__{c}")) for c in "bgr"}
         out = out.withColumn("diff", G.gray_of(change["b"], change["g"], change["r"])).drop("__b", "__g", "__r")
     return out.withColumn("fg", F.col("diff") > thr)
@@ -78,8 +81,8 @@ def median_diff_threshold(diffs: DataFrame) -> DataFrame:
 #
 # A pixel's counter moves by +4 on a change and by -1 otherwise, and stays within 0..24.
 # A run of such steps acts as x -> clip(x + shift, low, high), and two such maps chain into
-# one. So a long sequence is cut into chunks: reduce each chunk to its map, chain the maps per
-# tile, replay each chunk from its own start. No task holds more than one tile-chunk of pixels.
+# one. So a long sequence is cut into chunks: reduce each chunk to its map, chain the maps of a
+# tile in a tree, replay each chunk from its own start. No task holds more than one tile-chunk of pixels.
 
 _UP, _DOWN, _TOP = 4, -1, 24
 TILE = 16
@@ -103,7 +106,7 @@ def _steps(pdf: pd.DataFrame, tile: int) -> tuple[np.ndarray, np.ndarray, np.nda
 
 
 def motion_memory(
-    masks: DataFrame, active_at: int = 10, tile: int = TILE, size: int = 256, segment: str | None = None
+    masks: DataFrame, active_at: int = 10, tile: int = TILE, size: int = 256, segment: str | None = None, fan: int = FAN
 ) -> DataFrame:
     """Per-pixel change counter from a ``fg`` mask; adds ``memory`` and ``active``.
 
@@ -131,33 +134,19 @@ def motion_memory(
             shift += step
             low = np.clip(low + step, 0, _TOP)
             high = np.clip(high + step, 0, _TOP)
-        row = dict(zip([*keys, "__chunk"], key))
-        return pd.DataFrame([{**row, "map": np.concatenate([shift, low, high]).astype("<i4").tobytes()}])
+        return pd.DataFrame([{**dict(zip([*keys, "__chunk"], key)), "map": packed_map(shift, low, high)}])
 
     maps = rows.groupBy(*keys, "__chunk").applyInPandas(
         reduce_chunk, T.StructType([*key_fields, T.StructField("map", T.BinaryType())])
     )
-
-    def chain(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("__chunk").reset_index(drop=True)
-        state = np.zeros(n, dtype=np.int32)
-        starts = []
-        for blob in pdf["map"]:
-            starts.append(state.astype("<i4").tobytes())
-            shift, low, high = np.frombuffer(blob, dtype="<i4").reshape(3, n)
-            state = np.minimum(np.maximum(state + shift, low), high)
-        return pdf.drop(columns="map").assign(start=starts)
-
-    starts = maps.groupBy(*keys).applyInPandas(
-        chain, T.StructType([*key_fields, T.StructField("start", T.BinaryType())])
-    )
+    starts = chunk_starts(maps, keys, fan)
 
     out_fields = [*[rows.schema[k] for k in [*seq, "frame_idx", "y", "x"]], T.StructField("memory", T.IntegerType())]
     out_names = [f.name for f in out_fields[:-1]]
 
     def replay(key: tuple, pdf: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
         steps, frame_at, pixel_at = _steps(pdf, tile)
-        state = np.frombuffer(start["start"].iloc[0], dtype="<i4").copy()
+        state = np.frombuffer(start["start"].iloc[0], dtype=np.uint8).astype(np.int32)
         history = np.empty(steps.shape, dtype=np.int32)
         for i, step in enumerate(steps):
             state = np.clip(state + step, 0, _TOP)

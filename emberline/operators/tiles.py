@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from emberline.functions.geometry import LUMA
+from emberline.operators.clipmaps import FAN, chunk_starts, packed_map
 from emberline.operators.grouped import append_to_sorted_groups, map_sorted_groups
 from emberline.operators.motion import FRAME, _DOWN, _TOP, _UP, grid_size
 from emberline.operators.ordered import CELL_CHUNK, chunk_of, with_halo, with_previous
@@ -150,14 +151,18 @@ def _with_fractions(counts: DataFrame, blk: int, width: int | Column) -> DataFra
     )
 
 
-def with_previous_tile(tiles: DataFrame, size: int = CELL_CHUNK) -> DataFrame:
-    return with_previous(tiles, TILE_KEY, "frame_idx", {"prev": F.col("data")}, size)
+def with_previous_tile(tiles: DataFrame, size: int = CELL_CHUNK, segment: str | None = None) -> DataFrame:
+    """The bytes of the previous frame's tile as ``prev``; NULL on the first frame, with ``segment`` on the first of every segment."""
+    return with_previous(tiles, [*TILE_KEY, segment] if segment else TILE_KEY, "frame_idx", {"prev": F.col("data")}, size)
 
 
 def block_motion(
-    tiles: DataFrame, thr: float, blk: int, width: int | Column, tile: int, size: int = CELL_CHUNK
+    tiles: DataFrame, thr: float, blk: int, width: int | Column, tile: int, size: int = CELL_CHUNK, segment: str | None = None
 ) -> DataFrame:
-    """Changed pixels per block against the previous frame; zero on the first frame."""
+    """Changed pixels per block against the previous frame; zero on the first frame (of a segment).
+
+    Block numbers count ``width`` pixels to a row; frames of several sizes are told apart by ``by`` and ``bx``.
+    """
 
     def changed(part: pa.Table, shape: tuple[int, ...]) -> np.ndarray:
         now = _stack(part["data"], shape)
@@ -166,7 +171,7 @@ def block_motion(
         prev = np.frombuffer(b"".join(filled), dtype=np.uint8).reshape(now.shape)
         return _changed(now, prev, thr)
 
-    return _count_blocks(with_previous_tile(tiles, size), ["data", "prev"], changed, tile, blk, width)
+    return _count_blocks(with_previous_tile(tiles, size, segment), ["data", "prev"], changed, tile, blk, width)
 
 
 def frame_block_motion(
@@ -215,16 +220,19 @@ def frame_block_motion(
     return _with_fractions(rows.mapInArrow(run, _COUNTS), blk, width)
 
 
-def motion_memory(tiles: DataFrame, thr: float, size: int = 256) -> DataFrame:
+def motion_memory(tiles: DataFrame, thr: float, size: int = 256, segment: str | None = None, fan: int = FAN) -> DataFrame:
     """Change counters of every tile and frame as bytes in ``memory`` (one per pixel).
 
-    Chunks are reduced to their map x -> clip(x + shift, low, high), the maps are chained per
-    tile, and each chunk is replayed from its start, which travels as a row before its frames.
+    Chunks are reduced to their map x -> clip(x + shift, low, high), the maps of a tile are chained in a
+    tree, and each chunk is replayed from its start, which travels as a row before its frames. With
+    ``segment`` the counters start again in every segment.
     """
-    rows = with_previous_tile(tiles).withColumns(
+    rows = with_previous_tile(tiles, segment=segment).withColumns(
         {"__chunk": chunk_of("frame_idx", size), "__place": F.col("frame_idx").cast("long")}
     )
-    key = [*TILE_KEY, "__chunk"]
+    tile_key = [*TILE_KEY, segment] if segment else TILE_KEY
+    key = [*tile_key, "__chunk"]
+    key_fields = [rows.schema[k] for k in key]
 
     def steps_of(g: dict) -> np.ndarray:
         shape = (int(g["h"][0]), int(g["w"][0]), int(g["channels"][0]))
@@ -245,7 +253,7 @@ def motion_memory(tiles: DataFrame, thr: float, size: int = 256) -> DataFrame:
             low = np.clip(low + step, 0, _TOP)
             high = np.clip(high + step, 0, _TOP)
         blob = np.empty(1, dtype=object)
-        blob[0] = np.concatenate([steps.sum(axis=0), low, high]).astype("<i4").tobytes()
+        blob[0] = packed_map(steps.sum(axis=0), low, high)
         return {**{k: g[k][:1] for k in key}, "map": blob}
 
     maps = map_sorted_groups(
@@ -253,25 +261,9 @@ def motion_memory(tiles: DataFrame, thr: float, size: int = 256) -> DataFrame:
         key,
         ["__place"],
         reduce_chunk,
-        "video string, ty int, tx int, __chunk long, map binary",
-    )
-
-    def chain(g: dict) -> dict | None:
-        if len(g["map"]) == 1:
-            return None
-        state, starts = None, []
-        for blob in g["map"]:
-            shift, low, high = np.frombuffer(blob, dtype="<i4").reshape(3, -1)
-            state = np.zeros_like(shift) if state is None else state
-            starts.append(state.astype(np.uint8).tobytes())
-            state = np.minimum(np.maximum(state + shift, low), high)
-        out = np.empty(len(starts) - 1, dtype=object)
-        out[:] = starts[1:]
-        return {**{k: g[k][1:] for k in key}, "start": out}
-
-    starts = map_sorted_groups(
-        maps, TILE_KEY, ["__chunk"], chain, "video string, ty int, tx int, __chunk long, start binary"
+        T.StructType([*key_fields, T.StructField("map", T.BinaryType())]),
     )
+    starts = chunk_starts(maps, tile_key, fan)
     lead = starts.withColumn("__place", F.lit(-1).cast("long"))
     marked = rows.withColumn("start", F.lit(None).cast("binary")).unionByName(lead, allowMissingColumns=True)
 

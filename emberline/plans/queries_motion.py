@@ -547,3 +547,59 @@ def _tile_memory(spark, sf):
 def _frame_motion(spark, sf):
     ship(spark)
     return TI.frame_block_motion(V.images(spark, sf), THR, 2, 7)
+
+
+# --- frames that change their size -----------------------------------------------------------------------
+
+RESIZED_MEMORY = f"""{V.RESIZED}, mem AS (SELECT video, segment, y, x, frame_idx, 0 AS memory FROM diffs WHERE diff IS NULL
+    UNION ALL SELECT d.video, d.segment, d.y, d.x, d.frame_idx, greatest(0, least(24, m.memory + CASE WHEN d.diff > {THR} THEN 4 ELSE -1 END))
+    FROM mem m JOIN diffs d ON d.video = m.video AND d.segment = m.segment AND d.y = m.y AND d.x = m.x AND d.frame_idx = m.frame_idx + 1)"""
+
+
+@query("frame_diff_resize", f"WITH {V.RESIZED} SELECT video, frame_idx, y, x, diff, diff > {THR} AS fg FROM diffs")
+def _frame_diff_resize(spark, sf):
+    out = M.frame_diff(V.resized_cells(spark, sf), THR, segment="segment")
+    return out.select("video", "frame_idx", "y", "x", "diff", "fg")
+
+
+@query("motion_memory_resize", f"WITH RECURSIVE {RESIZED_MEMORY} SELECT video, frame_idx, y, x, memory, memory >= 10 AS active FROM mem")
+def _memory_resize(spark, sf):
+    ship(spark)
+    masks = M.frame_diff(V.resized_cells(spark, sf), THR, segment="segment")
+    out = M.motion_memory(masks, size=4, segment="segment", fan=2)
+    return out.select("video", "frame_idx", "y", "x", "memory", "active")
+
+
+@query(
+    "tile_memory_resize",
+    f"""WITH RECURSIVE {RESIZED_MEMORY} SELECT video, frame_idx, y // 2 AS "by", x // 2 AS bx, CAST(sum(CAST(memory >= 10 AS INT)) AS BIGINT) AS fg_count
+    FROM mem GROUP BY 1, 2, 3, 4""",
+)
+def _tile_memory_resize(spark, sf):
+    ship(spark)
+    memory = TI.motion_memory(V.resized_tiles(spark, sf), THR, size=4, segment="segment", fan=2)
+    return TI.memory_blocks(memory, 2, 16, tile=16).select("video", "frame_idx", "by", "bx", "fg_count")
+
+
+@query(
+    "tile_block_motion_resize",
+    f"""WITH {V.RESIZED} SELECT video, frame_idx, y // 2 AS "by", x // 2 AS bx, CAST(sum(CAST(coalesce(diff > {THR}, FALSE) AS INT)) AS BIGINT) AS fg_count
+    FROM diffs GROUP BY 1, 2, 3, 4""",
+)
+def _tile_motion_resize(spark, sf):
+    ship(spark)
+    out = TI.block_motion(V.resized_tiles(spark, sf), THR, 2, 16, tile=16, segment="segment")
+    return out.select("video", "frame_idx", "by", "bx", "fg_count")
+
+
+@query(
+    "motion_memory_tree",
+    f"""WITH RECURSIVE {VD}, mem AS (SELECT video, y, x, frame_idx, 0 AS memory FROM diffs WHERE frame_idx = 1
+      UNION ALL SELECT d.video, d.y, d.x, d.frame_idx, greatest(0, least(24, m.memory + CASE WHEN d.diff > {THR} THEN 4 ELSE -1 END))
+      FROM mem m JOIN diffs d ON d.video = m.video AND d.y = m.y AND d.x = m.x AND d.frame_idx = m.frame_idx + 1)
+    SELECT video, frame_idx, y, x, memory FROM mem""",
+)
+def _memory_tree(spark, sf):
+    """Chunks of two frames, joined four at a time."""
+    ship(spark)
+    return M.motion_memory(_diffs(spark, sf), tile=4, size=2, fan=4).select("video", "frame_idx", "y", "x", "memory")

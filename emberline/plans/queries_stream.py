@@ -137,6 +137,19 @@ def _memory(spark, sf):
     return sinks.run_in_epochs(cells, F.col("frame_idx"), lambda s: ST.stream_motion_memory(s, thr=20), "memory")
 
 
+@query(
+    "stream_motion_memory_resize",
+    f"""WITH RECURSIVE {V.RESIZED}, mem AS (SELECT video, segment, y, x, frame_idx, 0 AS memory FROM diffs WHERE diff IS NULL
+      UNION ALL SELECT d.video, d.segment, d.y, d.x, d.frame_idx, greatest(0, least(24, m.memory + CASE WHEN d.diff > 20 THEN 4 ELSE -1 END))
+      FROM mem m JOIN diffs d ON d.video = m.video AND d.segment = m.segment AND d.y = m.y AND d.x = m.x AND d.frame_idx = m.frame_idx + 1)
+    SELECT video, frame_idx, y, x, memory, memory >= 10 AS active FROM mem""",
+)
+def _memory_resize(spark, sf):
+    ship(spark)
+    cells = V.resized_cells(spark, sf)
+    return sinks.run_in_epochs(cells, F.col("frame_idx"), lambda s: ST.stream_motion_memory(s, thr=20, segment="segment"), "memory")
+
+
 class _FailsOnce(sinks.ParquetHandler):
     """A sink that is cut off in its fourth batch, after the sinks before it have written theirs."""
 

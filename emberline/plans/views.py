@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberline.operators.ordered import number_rows
+from emberline.operators.temporal import segment_on_resize
 from emberline.operators.tiles import bytes_of
 
 CLASS_NAMES = ["Fire", "None", "SmokeOnly"]
@@ -130,6 +131,38 @@ def cells_bgr(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def resized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector as a frame of 8 x 8 pixels or of 4 rows of 16, changing every seventh frame, with its ``segment``."""
+    emb = _numbered_vectors(spark, sf_dir)
+    wide = F.floor(F.col("frame_idx") / 7) % 2 == 1
+    return segment_on_resize(emb.withColumns({"height": F.when(wide, 4).otherwise(8), "width": F.when(wide, 16).otherwise(8)}))
+
+
+def resized_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = resized(spark, sf_dir).select("video", "frame_idx", "segment", "width", F.posexplode("embedding").alias("p", "v"))
+    return rows.select(
+        "video",
+        "frame_idx",
+        "segment",
+        F.floor(F.col("p") / F.col("width")).cast("int").alias("y"),
+        (F.col("p") % F.col("width")).cast("int").alias("x"),
+        _byte(F.col("v")).alias("gray"),
+    )
+
+
+def resized_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resized(spark, sf_dir).select(
+        "video",
+        "frame_idx",
+        "segment",
+        *[F.lit(0).alias(n) for n in ("ty", "tx")],
+        F.col("height").alias("h"),
+        F.col("width").alias("w"),
+        F.lit(1).alias("channels"),
+        bytes_of(F.transform("embedding", _byte)).alias("data"),
+    )
+
+
 EMB = """emb AS (
   SELECT 'emb_' || label AS video, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS frame_idx,
          vec_id, label, embedding FROM embeddings)"""
@@ -157,6 +190,18 @@ DIFFS = (
 )
 
 
+RESIZED = (
+    EMB
+    + """, sized AS (SELECT *, CASE WHEN frame_idx // 7 % 2 = 1 THEN 16 ELSE 8 END AS width FROM emb),
+  changed AS (SELECT *, width <> lag(width, 1, width) OVER (PARTITION BY video ORDER BY frame_idx) AS new FROM sized),
+  numbered AS (SELECT *, sum(CAST(new AS INT)) OVER (PARTITION BY video ORDER BY frame_idx) AS segment FROM changed),
+  cells AS (SELECT video, frame_idx, segment, CAST((p - 1) // width AS INTEGER) AS y, CAST((p - 1) % width AS INTEGER) AS x,
+    CAST(floor((CAST(embedding[p] AS DOUBLE) + 1) * 128) AS INTEGER) AS gray FROM (SELECT *, unnest(range(1, 65)) AS p FROM numbered)),
+  diffs AS (SELECT video, frame_idx, segment, y, x, gray,
+    abs(gray - lag(gray) OVER (PARTITION BY video, segment, y, x ORDER BY frame_idx)) AS diff FROM cells)"""
+)
+
+
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three class scores per vector, with a target class."""
     emb = table(spark, sf_dir, "embeddings")

@@ -181,28 +181,30 @@ def stream_eager_gate(frames: DataFrame, period: int = 5, window: int = 20, drop
 
 
 class MotionMemoryFilter(StatefulProcessor):
-    """Previous pixels and change counters of one tile of one channel."""
+    """Previous pixels and change counters of one tile of one channel, from the last change of the frame size on."""
 
     def __init__(self, thr: float, active_at: int, tile: int):
         self.thr, self.active_at, self.tile = thr, active_at, tile
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._state = handle.getValueState("state", "last long, pixels binary, memory binary")
+        self._state = handle.getValueState("state", "last long, segment long, pixels binary, memory binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         n = self.tile * self.tile
         saved = self._state.get() if self._state.exists() else None
         if saved:
-            last = saved[0]
-            pixels = np.frombuffer(bytes(saved[1]), dtype="<i4").copy()
-            memory = np.frombuffer(bytes(saved[2]), dtype="<i4").copy()
+            last, segment = saved[0], saved[1]
+            pixels = np.frombuffer(bytes(saved[2]), dtype="<i4").copy()
+            memory = np.frombuffer(bytes(saved[3]), dtype="<i4").copy()
         else:
-            last, pixels, memory = 0, np.full(n, -1, dtype=np.int32), np.zeros(n, dtype=np.int32)
+            last, segment, pixels, memory = 0, None, np.full(n, -1, dtype=np.int32), np.zeros(n, dtype=np.int32)
         batch = pd.concat(list(rows), ignore_index=True)
         batch = batch[batch["frame_idx"] > last]
         if batch.empty:
             return
         for frame, part in batch.groupby("frame_idx", sort=True):
+            if segment != (now := int(part["segment"].iloc[0])):
+                segment, pixels, memory = now, np.full(n, -1, dtype=np.int32), np.zeros(n, dtype=np.int32)
             place = (part["y"].to_numpy() % self.tile) * self.tile + part["x"].to_numpy() % self.tile
             value = part["gray"].to_numpy().astype(np.int32)
             known = pixels[place] >= 0
@@ -220,20 +222,26 @@ class MotionMemoryFilter(StatefulProcessor):
                 }
             )
             last = int(frame)
-        self._state.update((last, pixels.astype("<i4").tobytes(), memory.astype("<i4").tobytes()))
+        self._state.update((last, segment, pixels.astype("<i4").tobytes(), memory.astype("<i4").tobytes()))
 
     def close(self) -> None:
         pass
 
 
-def stream_motion_memory(cells: DataFrame, thr: float = 1, active_at: int = 10, tile: int = TILE) -> DataFrame:
-    """Change counters on a stream of ``video, frame_idx, y, x, gray``; state is keyed by tile."""
+def stream_motion_memory(
+    cells: DataFrame, thr: float = 1, active_at: int = 10, tile: int = TILE, segment: str | None = None
+) -> DataFrame:
+    """Change counters on a stream of ``video, frame_idx, y, x, gray``; state is keyed by tile.
+
+    With ``segment``, the number of changes of the frame size so far, a tile starts anew with every segment.
+    """
     rows = cells.select(
         "video",
         F.col("frame_idx").cast("long").alias("frame_idx"),
         F.col("y").cast("int").alias("y"),
         F.col("x").cast("int").alias("x"),
         F.col("gray").cast("int").alias("gray"),
+        (F.col(segment) if segment else F.lit(0)).cast("long").alias("segment"),
         F.floor(F.col("y") / F.lit(tile)).cast("int").alias("ty"),
         F.floor(F.col("x") / F.lit(tile)).cast("int").alias("tx"),
     )
