@@ -126,3 +126,56 @@ def memory(values, thr):
         out.append(m)
         prev = v
     return out
+
+
+def online(images, score, period, window, thr, active_at, blk, min_count, least, excluded, idle_ms):
+    """The per-channel loop over ``(frame_idx, ms, rows of gray values)``, pixel by pixel."""
+    out, seen = [], None
+    for index, ms, image in images:
+        if seen is None or ms - seen > idle_ms:
+            eager, count, before, counters = True, 0, None, None
+            history = [(0, 0)] * window
+        seen = ms
+        h, w = len(image), len(image[0])
+        held = (index, False, False, None, None, None, None, None, 0.0, 0.0)
+        if not eager:
+            count += 1
+            if count < period:
+                out.append((*held, eager))
+                continue
+        count = 0
+        last, before = before, image
+        if last is None or (len(last), len(last[0])) != (h, w):
+            counters = None
+            out.append((index, True, *held[2:], eager))
+            continue
+        counters = counters or [[0] * w for _ in range(h)]
+        for y in range(h):
+            for x in range(w):
+                c = counters[y][x]
+                counters[y][x] = max(0, min(25, c + 5) - 1) if abs(image[y][x] - last[y][x]) > thr else max(0, c - 1)
+        boxes = []
+        for y in range(0, h, blk[0]):
+            for x in range(0, w, blk[1]):
+                part = [(i, j) for i in range(y, min(h, y + blk[0])) for j in range(x, min(w, x + blk[1]))]
+                if sum(counters[i][j] >= active_at for i, j in part) >= min_count:
+                    boxes.append((x, y, min(w, x + blk[1]), min(h, y + blk[0])))
+        if not boxes:
+            out.append((index, True, *held[2:], eager))
+            continue
+        x1, y1 = min(b[0] for b in boxes), min(b[1] for b in boxes)
+        x2, y2 = max(b[2] for b in boxes), max(b[3] for b in boxes)
+        if x2 - x1 < least[0]:
+            x1 = min(w - least[0], max(0, x1 - (least[0] - (x2 - x1)) // 2))
+            x2 = x1 + least[0]
+        if y2 - y1 < least[1]:
+            y1 = min(h - least[1], max(0, y1 - (least[1] - (y2 - y1)) // 2))
+            y2 = y1 + least[1]
+        a, b, c, d = excluded
+        pixels = [[114 if a <= x < c and b <= y < d else image[y][x] for x in range(x1, x2)] for y in range(y1, y2)]
+        label = score(pixels)
+        history = history[1:] + [flags(label)]
+        fire, smoke = sum(f for f, _ in history), sum(s for _, s in history)
+        eager = fire > 0 or smoke > 0
+        out.append((index, True, True, x1, y1, x2, y2, label, fire / window, smoke / window, eager))
+    return out
