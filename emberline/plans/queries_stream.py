@@ -15,7 +15,7 @@ from emberline.plans.registry import query
 from emberline.sources import logs
 from emberline.storage import fresh_path
 from emberline.streaming import filters as ST
-from emberline.streaming import sinks
+from emberline.streaming import online, sinks
 
 VF, POS, DET = V.FRAMES, V.POS, V.DET
 
@@ -150,6 +150,79 @@ def _memory_resize(spark, sf):
     return sinks.run_in_epochs(cells, F.col("frame_idx"), lambda s: ST.stream_motion_memory(s, thr=20, segment="segment"), "memory")
 
 
+def _shown(part) -> str:
+    mean = part.mean() - 128
+    return "Fire" if mean >= 1 else "None" if mean >= -1 else "SmokeOnly"
+
+
+# A frame a second, and an hour without any after every twentieth. Blocks of 4 x 4 pixels; regions of at least 5 x 6.
+_BLOCKS = ", ".join(
+    f"len(list_filter(range(1, 65), lambda i: mem[i] >= 8 AND (i - 1) // 32 = {r} AND (i - 1) % 8 // 4 = {c})) >= 4 AS b{r}{c}" for r in (0, 1) for c in (0, 1)
+)
+_SIDES = {
+    "x1": "CASE WHEN b00 OR b10 THEN 0 WHEN b01 OR b11 THEN 4 END",
+    "x2": "CASE WHEN b01 OR b11 THEN 8 WHEN b00 OR b10 THEN 4 END",
+    "y1": "CASE WHEN b00 OR b01 THEN 0 WHEN b10 OR b11 THEN 4 END",
+    "y2": "CASE WHEN b10 OR b11 THEN 8 WHEN b00 OR b01 THEN 4 END",
+}
+
+
+def _shifted(a: str, least: int) -> str:
+    low = f"least({8 - least}, greatest(0, {a}1 - ({least} - ({a}2 - {a}1)) // 2))"
+    return f"CASE WHEN {a}2 - {a}1 < {least} THEN {low} ELSE {a}1 END AS {a}1, CASE WHEN {a}2 - {a}1 < {least} THEN {low} + {least} ELSE {a}2 END AS {a}2"
+
+
+_INSIDE = "list_filter(range(1, 65), lambda i: (i - 1) % 8 >= x1 AND (i - 1) % 8 < x2 AND (i - 1) // 8 >= y1 AND (i - 1) // 8 < y2)"
+_SHOWN = f"list_transform({_INSIDE}, lambda i: CASE WHEN (i - 1) % 8 >= 2 AND (i - 1) % 8 < 4 AND (i - 1) // 8 >= 3 AND (i - 1) // 8 < 5 THEN 114 ELSE now[i] END)"
+ONLINE = f"""WITH RECURSIVE {V.EMB}, images AS (SELECT label AS channel, frame_idx, list_transform(embedding, lambda v: CAST(floor((CAST(v AS DOUBLE) + 1) * 128) AS INTEGER)) AS now FROM emb),
+  chain AS (
+    SELECT channel, 0::BIGINT AS frame_idx, FALSE AS passed, NULL::BIGINT AS x1, NULL::BIGINT AS y1, NULL::BIGINT AS x2, NULL::BIGINT AS y2, NULL::VARCHAR AS label,
+      TRUE AS eager, 0 AS n, NULL::INTEGER[] AS seen, NULL::INTEGER[] AS mem, [0, 0, 0] AS fire, [0, 0, 0] AS smoke FROM images WHERE frame_idx = 1
+    UNION ALL
+    SELECT channel, frame_idx, passed, x1, y1, x2, y2, label, CASE WHEN label IS NULL THEN eager ELSE list_sum(fire) > 0 OR list_sum(smoke) > 0 END, n, seen, mem, fire, smoke FROM (
+      SELECT * EXCLUDE (fire, smoke), CASE WHEN label IS NULL THEN fire ELSE fire[2:3] || [CAST(label = 'Fire' AS INTEGER)] END AS fire,
+        CASE WHEN label IS NULL THEN smoke ELSE smoke[2:3] || [CAST(label <> 'None' AS INTEGER)] END AS smoke FROM (
+      SELECT *, CASE WHEN x1 IS NULL THEN NULL WHEN list_avg({_SHOWN}) - 128 >= 1 THEN 'Fire' WHEN list_avg({_SHOWN}) - 128 >= -1 THEN 'None' ELSE 'SmokeOnly' END AS label FROM (
+      SELECT * EXCLUDE (x1, x2, y1, y2), {_shifted("x", 5)}, {_shifted("y", 6)} FROM (
+      SELECT *, {", ".join(f"CASE WHEN moved THEN {v} END AS {c}" for c, v in _SIDES.items())} FROM (
+      SELECT *, {_BLOCKS} FROM (
+      SELECT * EXCLUDE (seen, mem), passed AND seen IS NOT NULL AS moved, CASE WHEN passed THEN now ELSE seen END AS seen,
+        CASE WHEN NOT passed OR seen IS NULL THEN mem ELSE list_transform(range(1, 65), lambda i:
+          greatest(0, least(24, coalesce(mem[i], 0) + CASE WHEN abs(now[i] - seen[i]) > 20 THEN 4 ELSE -1 END))) END AS mem FROM (
+      SELECT channel, frame_idx, now, seen, mem, fire, smoke, eager, eager OR n + 1 >= 4 AS passed, CASE WHEN eager OR n + 1 >= 4 THEN 0 ELSE n + 1 END AS n FROM (
+      SELECT i.channel, i.frame_idx, i.now, CASE WHEN anew THEN NULL ELSE c.seen END AS seen, CASE WHEN anew THEN NULL ELSE c.mem END AS mem,
+        CASE WHEN anew THEN [0, 0, 0] ELSE c.fire END AS fire, CASE WHEN anew THEN [0, 0, 0] ELSE c.smoke END AS smoke, anew OR c.eager AS eager, CASE WHEN anew THEN 0 ELSE c.n END AS n
+        FROM chain c JOIN (SELECT *, frame_idx % 20 = 0 AS anew FROM images) i ON i.channel = c.channel AND i.frame_idx = c.frame_idx + 1))))))))
+  )"""
+
+
+@query(
+    "stream_online_chain",
+    f"""{ONLINE} SELECT channel, frame_idx, passed, label IS NOT NULL AS scored, x1, y1, x2, y2, coalesce(label, '-') AS label,
+    CASE WHEN label IS NULL THEN 0.0 ELSE list_sum(fire) / 3.0::DOUBLE END AS fire_prob, CASE WHEN label IS NULL THEN 0.0 ELSE list_sum(smoke) / 3.0::DOUBLE END AS smoke_prob, eager
+    FROM chain WHERE frame_idx > 0""",
+)
+def _online(spark, sf):
+    ship(spark)
+    images = V.tiles(spark, sf).select(
+        F.substring("video", 5, 9).cast("long").alias("channel"),
+        "frame_idx",
+        F.timestamp_seconds(F.col("frame_idx") + 3600 * F.floor(F.col("frame_idx") / 20)).alias("ts"),
+        F.col("h").alias("height"),
+        F.col("w").alias("width"),
+        "channels",
+        "data",
+    )
+
+    def chain(stream):
+        return online.stream_online_chain(
+            stream, _shown, period=4, window=3, thr=20, active_at=8, blk=(4, 4), min_count=4, least=(5, 6), excluded=(2, 3, 4, 5)
+        )
+
+    out = sinks.run_in_epochs(images, F.unix_micros("ts"), chain, "chain")
+    return out.withColumn("label", F.coalesce("label", F.lit("-")))
+
+
 class _FailsOnce(sinks.ParquetHandler):
     """A sink that is cut off in its fourth batch, after the sinks before it have written theirs."""
 
