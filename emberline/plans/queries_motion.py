@@ -20,6 +20,8 @@ from emberline.plans import sweep as SW
 from emberline.plans import sweep_stabilize as SS
 from emberline.plans import views as V
 from emberline.plans.registry import query
+from emberline.sources import media
+from emberline.storage import fresh_path
 
 VC, VD = V.CELLS, V.DIFFS
 THR = 20  # difference of two 8-bit values of the test frames that counts as motion
@@ -546,7 +548,7 @@ def _tile_memory(spark, sf):
 )
 def _frame_motion(spark, sf):
     ship(spark)
-    return TI.frame_block_motion(V.images(spark, sf), THR, 2, 7)
+    return TI.frame_block_motion(V.images(spark, sf), THR, 2, 8)
 
 
 # --- frames that change their size -----------------------------------------------------------------------
@@ -603,3 +605,30 @@ def _memory_tree(spark, sf):
     """Chunks of two frames, joined four at a time."""
     ship(spark)
     return M.motion_memory(_diffs(spark, sf), tile=4, size=2, fan=4).select("video", "frame_idx", "y", "x", "memory")
+
+
+# --- image files -----------------------------------------------------------------------------------------
+
+
+def _image_folder(spark, sf):
+    """The colour frames as image files, read again."""
+    ship(spark)
+    folder = fresh_path(spark, "images")
+    media.write_image_frames(V.images(spark, sf), folder)
+    return media.read_image_frames(spark, folder)
+
+
+@query("image_frames", f"WITH {V.BGR} SELECT video, frame_idx, y, x, b, g, r FROM bgr")
+def _image_frames(spark, sf):
+    return media.image_cells(_image_folder(spark, sf))
+
+
+@query(
+    "image_blocks",
+    f"""WITH {V.BGR}, c AS (SELECT video, frame_idx, y // 4 * 2 + x // 4 AS blk_idx, y % 4 * 4 + x % 4 AS place, unnest([r, g, b]) AS v, unnest([0, 16, 32]) AS first FROM bgr)
+    SELECT video, frame_idx, blk_idx, first + place AS place, round(v / 255.0::DOUBLE, 6) AS value FROM c""",
+)
+def _image_blocks(spark, sf):
+    blocks = media.image_blocks(_image_folder(spark, sf), 4)
+    out = blocks.select("video", "frame_idx", "blk_idx", F.posexplode("values").alias("place", "v"))
+    return out.select("video", "frame_idx", "blk_idx", "place", F.round(F.col("v"), 6).alias("value"))

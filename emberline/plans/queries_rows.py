@@ -219,8 +219,8 @@ def _read_speed_logs(spark, sf):
 
 @query(
     "write_predictions",
-    """SELECT f AS format, count(*) AS rows, CAST(sum(vec_id) AS BIGINT) AS ids, round(sum(CAST(embedding[1] AS DOUBLE)), 6) AS first_logits
-    FROM embeddings, (VALUES ('csv'), ('json'), ('parquet')) t(f) GROUP BY f""",
+    f"""WITH {V.SCORES} SELECT f AS format, count(*) AS rows, CAST(sum(vec_id) AS BIGINT) AS ids, round(sum(a), 6) AS first_logits
+    FROM scores, (VALUES ('csv'), ('json'), ('parquet')) t(f) GROUP BY f""",
 )
 def _write_predictions(spark, sf):
     df = V.scores(spark, sf)
@@ -498,12 +498,12 @@ def _linear_model() -> np.ndarray:
 
 def _linear_predict(model: np.ndarray, batch: pd.DataFrame) -> pd.DataFrame:
     x = np.stack(batch["logits"].to_numpy())
-    return pd.DataFrame({"vec_id": batch["vec_id"], "score": np.round(x @ model, 6)})
+    return pd.DataFrame({"vec_id": batch["vec_id"], "score": np.round(x @ model, 9)})
 
 
 @query(
     "score_frames",
-    f"WITH {VS} SELECT vec_id, round(0.5 * a - b + 2 * c, 6) AS score FROM scores",
+    f"WITH {VS} SELECT vec_id, round(0.5 * a - b + 2 * c, 9) AS score FROM scores",
 )
 def _score_frames(spark, sf):
     ship(spark)

@@ -105,29 +105,31 @@ def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _colour(p: Column, channel: int) -> Column:
+    """Channel of a pixel of an 8 x 8 colour frame: the vector's value there, a third of the vector on, and two thirds on."""
+    return _byte(F.get("embedding", (p + 21 * channel) % 64))
+
+
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each vector as a 3 x 7 colour image of blue-green-red bytes."""
+    """Each vector as an 8 x 8 colour image of blue-green-red bytes."""
     emb = _numbered_vectors(spark, sf_dir)
-    sizes = {"height": 3, "width": 7, "channels": 3}
-    return emb.select(
-        "video",
-        "frame_idx",
-        *[F.lit(v).alias(n) for n, v in sizes.items()],
-        bytes_of(F.transform(F.slice("embedding", 1, 63), _byte)).alias("data"),
-    )
+    sizes = {"height": 8, "width": 8, "channels": 3}
+    places = F.sequence(F.lit(0), F.lit(191))
+    values = F.transform(places, lambda i: _colour(F.floor(i / 3).cast("int"), i % 3))
+    return emb.select("video", "frame_idx", *[F.lit(v).alias(n) for n, v in sizes.items()], bytes_of(values).alias("data"))
 
 
 def cells_bgr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each vector as a 3 x 7 colour frame."""
+    """The same colour frames, a row for each pixel."""
     emb = _numbered_vectors(spark, sf_dir)
     p = F.col("p")
-    emb = emb.withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(20))))
+    emb = emb.withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(63))))
     return emb.select(
         "video",
         "frame_idx",
-        F.floor(p / F.lit(7)).cast("int").alias("y"),
-        (p % 7).cast("int").alias("x"),
-        *[_byte(F.get("embedding", p * 3 + i)).alias(c) for i, c in enumerate("bgr")],
+        F.floor(p / F.lit(8)).cast("int").alias("y"),
+        (p % 8).cast("int").alias("x"),
+        *[_colour(p, i).alias(c) for i, c in enumerate("bgr")],
     )
 
 
@@ -176,11 +178,11 @@ CELLS = (
 BGR = (
     EMB
     + """, bgr AS (
-  SELECT video, frame_idx, CAST(p // 7 AS INTEGER) AS y, CAST(p % 7 AS INTEGER) AS x,
-         CAST(floor((CAST(embedding[3 * p + 1] AS DOUBLE) + 1) * 128) AS INTEGER) AS b,
-         CAST(floor((CAST(embedding[3 * p + 2] AS DOUBLE) + 1) * 128) AS INTEGER) AS g,
-         CAST(floor((CAST(embedding[3 * p + 3] AS DOUBLE) + 1) * 128) AS INTEGER) AS r
-  FROM (SELECT video, frame_idx, embedding, unnest(range(0, 21)) AS p FROM emb))"""
+  SELECT video, frame_idx, CAST(p // 8 AS INTEGER) AS y, CAST(p % 8 AS INTEGER) AS x,
+         CAST(floor((CAST(embedding[p + 1] AS DOUBLE) + 1) * 128) AS INTEGER) AS b,
+         CAST(floor((CAST(embedding[(p + 21) % 64 + 1] AS DOUBLE) + 1) * 128) AS INTEGER) AS g,
+         CAST(floor((CAST(embedding[(p + 42) % 64 + 1] AS DOUBLE) + 1) * 128) AS INTEGER) AS r
+  FROM (SELECT video, frame_idx, embedding, unnest(range(0, 64)) AS p FROM emb))"""
 )
 DIFFS = (
     CELLS
@@ -203,19 +205,27 @@ RESIZED = (
 
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three class scores per vector, with a target class."""
+    """Three class scores per vector, each from every third of its 64 values, with a target class."""
     emb = table(spark, sf_dir, "embeddings")
+
+    def score(k: int) -> Column:
+        third = F.filter("embedding", lambda v, i: i % 3 == k)
+        return F.aggregate(third, F.lit(0).cast("long"), lambda s, v: s + _byte(v) - 128) / F.lit(64.0)
+
     return emb.select(
         "vec_id",
-        F.transform(F.slice("embedding", 1, 3), lambda v: v.cast("double")).alias("logits"),
+        F.array(*[score(k) for k in range(3)]).alias("logits"),
         F.array(*[F.lit(c) for c in CLASS_NAMES]).alias("class_names"),
         (F.col("label") % 3).cast("int").alias("target"),
     )
 
 
-SCORES = """scores AS (
-  SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b,
-         CAST(embedding[3] AS DOUBLE) AS c, label % 3 AS target FROM embeddings)"""
+SCORES = "scores AS (SELECT vec_id, {}, label % 3 AS target FROM embeddings)".format(
+    ", ".join(
+        f"list_sum(list_transform(list_filter(embedding, lambda v, i: (i - 1) % 3 = {k}), lambda v: floor((CAST(v AS DOUBLE) + 1) * 128) - 128)) / 64.0::DOUBLE AS {n}"
+        for k, n in enumerate("abc")
+    )
+)
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:

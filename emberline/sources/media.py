@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +53,66 @@ def read_image_frames(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def _bitmap(height: int, width: int, channels: int, data: bytes) -> bytes:
+    """An uncompressed 24-bit bitmap file: rows from the bottom up, padded to four bytes."""
+    pixels = np.frombuffer(data, dtype=np.uint8).reshape(height, width, channels)[:, :, :3]
+    rows = np.zeros((height, -(-width * 3 // 4) * 4), dtype=np.uint8)
+    rows[:, : width * 3] = np.broadcast_to(pixels, (height, width, 3)).reshape(height, -1)[::-1]
+    head = struct.pack("<2sIHHI", b"BM", 54 + rows.size, 0, 0, 54)
+    return head + struct.pack("<IiiHHIIiiII", 40, width, height, 1, 24, 0, rows.size, 2835, 2835, 0, 0) + rows.tobytes()
+
+
+def write_image_frames(frames: DataFrame, path: str) -> int:
+    """Write image rows (see :func:`read_image_frames`) as a folder of bitmap files per video; how many.
+
+    A file's name follows from its frame, so a task that runs again writes the same files.
+    """
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, folder = fs.FileSystem.from_uri(path)
+        made, n = set(), 0
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["video"] not in made:
+                    files.create_dir(f"{folder}/{r['video']}", recursive=True)
+                    made.add(r["video"])
+                with files.open_output_stream(f"{folder}/{r['video']}/{r['frame_idx']:012d}.bmp") as out:
+                    out.write(_bitmap(r["height"], r["width"], r["channels"], r["data"]))
+                n += 1
+        yield pa.record_batch([pa.array([n], pa.int64())], names=["n"])
+
+    rows = frames.where("height > 0").select("video", "frame_idx", "height", "width", "channels", "data")
+    return rows.mapInArrow(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def image_blocks(frames: DataFrame, blk: int) -> DataFrame:
+    """``(video, frame_idx, blk_idx, by, bx, values)``: blocks of each image as a model reads them, red, green and blue planes from 0 to 1.
+
+    An image is filled up with zeros to whole blocks on the right and at the bottom. One image at a time is unpacked, and its blocks go on in one
+    Arrow batch. An unreadable image (height -1) has none.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                image = np.frombuffer(r["data"], dtype=np.uint8).reshape(r["height"], r["width"], r["channels"])
+                image = np.broadcast_to(image[:, :, :3], (r["height"], r["width"], 3))[:, :, ::-1]
+                rows, cols = -(-r["height"] // blk), -(-r["width"] // blk)
+                whole = np.zeros((rows * blk, cols * blk, 3))
+                whole[: r["height"], : r["width"]] = image / 255.0
+                values = whole.reshape(rows, blk, cols, blk, 3).transpose(0, 2, 4, 1, 3).reshape(rows * cols, -1)
+                n = len(values)
+                offsets = pa.array(np.arange(n + 1, dtype=np.int32) * values.shape[1])
+                at = np.arange(n, dtype=np.int32)
+                yield pa.record_batch(
+                    [pa.array([r["video"]] * n), pa.array([r["frame_idx"]] * n, pa.int32()), pa.array(at), pa.array(at // cols), pa.array(at % cols), pa.ListArray.from_arrays(offsets, pa.array(values.ravel()))],
+                    names=["video", "frame_idx", "blk_idx", "by", "bx", "values"],
+                )
+
+    rows = frames.where("height > 0").select("video", F.col("frame_idx").cast("int").alias("frame_idx"), "height", "width", "channels", "data")
+    return rows.mapInArrow(cut, "video string, frame_idx int, blk_idx int, by int, bx int, values array<double>")
+
+
 def image_cells(frames: DataFrame) -> DataFrame:
     """One row per pixel. A frame's bytes are unpacked with numpy, a slice of rows at a time."""
 

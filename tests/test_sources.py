@@ -129,3 +129,26 @@ def test_image_frames(spark, tmp_path):
 def test_flatten(spark):
     df = spark.sql("SELECT named_struct('a', 1, 'b.c', named_struct('d', 2)) AS s, 3 AS t")
     assert FR.flatten_struct(df).columns == ["s.a", "s.b.c.d", "t"]
+
+
+def test_images_written_and_cut_into_blocks(spark, tmp_path):
+    import numpy as np
+
+    from emberline.sources import media
+
+    rng = np.random.default_rng(3)
+    images = {("a", f): rng.integers(0, 256, (5, 7, 3), dtype=np.uint8) for f in (1, 2, 3)} | {("b", 1): rng.integers(0, 256, (4, 4, 1), dtype=np.uint8)}
+    rows = [(v, f, *i.shape, i.tobytes()) for (v, f), i in images.items()] + [("b", 2, -1, -1, -1, None)]
+    df = spark.createDataFrame(rows, "video string, frame_idx int, height int, width int, channels int, data binary")
+    folder = f"file://{tmp_path}/images"
+    assert media.write_image_frames(df, folder) == media.write_image_frames(df, folder) == 4
+    back = media.read_image_frames(spark, folder)
+    got = {(r.video, r.frame_idx): np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, r.channels) for r in back.collect()}
+    assert got.keys() == images.keys()
+    assert all((got[k] == np.broadcast_to(i, (*i.shape[:2], 3))).all() for k, i in images.items())
+    blocks = {(r.video, r.frame_idx, r.blk_idx): r for r in media.image_blocks(df, 4).collect()}
+    assert len(blocks) == 3 * 4 + 1
+    one = np.array(blocks["a", 2, 3]["values"]).reshape(3, 4, 4)
+    want = np.zeros((3, 4, 4))
+    want[:, :1, :3] = images["a", 2][4:, 4:, ::-1].transpose(2, 0, 1) / 255
+    assert (one == want).all() and (blocks["a", 2, 3].by, blocks["a", 2, 3].bx) == (1, 1)
