@@ -86,6 +86,14 @@ def packed_by(key: np.ndarray, batch: pa.RecordBatch) -> tuple[np.ndarray, pa.Ar
     return key[by][first], pa.array([packed(batch.take(pa.array(by[a:e]))) for a, e in zip(first, ends)], pa.binary())
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or with as many lines after it as no column of ``df`` has, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def block_of(column: str, n_blocks: int) -> Column:
     """The block of a row by a hash of its number; blocks come out about equal."""
     return F.pmod(F.xxhash64(column), F.lit(n_blocks)).cast("int")

@@ -79,20 +79,38 @@ WITH sizes AS (
 ), targets AS (
   SELECT w.*, least(w.weight * c.level, w.cap) AS target FROM weighted w, chosen c
 ), placed AS (
-  SELECT s.doc_id, s.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN floor(t.target / t.source_size) ELSE 0 END::BIGINT AS whole,
+  SELECT s.doc_id, s.size, t.source_size, t.number, t.target, CASE WHEN t.source_size > 0 THEN floor(t.target / t.source_size) ELSE 0 END::BIGINT AS whole,
          coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY s.place, s.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
   FROM sizes s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
 )
-SELECT doc_id, size, source_size, target,
-       whole * size + least(greatest(round(target - whole * source_size)::BIGINT - before, 0), size) AS taken
-FROM placed
+, counted AS (
+  SELECT *, round(target - whole * source_size)::BIGINT AS rest, least(greatest(round(target - whole * source_size)::BIGINT - before, 0), size) AS extra FROM placed
+), copied AS (
+  SELECT *, whole * size + extra AS taken, CASE WHEN size = 0 THEN 0 ELSE whole + CASE WHEN extra > 0 THEN 1 ELSE 0 END END AS n_copies,
+         (before + CASE WHEN whole > 0 THEN size ELSE extra END / 2.0::DOUBLE) / (whole * source_size + rest) AS early,
+         CASE WHEN extra > 0 THEN (whole * source_size + before + extra / 2.0::DOUBLE) ELSE ((whole - 1) * source_size + before + size / 2.0::DOUBLE) END / (whole * source_size + rest) AS late
+  FROM counted
+)
+SELECT doc_id, size, source_size, target, taken, n_copies,
+       CASE WHEN n_copies > 0 THEN round({first}, 9) END AS first_position, CASE WHEN n_copies > 0 THEN round({last}, 9) END AS last_position
+FROM copied
 """
 
 
+def _time_sql(share: str) -> str:
+    """When a share is due on the three schedules: from weight 3/2 down to 1/2, even, and from 1/2 up to 3/2."""
+    up = f"CASE WHEN {share} <= 0.375 THEN 2 * {share} / (0.5 + sqrt(0.25 + 2 * {share})) ELSE 0.5 + 2 * ({share} - 0.375) / (1 + sqrt(1 + 2 * ({share} - 0.375))) END"
+    return f"least(1.0, CASE number % 3 WHEN 0 THEN 2 * {share} / (1.5 + sqrt(greatest(2.25 - 2 * {share}, 0))) WHEN 1 THEN {share} ELSE {up} END)"
+
+
+_MIX_SQL = _MIX_SQL.replace("{first}", _time_sql("early")).replace("{last}", _time_sql("late"))
+
+
 @query("op9_mixing", _MIX_SQL)
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.plan_mix(table(spark, sf_dir, "documents"))
-    return plan.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+    places = {n: F.round(F.try_element_at("copies.position", F.lit(i)), 9) for n, i in (("first_position", 1), ("last_position", -1))}
+    return plan.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", F.size("copies").cast("long").alias("n_copies"), *[c.alias(n) for n, c in places.items()])
 
 
 _LEAK_SQL = r"""
@@ -128,7 +146,8 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def held_out_of(column: str):
-    return F.crc32(F.col(column).cast("string")) % 3 == 1
+    """Whether a document is kept from learning; never one without an id."""
+    return F.coalesce(F.crc32(F.col(column).cast("string")) % 3 == 1, F.lit(False))
 
 
 @query("op7_fingerprints")

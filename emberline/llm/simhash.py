@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberline.llm.decontam import shingle_hashes
-from emberline.llm.frames import block_of, components, equal_runs, packed_by, run_starts, unpacked
+from emberline.llm.frames import block_of, components, equal_runs, packed_by, run_starts, unpacked, unused
 from emberline.llm.tokens import LOWER, mix, signed, slices
 from emberline.storage import materialize
 
@@ -321,7 +321,9 @@ def similar_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def first_of_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, share: float = 0.8) -> DataFrame:
     """The rows of ``docs`` without the documents that :func:`similar_pairs` pairs with an earlier one.
 
-    Every group of paired documents keeps the one with the smallest id. Rows without an id stay.
+    So a document that is similar to an earlier one that stands for its group goes, and each group's smallest id stays. Similarity is no equivalence: two documents that are
+    both similar to a third, later one, but not to each other, are two groups, and both stay. Rows without an id stay; an empty table gives no rows.
     """
-    gone = similar_pairs(docs, id_col, text_col, size, share).select(F.col("id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+    name = unused(docs, "gone")
+    gone = similar_pairs(docs, id_col, text_col, size, share).select(F.col("id").alias(name)).distinct()
+    return docs.join(gone, F.col(id_col).cast("long") == F.col(name), "left_anti")

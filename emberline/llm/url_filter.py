@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from emberline.llm.frames import unused
+
 TRIE_RULES = 50_000  # 100 bytes or so each: a broadcast of a few MB
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -111,12 +113,13 @@ def url_verdicts(pages: DataFrame, rules: Sequence[Rule], url_col: str = "url",
     for at in range(0, max(len(rules), 1), per_trie):
         here = _matcher(spark, rules[at : at + per_trie])(F.col(url_col))
         found = here if found is None else F.greatest(found, here)
-    out = pages.withColumn("__m", found)
+    match = unused(pages, "match")
+    out = pages.withColumn(match, found)
     return out.withColumns(
         {
-            "host": F.col("__m.host"),
-            "path": F.col("__m.path"),
-            "rule": F.col("__m.rule"),
-            "verdict": F.coalesce(F.col("__m.verdict"), F.lit(default)),
+            "host": F.col(f"`{match}`.host"),
+            "path": F.col(f"`{match}`.path"),
+            "rule": F.col(f"`{match}`.rule"),
+            "verdict": F.coalesce(F.col(f"`{match}`.verdict"), F.lit(default)),
         }
-    ).drop("__m")
+    ).drop(match)

@@ -411,3 +411,30 @@ def test_repeats_inside_a_text_leave_it_similar(spark):
     for i in range(12):
         assert all(len(sets[i] & sets[k + i]) >= 0.8 * len(sets[i] | sets[k + i]) for k in (100, 200))
     assert sorted(r.doc_id for r in simhash.first_of_similar(docs).select("doc_id").collect()) == list(range(12))
+
+
+def test_columns_that_clash_with_helpers(spark):
+    names = ["match", "match_", "gone", "key", "copied", "doc", "id"]
+    rows = [(1, "https://a.org/x", prose(1, 80), "s", *range(7)), (2, None, prose(1, 80), "s", *range(7)), (3, "x://example.org/es/1", prose(2, 9), None, *range(7))]
+    df = spark.createDataFrame(rows, "doc_id long, url string, text string, source string, " + ", ".join(f"{n} int" for n in names))
+    found = url_filter.url_verdicts(df, [("block", "example.org", "/es/")])
+    assert found.columns == [*df.columns, "host", "path", "rule", "verdict"] and [r.verdict for r in found.orderBy("doc_id").collect()] == ["allow", "allow", "block"]
+    left = simhash.first_of_similar(df)
+    assert left.schema == df.schema and sorted(r.doc_id for r in left.collect()) == [1, 3]
+    ordered = mixing.training_order(df, mixing.plan_mix(df))
+    assert set(df.columns) <= set(ordered.columns) and {r.match for r in ordered.collect()} == {0}
+
+
+def test_positions_of_copies(spark):
+    df = spark.createDataFrame([(i, prose(i, 20 + i % 7), "abc"[i % 3]) for i in range(60)] + [(99, None, "a"), (98, " ", None)], "doc_id long, text string, source string")
+    for r in mixing.plan_mix(df).collect():
+        assert sum(c.words for c in r.copies) == r.taken
+        at = [c.position for c in r.copies]
+        assert at == sorted(at) and all(0 <= p <= 1 for p in at)
+
+
+def test_held_out_is_never_null(spark):
+    from emberline.llm.queries import held_out_of
+
+    rows = spark.createDataFrame([(None,), (1,), (2,), (3,), (4,)], "doc_id long").select(held_out_of("doc_id").alias("h")).collect()
+    assert {r.h for r in rows} == {True, False} and rows[0].h is False
