@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberline.operators.ordered import number_by_range, number_rows, spread_join
+from emberline.operators.ordered import number_by_range, spread_join
+from emberline.storage import materialize
 
 
 def missing_outputs(videos: DataFrame, results: DataFrame, key: str = "video") -> DataFrame:
@@ -102,25 +103,50 @@ def stratified_split(
     order: Column,
     order_range: int,
     tie: str,
-    buckets: int = 64,
+    fan: int = 1 << 10,
 ) -> DataFrame:
-    """Exact shares per class. ``order`` is a hash in 0 .. order_range-1, ties broken by ``tie``.
+    """Exact shares per class. ``order`` is a hash in 0 .. order_range-1, ties broken by ``tie``; a NULL class is one of its own.
 
-    A large class is cut into ``buckets`` ranges of the hash and numbered range by range.
+    No class is sorted or numbered. The cut of a share is the hash of its last row: a histogram of ``fan`` ranges, combined
+    on the map side, tells in which range that is, and the next one divides that range only. So ``log(order_range)`` to the base ``fan`` passes
+    count, one row for each class and range is shuffled, and only the rows that share a cut's hash are ranked by ``tie``.
     """
-    total = df.groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
-    rows = df.withColumn("__order", order)
-    width = -(-order_range // buckets)
-    rows = number_rows(rows, [key], ["__order", tie], F.floor(F.col("__order") / F.lit(width)), "__place")
-    rows = spread_join(rows, total, [key], F.col(tie))
-    part, bound = None, 0.0
-    for name, share in fractions[:-1]:
-        bound += share
-        test = F.col("__place") <= F.floor(F.col("__n") * F.lit(round(bound, 12)))
-        part = F.when(test, name) if part is None else part.when(test, name)
-    last = fractions[-1][0]
-    out = rows.withColumn("split", F.lit(last) if part is None else part.otherwise(F.lit(last)))
-    return out.drop("__order", "__place", "__n")
+    bounds = [round(sum(share for _, share in fractions[: i + 1]), 12) for i in range(len(fractions) - 1)]
+    names = [n for n, _ in fractions]
+    if not bounds:
+        return df.withColumn("split", F.lit(names[0]))
+    rows = df.withColumns({"__order": order.cast("long"), "__key": F.struct(key)})
+    facts = rows.groupBy("__key").agg(F.count(F.lit(1)).alias("__n"))
+    # of each class and bound: the rank that is sought, counted from the range in which it lies
+    cuts = facts.select(
+        F.col("__key").alias("k"),
+        F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.floor(F.col("__n") * F.lit(b)).cast("long").alias("rank"), F.lit(0).cast("long").alias("low")) for i, b in enumerate(bounds)])).alias("c"),
+    ).select("k", "c.*")
+    cuts = materialize(cuts.where("rank > 0"), "cuts")
+    width = 1
+    while width < order_range:
+        width *= fan
+    while width > 1:
+        width //= fan
+        wide = width * fan
+        asked = cuts.select("k", "low").distinct()
+        inside = spread_join(rows.select(F.col("__key").alias("k"), "__order", F.floor(F.col("__order") / wide).cast("long").alias("low")), asked.select("k", F.floor(F.col("low") / wide).cast("long").alias("low"), F.lit(True).alias("asked")), ["k", "low"], F.col("__order"), "inner")
+        counts = inside.groupBy("k", "low", F.floor(F.col("__order") / width).cast("long").alias("r")).agg(F.count(F.lit(1)).alias("n"))
+        up_to = F.sum("n").over(Window.partitionBy("k", "low").orderBy("r"))  # at most ``fan`` rows
+        counts = counts.select(F.col("k").alias("hk"), F.col("low").alias("hlow"), "r", (up_to - F.col("n")).alias("before"), up_to.alias("until"))
+        hit = (F.col("k") == F.col("hk")) & (F.floor(F.col("low") / wide) == F.col("hlow")) & (F.col("rank") > F.col("before")) & (F.col("rank") <= F.col("until"))
+        cuts = materialize(cuts.join(counts, hit).select("k", "i", (F.col("rank") - F.col("before")).alias("rank"), (F.col("r") * width).alias("low")), "cuts")
+    # of the rows that share a cut's hash, the first few by ``tie``
+    at_cut = spread_join(rows.select(F.col("__key").alias("k"), F.col("__order").alias("low"), F.col(tie).alias("t")), cuts.select("k", "low").distinct().withColumn("asked", F.lit(True)), ["k", "low"], F.xxhash64("t"), "inner")
+    placed = number_by_range(at_cut.drop("asked"), ["k", "low"], ["t"], "place")
+    last = placed.join(cuts.withColumnsRenamed({"k": "ck", "low": "clow"}), (F.col("k") == F.col("ck")) & (F.col("low") == F.col("clow")) & (F.col("place") == F.col("rank")))
+    ends = last.groupBy(F.col("k").alias("__key")).agg(*[F.max(F.when(F.col("i") == i, F.struct(F.col("low").alias("o"), F.col("t")))).alias(f"__e{i}") for i in range(len(bounds))])
+    rows = spread_join(rows, ends, ["__key"], F.col(tie))
+    here = F.struct(F.col("__order").alias("o"), F.col(tie).alias("t"))
+    part = F.lit(names[-1])
+    for i in reversed(range(len(bounds))):
+        part = F.when(here <= F.col(f"__e{i}"), names[i]).otherwise(part)
+    return rows.withColumn("split", part).drop("__order", "__key", *[f"__e{i}" for i in range(len(bounds))])
 
 
 def class_index(labels: DataFrame, name: str) -> DataFrame:

@@ -52,9 +52,18 @@ def file_path() -> Column:
     return F.col("_metadata.file_path")
 
 
-def read_frame_log(spark: SparkSession, path: str | Sequence[str], schema: T.StructType = FRAME_LOG) -> DataFrame:
-    """Per-frame results of many videos; perf files lying in the same folder are left out."""
-    log = _reader(spark, recursiveFileLookup="true", pathGlobFilter="*.csv").schema(schema)
+def read_frame_log(
+    spark: SparkSession, path: str | Sequence[str], schema: T.StructType = FRAME_LOG, by_video: bool = False
+) -> DataFrame:
+    """Per-frame results of many videos; perf files lying in the same folder are left out.
+
+    With ``by_video`` the folders are those of :func:`write_frame_log`, ``video_part`` is a column, and a filter on it
+    opens the files of its videos only. Else files may lie at any depth.
+    """
+    if by_video:
+        log = _reader(spark, pathGlobFilter="*.csv").schema(T.StructType([*schema.fields, T.StructField("video_part", T.StringType())]))
+    else:
+        log = _reader(spark, recursiveFileLookup="true", pathGlobFilter="*.csv").schema(schema)
     log = log.csv(path).withColumn("file_name", file_name())
     return log.filter(~F.col("file_name").contains("__perf"))
 

@@ -81,13 +81,23 @@ class TptFilter(ChannelFilter):
             counts = np.minimum(total, self.window)
             state[0] = min(int(total[-1]), self.window)
         else:
-            count = int(state.sum())
-            for i, hit in enumerate(hits):
-                slot = (index[i] - 1) % self.window
-                value = int(hit) if self.mode == "sliding" else int(state[slot] or hit)
-                count += value - int(state[slot])
-                state[slot] = value
-                counts[i] = count
+            # what each frame changes in its slot: against the frame before in the same slot, or the state
+            slot = (index - 1) % self.window
+            by = np.argsort(slot, kind="stable")
+            first = np.append(True, slot[by][1:] != slot[by][:-1])
+            value = hits[by].astype(np.int32)
+            if self.mode == "sticky":  # a slot once set stays set
+                seen = np.cumsum(value) - value
+                start = np.maximum.accumulate(np.where(first, np.arange(len(by)), 0))
+                before = np.where(seen > seen[start], 1, state[slot[by]])
+                value = np.maximum(value, before)
+            else:
+                before = np.where(first, state[slot[by]], np.append(0, value[:-1]))
+            change = np.empty(len(by), dtype=np.int64)
+            change[by] = value - before
+            counts = int(state.sum()) + np.cumsum(change)
+            last = np.append(first[1:], True)
+            state[slot[by][last]] = value[last]
         low = counts < bar if self.mode == "sliding" else counts <= bar
         label = batch["pred_label"].where(~low, "none")
         return state, pd.DataFrame(
@@ -106,18 +116,17 @@ class HistoryFilter(ChannelFilter):
 
     def apply(self, state: np.ndarray, batch: pd.DataFrame):
         w, at = self.window, int(state[-1])
-        fire, smoke = state[:w], state[w : 2 * w]
         out = np.zeros((len(batch), 2))
-        n_fire, n_smoke = int(fire.sum()), int(smoke.sum())
-        rows = zip(batch["dropped"].to_numpy(bool), batch["fire"].to_numpy(), batch["smoke"].to_numpy())
-        for i, (dropped, f, s) in enumerate(rows):
-            if dropped:
-                continue
-            n_fire += int(f) - int(fire[at])
-            n_smoke += int(s) - int(smoke[at])
-            fire[at], smoke[at] = f, s
-            at = (at + 1) % w
-            out[i] = n_fire / w, n_smoke / w
+        scored = ~batch["dropped"].to_numpy(bool)
+        n = int(scored.sum())
+        for k, name in enumerate(("fire", "smoke")):
+            ring = state[k * w : (k + 1) * w]
+            # the ring from its oldest value on, then the batch: sums of the last w
+            flags = np.concatenate([ring[at:], ring[:at], batch[name].to_numpy()[scored].astype(np.int32)])
+            sums = np.append(0, np.cumsum(flags))
+            out[scored, k] = (sums[w + 1 :] - sums[1 : n + 1]) / w
+            ring[:] = np.roll(flags[n:], (at + n) % w)
+        at = (at + n) % w
         state[-1] = at
         return state, pd.DataFrame(
             {

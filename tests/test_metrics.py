@@ -202,7 +202,7 @@ def test_grid_size(spark):
 
 def test_stratified_split(spark):
     df = spark.createDataFrame([(i, "a" if i % 3 else "b") for i in range(90)], "id long, cls string")
-    out = J.stratified_split(df, [("train", 0.7), ("val", 0.2), ("test", 0.1)], "cls", F.col("id") * 7919 % 101, 101, "id", buckets=8)
+    out = J.stratified_split(df, [("train", 0.7), ("val", 0.2), ("test", 0.1)], "cls", F.col("id") * 7919 % 101, 101, "id", fan=8)
     got = {(r.cls, r.split): r["count"] for r in out.groupBy("cls", "split").count().collect()}
     assert got == {("a", "train"): 42, ("a", "val"): 12, ("a", "test"): 6, ("b", "train"): 21, ("b", "val"): 6, ("b", "test"): 3}
 
@@ -249,3 +249,20 @@ def test_sweeps_equal_single_runs(spark):
             kept = M.per_video(T.tpt_sliding(frames, w, t), L.is_fire_or_smoke("pred_label"), truth)
             assert slide[w, t] == tuple(M.confusion(kept, F.col("pred"), F.col("truth")).first())
     assert len(set(sticky.values())) > 1 and len(set(slide.values())) > 1
+
+
+@pytest.mark.parametrize("fan,order_range", [(4, 1000), (1024, 1000), (16, 3)])
+def test_split_cuts_where_a_sort_would(spark, fan, order_range):
+    """One class holds most rows, many rows share a hash, and there are NULLs."""
+    import random
+
+    rng = random.Random(order_range)
+    rows = [(i, rng.choice(["a"] * 8 + ["b", "c", None]), rng.randrange(order_range)) for i in range(700)] + [(900, "single", 1)]
+    df = spark.createDataFrame(rows, "id long, cls string, h long").repartition(5)
+    shares = [("train", 0.7), ("val", 0.2), ("test", 0.1)]
+    got = {r.id: r.split for r in J.stratified_split(df, shares, "cls", F.col("h"), order_range, "id", fan).collect()}
+    for cls in {r[1] for r in rows}:
+        own = sorted((r[2], r[0]) for r in rows if r[1] == cls)
+        n = len(own)
+        for place, (_, i) in enumerate(own, 1):
+            assert got[i] == ("train" if place <= int(n * 0.7) else "val" if place <= int(n * 0.9) else "test")

@@ -152,3 +152,17 @@ def test_images_written_and_cut_into_blocks(spark, tmp_path):
     want = np.zeros((3, 4, 4))
     want[:, :1, :3] = images["a", 2][4:, 4:, ::-1].transpose(2, 0, 1) / 255
     assert (one == want).all() and (blocks["a", 2, 3].by, blocks["a", 2, 3].bx) == (1, 1)
+
+
+def test_a_filter_on_the_video_opens_its_files_only(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    schema = T.StructType([T.StructField("frame_idx", T.IntegerType()), T.StructField("pred_label", T.StringType())])
+    df = spark.createDataFrame([(v, i, "Fire") for v in "abc" for i in range(1, 5)], "video string, frame_idx int, pred_label string")
+    logs.write_frame_log(df.select("frame_idx", "pred_label", "video"), str(tmp_path / "log"))
+    both = T.StructType([*schema.fields, T.StructField("video", T.StringType())])
+    one = logs.read_frame_log(spark, str(tmp_path / "log"), both, by_video=True).where("video_part = 'b'")
+    assert sorted((r.frame_idx, r.video_part, r.video) for r in one.collect()) == [(i, "b", "b") for i in range(1, 5)]
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(video_part" in plan
+    assert logs.read_frame_log(spark, str(tmp_path / "log"), both).count() == 12
