@@ -214,3 +214,30 @@ def test_epochs_go_on_from_the_state(spark, frames):
     )
     label = F.coalesce("pred_label", F.lit("-")).alias("l")
     assert keyed(out, label) == keyed(T.tpt_sticky(frames, 8, 0.5), label)
+
+
+def test_stateful_stream_from_another_folder(tmp_path):
+    """The package is found by ``ship`` alone, whatever the folder and the path of the workers."""
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    script = tmp_path / "run.py"
+    script.write_text(
+        f"""
+import sys
+sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession, functions as F
+from emberline.deploy import ship
+from emberline.streaming import filters, sinks
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").config("spark.checkpoint.dir", {str(tmp_path / "shared")!r}).getOrCreate()
+ship(spark)
+df = spark.range(1, 30).select(F.lit(1).alias("channel"), F.col("id").alias("frame_idx"), F.lit("Fire").alias("pred_label"))
+out = sinks.run_in_epochs(df, F.col("frame_idx"), lambda s: filters.stream_tpt(s, "sticky", 4, 0.5), "t")
+print("rows", out.count(), out.where("pred_label = 'none'").count())
+"""
+    )
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, str(script)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "rows 29 2" in done.stdout, done.stderr[-2000:]
