@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberline.operators.ordered import join_carry, running
+from emberline.storage import materialize
 
 
 def profile_report(spans: DataFrame, min_mean: float = 1e-5) -> DataFrame:
@@ -98,7 +99,8 @@ def gpu_stats(
     slot = F.floor(F.col("t") / F.lit(width))
     is_sample = F.when(F.col("kind") == 1, 1)
     # Samples equal in all columns are interchangeable, so the order need not tell them apart.
-    line = running(line, keys, ["t", "kind", "power", "memory"], {"n": ("count", is_sample)}, slot)
+    line = running(materialize(line, "line"), keys, ["t", "kind", "power", "memory"], {"n": ("count", is_sample)}, slot)
+    line = materialize(line, "line")
 
     level = F.explode(
         F.array(
@@ -109,12 +111,20 @@ def gpu_stats(
         )
     )
     n, size = F.col("n"), F.col("l.size")
-    nodes = (
-        line.filter(F.col("kind") == 1)
-        .select(*keys, "n", "power", "memory", level.alias("l"))
-        .groupBy(*keys, F.col("l.level").alias("level"), F.floor((n - 1) / size).cast("long").alias("node"))
-        .agg(F.sum("power").alias("power"), F.count("power").alias("powers"), F.max("memory").alias("memory"))
+    # A sample is a node of the lowest level; those of the next hold 16 of it, and all others are made of these.
+    leaves = line.filter(F.col("kind") == 1).select(
+        *keys, F.lit(0).alias("level"), (n - 1).alias("node"), "power", F.col("power").isNotNull().cast("long").alias("powers"), "memory"
     )
+    sums = [F.sum("power").alias("power"), F.sum("powers").alias("powers"), F.max("memory").alias("memory")]
+    nodes = leaves
+    if levels > 1:
+        joint = leaves.groupBy(*keys, F.lit(1).alias("level"), F.floor(F.col("node") / _FAN).cast("long").alias("node")).agg(*sums)
+        joint = materialize(joint, "nodes")
+        above = F.explode(F.array(*[F.struct(F.lit(i).alias("level"), F.lit(_FAN ** (i - 1)).cast("long").alias("size")) for i in range(2, levels)]))
+        nodes = nodes.unionByName(joint)
+        if levels > 2:
+            upper = joint.drop("level").withColumn("l", above)
+            nodes = nodes.unionByName(upper.groupBy(*keys, F.col("l.level").alias("level"), F.floor(F.col("node") / size).cast("long").alias("node")).agg(*sums))
 
     ranges = line.filter(F.col("kind") != 1).groupBy(*keys, "id").agg(
         F.max(F.when(F.col("kind") == 0, n)).alias("low"), F.max(F.when(F.col("kind") == 2, n)).alias("high")
