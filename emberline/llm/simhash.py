@@ -19,6 +19,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -274,19 +275,17 @@ def similar_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             blocks, values = packed_by(b.column("block").to_numpy(), b.select(["id", "text"]))
             yield pa.record_batch([pa.array(blocks), values], names=["block", "docs"])
 
-    involved = maybe.select("id").unionAll(maybe.select(F.col("earlier").alias("id"))).distinct().withColumnRenamed("id", "__id")
-    rows = docs.join(involved, F.col("id") == F.col("__id"), "left_semi").withColumn("block", block_of("id", n_blocks))
-    rows = rows.mapInArrow(pack, "block int, docs binary").repartition("block")
+    # whole documents cross one shuffle, compressed; which of them are candidates is looked up in their block
+    rows = docs.withColumn("block", block_of("id", n_blocks)).mapInArrow(pack, "block int, docs binary").repartition("block")
 
     def sets(column, wanted: set[int]) -> dict[int, np.ndarray]:
-        out = {}
-        for b in slices(unpacked(column), "text"):
+        out, known = {}, pa.array(sorted(wanted), pa.int64())
+        for b in slices((b.filter(pc.is_in(b.column("id"), known)) for b in unpacked(column)), "text"):
             ids = b.column("id").to_pylist()
             h, owner = shingle_hashes(b.column("text"), size)
             first = np.searchsorted(owner, np.arange(len(ids) + 1))
             for i, d in enumerate(ids):
-                if d in wanted:
-                    out[d] = np.unique(h[first[i] : first[i + 1]])
+                out[d] = np.unique(h[first[i] : first[i + 1]])
         return out
 
     def alike(x: np.ndarray, y: np.ndarray) -> bool:
