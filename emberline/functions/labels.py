@@ -79,6 +79,12 @@ def frame_fps(elapsed: Column | str) -> Column:
     return F.when(e > 0, F.lit(1.0) / e).otherwise(F.lit(0.0))
 
 
+def mean_rate(frames: Column, seconds: Column) -> Column:
+    """Frames per second of a total time; frames that took no time at all have an infinite rate, an unknown time none."""
+    none = F.when(frames > 0, F.lit(float("inf"))).otherwise(F.lit(float("nan")))
+    return F.when(seconds != 0, frames / seconds).when(seconds == 0, none)
+
+
 def fps_text(fps: Column | str) -> Column:
     return F.format_string("%.2f", _col(fps))
 

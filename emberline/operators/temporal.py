@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from emberline.functions.labels import fire_smoke_flags, frame_fps, is_detection, is_fire_or_smoke
+from emberline.functions.labels import fire_smoke_flags, frame_fps, is_detection, is_fire_or_smoke, mean_rate
 from emberline.operators.grouped import append_to_sorted_groups, map_sorted_groups
 from emberline.operators.ordered import (
     CHUNK,
@@ -306,8 +306,7 @@ def running_fps(frames: DataFrame, size: int = CHUNK) -> DataFrame:
         {"__time": ("sum", F.col("elapsed_time")), "__frames": ("count", F.col("elapsed_time"))},
         chunk_of("frame_idx", size),
     )
-    rate = F.when(F.col("__time") > 0, F.col("__frames") / F.col("__time")).otherwise(F.lit(0.0))
-    return out.withColumn("running_fps", rate).drop("__time", "__frames")
+    return out.withColumn("running_fps", mean_rate(F.col("__frames"), F.col("__time"))).drop("__time", "__frames")
 
 
 def speed_guard(frames: DataFrame, min_fps: float = 5.0, after: int = 10, size: int = CHUNK) -> DataFrame:
