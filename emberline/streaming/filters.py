@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from emberline.functions.labels import fire_smoke_flags, is_detection, is_fire_or_smoke
+from emberline.functions.labels import fire_smoke_flags, is_detection, is_fire_or_smoke, mean_rate
 from emberline.operators.motion import TILE, _DOWN, _TOP, _UP
 from emberline.operators.temporal import GateRules
 
@@ -281,11 +281,11 @@ def stream_episodes(frames: DataFrame, gap: str = "30 seconds", delay: str | Non
 def stream_fps(frames: DataFrame, width: str = "10 seconds", slide: str | None = None, delay: str = "1 minute") -> DataFrame:
     """Frames and mean rate per channel and time window; in Append mode once the watermark has passed a window's end."""
     window = F.window("ts", width, slide) if slide else F.window("ts", width)
-    total = F.sum("elapsed_time")
+    frames_of, total = F.count(F.lit(1)), F.sum("elapsed_time")
     return (
         frames.withWatermark("ts", delay)
         .groupBy("channel", window.alias("w"))
-        .agg(F.count(F.lit(1)).alias("frames"), F.when(total > 0, F.count(F.lit(1)) / total).otherwise(0.0).alias("fps"))
+        .agg(frames_of.alias("frames"), mean_rate(frames_of, total).alias("fps"))
         .select("channel", F.col("w.start").alias("start_ts"), F.col("w.end").alias("end_ts"), "frames", "fps")
     )
 
