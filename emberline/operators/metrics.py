@@ -229,7 +229,7 @@ def count_videos(meta: DataFrame, by: Sequence[str] = ("dataset",)) -> DataFrame
 
 def attach_truth(frames: DataFrame, truth: DataFrame, keys: Sequence[str] = ("video",)) -> DataFrame:
     """Add each frame's truth; a truth table by video is spread so that no video is one task."""
-    return spread_join(frames, truth, list(keys), F.col("frame_idx"))
+    return spread_join(frames, truth, list(keys), F.col("frame_idx"), may_grow=True)
 
 
 def positive(label: Column | str) -> Column:

@@ -51,15 +51,19 @@ def spread_join(
     by: Column,
     how: str = "left",
     salts: int = SALTS,
+    may_grow: bool = False,
 ) -> DataFrame:
     """Join many rows to one-row-per-key facts without one task per hot key.
 
     The rows of a key are spread over ``salts`` sub-keys by a hash of ``by``; each fact is
     repeated once per salt. Spark still turns this into a broadcast join by itself when the
-    facts turn out small.
+    facts turn out small. It estimates that before they are repeated, though, and from the size of
+    packed files: facts read from a table that ``may_grow`` are never broadcast, so that they can't fill the driver.
     """
     salted = rows.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
     repeated = facts.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    if may_grow:
+        repeated = repeated.hint("merge")
     return join_carry(salted, repeated, [*keys, "__salt"], how).drop("__salt")
 
 
