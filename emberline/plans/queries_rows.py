@@ -27,6 +27,7 @@ VF = V.FRAMES
 
 def _log_rows(spark, sf) -> DataFrame:
     """Frames with every column of the log file; scores made from the event's own numbers."""
+    ship(spark)
     fr = V.frames(spark, sf)
     total = fr.groupBy("video").agg(F.count(F.lit(1)).cast("int").alias("num_frames"))
     k = F.coalesce(F.col("k"), F.lit(0)) / F.lit(100.0)

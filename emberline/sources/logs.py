@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+import uuid
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -75,22 +79,66 @@ def with_video_name(df: DataFrame, name: Column | None = None) -> DataFrame:
     return df.filter(~source.contains("__perf")).withColumn("video", video)
 
 
+_UNSAFE = re.compile(r"""[\x01-\x1f"#%'*/:=?\\\x7f{\[\]^]""")
+
+
+def _folder(video: str | None) -> str:
+    """Folder of a video, named as Spark names a partition."""
+    return "video_part=" + (_UNSAFE.sub(lambda m: f"%{ord(m[0]):02X}", video) if video else "__HIVE_DEFAULT_PARTITION__")
+
+
 def write_frame_log(df: DataFrame, path: str) -> None:
     """One folder per video, arrays as list text.
 
     Rows are first brought together by video and frame range, so a task writes few files and a
-    long video is still written by several tasks.
+    long video is still written by several tasks. Spark makes the lines; each task puts its own files in place, whole, under
+    names that follow from video and range, so a task that runs again replaces them. Spark's own writer, whose driver moves the folders
+    of all videos one after the other, is left for places that Arrow can't write to.
     """
     lists = [f.name for f in df.schema.fields if isinstance(f.dataType, T.ArrayType)]
     flat = df.withColumns({c: F.to_json(c) for c in lists})
     stretch = F.floor(F.col("frame_idx") / F.lit(1 << 20))
     flat = flat.withColumn("video_part", F.col("video")).repartition("video", stretch)
-    (
-        flat.sortWithinPartitions("video", "frame_idx")
-        .write.partitionBy("video_part")
-        .options(sep=";", header="true", encoding="UTF-8", quote='"', escape='"', nullValue="")
-        .csv(path)
-    )
+    options = {"sep": ";", "header": "true", "encoding": "UTF-8", "quote": '"', "escape": '"', "nullValue": ""}
+    try:
+        files, root = fs.FileSystem.from_uri(path)
+    except pa.ArrowException:
+        flat.sortWithinPartitions("video", "frame_idx").write.partitionBy("video_part").options(**options).csv(path)
+        return
+    if files.get_file_info(root).type != fs.FileType.NotFound:
+        raise FileExistsError(path)
+    files.create_dir(root, recursive=True)
+    head = (";".join(df.columns) + "\n").encode()
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, root = fs.FileSystem.from_uri(path)
+        open_, out, n = None, None, 0
+
+        def close() -> None:
+            if out is not None:
+                out.close()
+                folder, name = f"{root}/{_folder(open_[0])}", f"part-{open_[1]}.csv"
+                files.move(f"{folder}/.{name}-{own}", f"{folder}/{name}")
+
+        own = uuid.uuid4().hex
+        for batch in batches:
+            videos, stretches, lines = (batch.column(c) for c in ("video_part", "stretch", "line"))
+            keys = list(zip(videos.to_pylist(), stretches.to_pylist()))
+            cuts = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
+            for a, e in zip(cuts, cuts[1:]):
+                if keys[a : a + 1] != [open_]:
+                    close()
+                    open_, n = keys[a], n + 1
+                    files.create_dir(f"{root}/{_folder(open_[0])}", recursive=True)
+                    out = files.open_output_stream(f"{root}/{_folder(open_[0])}/.part-{open_[1]}.csv-{own}")
+                    out.write(head)
+                out.write(("\n".join(lines.slice(a, e - a).to_pylist()) + "\n").encode())
+        close()
+        yield pa.record_batch([pa.array([n], pa.int64())], names=["files"])
+
+    line = F.to_csv(F.struct(*df.columns), options).alias("line")
+    rows = flat.sortWithinPartitions("video", stretch, "frame_idx").select("video_part", stretch.cast("long").alias("stretch"), line)
+    rows.mapInArrow(write, "files long").agg(F.sum("files")).first()
 
 
 def read_perf(spark: SparkSession, path: str | Sequence[str], schema: T.StructType = PERF) -> DataFrame:
