@@ -3,6 +3,7 @@
 Input rows carry ``channel, frame_idx, pred_label`` (plus ``ts`` where event time is used).
 The rows of a channel in a micro-batch are put in ``frame_idx`` order; a frame at or before the
 last one already handled is late and dropped. State per channel has a fixed size.
+The channels of a bucket are handled together, each by itself.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from emberline.functions.labels import fire_smoke_flags, is_detection, is_fire_or_smoke, mean_rate
+from emberline.operators.grouped import Arrays
 from emberline.operators.motion import TILE, _DOWN, _TOP, _UP
 from emberline.operators.temporal import GateRules
 
@@ -35,32 +37,53 @@ def prepare(frames: DataFrame, dropped: Column | None = None) -> DataFrame:
     )
 
 
+BUCKETS = 512
+
+
 class ChannelFilter(StatefulProcessor):
-    """Orders a channel's rows, drops late ones and keeps one binary state."""
+    """Orders each channel's rows, drops late ones and keeps one row of numbers for each channel.
+
+    A key is a bucket of channels, see :func:`_run`: a call of Python and of the state store serves all channels of it.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._state = handle.getValueState("state", "last long, data binary")
+        self._state = handle.getValueState("state", "channels binary, last binary, data binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        saved = self._state.get() if self._state.exists() else None
-        last, state = (saved[0], self.load(bytes(saved[1]))) if saved else (0, self.fresh())
         batch = pd.concat(list(rows), ignore_index=True)
-        batch = batch[batch["frame_idx"] > last].drop_duplicates("frame_idx").sort_values("frame_idx")
-        if batch.empty:
+        batch = batch[batch["frame_idx"].notna()]
+        # rows without a channel have a bucket of their own
+        channel = batch["channel"].fillna(0).to_numpy(np.int64) if key[0] >= 0 else np.zeros(len(batch), np.int64)
+        frame = batch["frame_idx"].to_numpy(np.int64)
+        known, last, data = (np.frombuffer(bytes(v), t) for v, t in zip(self._state.get(), ("<i8", "<i8", "<i4"))) if self._state.exists() else (np.zeros(0, t) for t in ("<i8", "<i8", "<i4"))
+        every = np.union1d(known, channel)
+        old = np.searchsorted(every, known)
+        states = np.tile(self.fresh(), (len(every), 1))
+        states[old] = data.reshape(len(known), states.shape[1])
+        lasts = np.zeros(len(every), np.int64)
+        lasts[old] = last
+        of = np.searchsorted(every, channel)
+        by = np.lexsort((frame, of))
+        by = by[frame[by] > lasts[of[by]]]
+        by = by[np.append(True, (np.diff(of[by]) != 0) | (np.diff(frame[by]) != 0))[: len(by)]]
+        if not len(by):
             return
-        state, out = self.apply(state, batch)
-        self._state.update((int(batch["frame_idx"].iloc[-1]), self.dump(state)))
-        yield out
+        columns = {c: batch[c].to_numpy()[by] for c in batch.columns}
+        columns["frame_idx"], of = frame[by], of[by]
+        first = np.flatnonzero(np.append(True, np.diff(of) != 0))
+        out = []
+        for low, high in zip(first.tolist(), [*first[1:].tolist(), len(of)]):
+            i = of[low]
+            states[i], found = self.apply(states[i], {c: v[low:high] for c, v in columns.items()})
+            lasts[i] = columns["frame_idx"][high - 1]
+            out.append(found)
+        self._state.update((every.astype("<i8").tobytes(), lasts.astype("<i8").tobytes(), states.astype("<i4").tobytes()))
+        found = {c: np.concatenate([o[c] for o in out]) for c in out[0]}
+        yield pd.DataFrame({"channel": columns["channel"], "frame_idx": columns["frame_idx"], **found})
 
     def close(self) -> None:
         pass
 
-    def load(self, blob: bytes) -> np.ndarray:
-        return np.frombuffer(blob, dtype="<i4").copy()
-
-    def dump(self, state: np.ndarray) -> bytes:
-        return np.asarray(state, dtype="<i4").tobytes()
-
 
 class TptFilter(ChannelFilter):
     """Sticky, sliding or by-detection persistence threshold."""
@@ -71,11 +94,10 @@ class TptFilter(ChannelFilter):
     def fresh(self) -> np.ndarray:
         return np.zeros(self.window, dtype=np.int32)
 
-    def apply(self, state: np.ndarray, batch: pd.DataFrame):
-        hits = batch["hit"].to_numpy(dtype=bool)
-        index = batch["frame_idx"].to_numpy()
+    def apply(self, state: np.ndarray, batch: Arrays):
+        hits = batch["hit"].astype(bool)
+        index = batch["frame_idx"]
         bar = self.thr * self.window
-        counts = np.empty(len(batch), dtype=np.int64)
         if self.mode == "by_detection":
             total = int(state[0]) + np.cumsum(hits)
             counts = np.minimum(total, self.window)
@@ -99,10 +121,7 @@ class TptFilter(ChannelFilter):
             last = np.append(first[1:], True)
             state[slot[by][last]] = value[last]
         low = counts < bar if self.mode == "sliding" else counts <= bar
-        label = batch["pred_label"].where(~low, "none")
-        return state, pd.DataFrame(
-            {"channel": batch["channel"], "frame_idx": batch["frame_idx"], "pred_label": label}
-        )
+        return state, {"pred_label": np.where(low, "none", batch["pred_label"].astype(object))}
 
 
 class HistoryFilter(ChannelFilter):
@@ -114,28 +133,21 @@ class HistoryFilter(ChannelFilter):
     def fresh(self) -> np.ndarray:
         return np.zeros(2 * self.window + 1, dtype=np.int32)
 
-    def apply(self, state: np.ndarray, batch: pd.DataFrame):
+    def apply(self, state: np.ndarray, batch: Arrays):
         w, at = self.window, int(state[-1])
-        out = np.zeros((len(batch), 2))
-        scored = ~batch["dropped"].to_numpy(bool)
+        scored = ~batch["dropped"].astype(bool)
+        out = np.zeros((len(scored), 2))
         n = int(scored.sum())
         for k, name in enumerate(("fire", "smoke")):
             ring = state[k * w : (k + 1) * w]
             # the ring from its oldest value on, then the batch: sums of the last w
-            flags = np.concatenate([ring[at:], ring[:at], batch[name].to_numpy()[scored].astype(np.int32)])
+            flags = np.concatenate([ring[at:], ring[:at], batch[name][scored].astype(np.int32)])
             sums = np.append(0, np.cumsum(flags))
             out[scored, k] = (sums[w + 1 :] - sums[1 : n + 1]) / w
             ring[:] = np.roll(flags[n:], (at + n) % w)
         at = (at + n) % w
         state[-1] = at
-        return state, pd.DataFrame(
-            {
-                "channel": batch["channel"],
-                "frame_idx": batch["frame_idx"],
-                "fire_prob": out[:, 0],
-                "smoke_prob": out[:, 1],
-            }
-        )
+        return state, {"fire_prob": out[:, 0], "smoke_prob": out[:, 1]}
 
 
 class GateFilter(ChannelFilter):
@@ -147,24 +159,17 @@ class GateFilter(ChannelFilter):
     def fresh(self) -> np.ndarray:
         return np.array([self.rules.start], dtype=np.int32)
 
-    def apply(self, state: np.ndarray, batch: pd.DataFrame):
-        dropped = batch["dropped"].to_numpy(bool)
-        kinds = np.where(dropped, 0, np.where(batch["smoke"].to_numpy() == 1, 2, 1))
+    def apply(self, state: np.ndarray, batch: Arrays):
+        dropped = batch["dropped"].astype(bool)
+        kinds = np.where(dropped, 0, np.where(batch["smoke"] == 1, 2, 1))
         after, passed, eager = self.rules.run(int(state[0]), kinds)
-        out = pd.DataFrame(
-            {
-                "channel": batch["channel"],
-                "frame_idx": batch["frame_idx"],
-                "passed": passed,
-                "scored": passed & ~dropped,
-                "eager": eager,
-            }
-        )
-        return np.array([after]), out
+        return np.array([after]), {"passed": passed, "scored": passed & ~dropped, "eager": eager}
 
 
 def _run(prepared: DataFrame, processor: StatefulProcessor, schema: str) -> DataFrame:
-    return prepared.groupBy("channel").transformWithStateInPandas(
+    """Channels are dealt to ``BUCKETS`` keys by a hash; rows without a channel are a key of their own."""
+    bucket = F.when(F.col("channel").isNotNull(), F.pmod(F.xxhash64("channel"), F.lit(BUCKETS))).otherwise(-1)
+    return prepared.withColumn("bucket", bucket.cast("long")).groupBy("bucket").transformWithStateInPandas(
         statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="None"
     )
 

@@ -241,3 +241,29 @@ print("rows", out.count(), out.where("pred_label = 'none'").count())
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, str(script)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
     assert "rows 29 2" in done.stdout, done.stderr[-2000:]
+
+
+def test_channels_of_a_bucket_are_filtered_each_by_itself(spark, tmp_path, monkeypatch):
+    from emberline.streaming import filters
+
+    calls = tmp_path / "calls"
+    calls.mkdir()
+
+    class Counted(filters.TptFilter):
+        def handleInputRows(self, key, rows, timerValues):
+            import uuid
+
+            (calls / uuid.uuid4().hex).touch()
+            yield from super().handleInputRows(key, rows, timerValues)
+
+    monkeypatch.setattr(filters, "BUCKETS", 2)
+    rows = [(c, i, "Fire" if c is not None and (i + c) % 3 else "None") for c in [*range(40), None] for i in (3, 1, 2, 2)]
+    spark.createDataFrame(rows, "channel long, frame_idx long, pred_label string").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("channel long, frame_idx long, pred_label string").parquet(str(tmp_path / "in"))
+    out = filters._run(filters.prepare(stream), Counted("sliding", 2, 1.0), "channel long, frame_idx long, pred_label string")
+    from emberline.streaming import sinks
+
+    got = {(r.channel, r.frame_idx): r.pred_label for r in sinks.run_to_table(out, "buckets").collect()}
+    hit = lambda c, i: c is not None and i > 0 and (i + c) % 3 > 0
+    assert got == {(c, i): "Fire" if hit(c, i) and hit(c, i - 1) else ("none") for c in [*range(40), None] for i in (1, 2, 3)}
+    assert len(list(calls.iterdir())) == 3
