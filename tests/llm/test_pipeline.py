@@ -39,3 +39,8 @@ def test_sql(spark, name):
     from check_oracle import compare, duck
 
     assert compare(QUERIES[name](spark, SF), duck(SF), SQL[name]) is None
+
+
+def test_mix_comes_in_training_order(spark):
+    rows = QUERIES["op9_mixing"](spark, SF).collect()
+    assert [(r.first_position is None, r.first_position or 0.0, r.doc_id) for r in rows] == sorted((r.first_position is None, r.first_position or 0.0, r.doc_id) for r in rows)
