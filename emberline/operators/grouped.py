@@ -62,6 +62,67 @@ def map_sorted_groups(
     return rows.mapInPandas(run, schema)
 
 
+def binaries(rows: np.ndarray) -> pa.Array:
+    """Each row of a matrix as one binary value."""
+    rows = np.ascontiguousarray(rows)
+    width = rows.nbytes // len(rows) if len(rows) else 0
+    offsets = np.arange(len(rows) + 1, dtype=np.int32) * np.int32(width)
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(rows)])
+
+
+def matrix_of(column: pa.ChunkedArray, dtype: str) -> np.ndarray:
+    """Binary values of one length as the rows of a matrix."""
+    values = column.to_numpy()
+    return np.frombuffer(b"".join(values), dtype=dtype).reshape(len(values), -1)
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Sorted batches cut so that no group is in two of them, each with the places where its groups begin."""
+    held: pa.Table | None = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        if held is not None:
+            table = pa.concat_tables([held, table])
+        if not table.num_rows:
+            continue
+        new = np.zeros(table.num_rows, dtype=bool)
+        new[0] = True
+        for k in keys:
+            v = table[k].to_numpy()
+            new[1:] |= v[1:] != v[:-1]
+        starts = np.flatnonzero(new)
+        # The last group may go on in the next batch.
+        if len(starts) > 1:
+            yield table.slice(0, starts[-1]), starts[:-1]
+        held = table.slice(starts[-1])
+    if held is not None and held.num_rows:
+        yield held, np.array([0])
+
+
+def map_sorted_batches(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    fn: Callable[[pa.Table, np.ndarray], Iterator[dict]],
+    schema: T.StructType,
+) -> DataFrame:
+    """As :func:`map_sorted_groups` where groups are small and many: ``fn`` gets many whole groups at once.
+
+    It is called with a table and the places where its groups begin, and yields one array per column.
+    """
+    keys = list(keys)
+    # The last key comes first: a chunk's number tells more rows apart than a video's name, and compares faster.
+    rows = df.repartition(*keys).sortWithinPartitions(*keys[::-1], *order)
+    arrow = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in schema.fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts in _whole_groups(batches, keys):
+            for out in fn(table, starts):
+                yield from pa.table([out[n] for n in arrow.names], names=arrow.names).cast(arrow).to_batches()
+
+    return rows.mapInArrow(run, schema)
+
+
 def append_to_sorted_groups(
     df: DataFrame,
     keys: Sequence[str],
@@ -89,23 +150,7 @@ def append_to_sorted_groups(
         yield from table.to_batches()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            if held is not None:
-                table = pa.concat_tables([held, table])
-            if not table.num_rows:
-                continue
-            new = np.zeros(table.num_rows, dtype=bool)
-            new[0] = True
-            for k in keys:
-                v = table[k].to_numpy()
-                new[1:] |= v[1:] != v[:-1]
-            starts = np.flatnonzero(new)
-            if len(starts) > 1:
-                yield from with_new(table.slice(0, starts[-1]), starts[:-1], starts[1:])
-            held = table.slice(starts[-1])
-        if held is not None and held.num_rows:
-            yield from with_new(held, np.array([0]), np.array([held.num_rows]))
+        for table, starts in _whole_groups(batches, keys):
+            yield from with_new(table, starts, np.append(starts[1:], table.num_rows))
 
     return rows.mapInArrow(run, T.StructType([*df.schema.fields, *fields]))
