@@ -13,8 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberline.functions.labels import video_of_file
-from emberline.operators.ordered import number_by_range
+from emberline.operators.ordered import join_carry, number_by_range
 from emberline.sources.logs import VIDEO_TYPES
+from emberline.storage import materialize
+
+PIXELS = 1 << 16  # pixels that go on from a task at a time
+TASK_FILES, TASK_BYTES = 1024, 32 << 20  # of image files that a task reads
 
 
 def list_videos(
@@ -35,19 +39,23 @@ def read_image_frames(spark: SparkSession, path: str) -> DataFrame:
     """A folder per video, an image per frame; frames follow the order of the file names.
 
     Returns ``video, frame_idx, height, width, channels, data`` with rows of blue-green-red bytes.
-    Numbering touches the file names only. An unreadable image keeps its number, with height -1 and no data.
+    Numbering touches the file names only, which are written once, so each image is opened and decoded once, where the
+    result is read. An unreadable image keeps its number, with height -1 and no data.
     """
     images = (
-        spark.read.format("image")
-        .option("recursiveFileLookup", "true")
-        .option("dropInvalid", "false")
-        .load(path)
-        .select("image.*")
+        spark.read.format("image").option("recursiveFileLookup", "true").option("dropInvalid", "false").load(path)
     )
-    video = F.regexp_extract("origin", r"([^/\\]+)[/\\][^/\\]+$", 1)
-    images = images.withColumns({"video": video, "__name": video_of_file("origin")})
-    places = number_by_range(images.select("video", "__name", F.col("origin").alias("__origin")), ["video"], ["__name"], "frame_idx")
-    out = images.join(places.select("__origin", "frame_idx"), F.col("origin") == F.col("__origin"))
+    origin = F.col("_metadata.file_path").alias("__origin")
+    # Without a column of the image, the source opens no file. It makes a task of few files, however small, so tasks are put together.
+    least = 4 * spark.sparkContext.defaultParallelism
+    names = materialize(images.select(origin, F.col("_metadata.file_size").alias("__size")).coalesce(least), "image-names")
+    n, size = names.agg(F.count(F.lit(1)), F.coalesce(F.sum("__size"), F.lit(0))).first()
+    tasks = max(least, -(-n // TASK_FILES), -(-size // TASK_BYTES))
+    video = F.regexp_extract("__origin", r"([^/\\]+)[/\\][^/\\]+$", 1)
+    names = names.drop("__size").withColumns({"video": video, "__name": video_of_file("__origin")})
+    places = number_by_range(names, ["video"], ["__name"], "frame_idx")
+    # The images are never the side that Spark broadcasts: it knows the size of their files only.
+    out = join_carry(images.select("image.*", origin).coalesce(tasks), places.select("__origin", "video", "frame_idx"), ["__origin"])
     return out.select(
         "video", F.col("frame_idx").cast("int"), "height", "width", F.col("nChannels").alias("channels"), "data"
     )
@@ -88,11 +96,26 @@ def write_image_frames(frames: DataFrame, path: str) -> int:
 def image_blocks(frames: DataFrame, blk: int) -> DataFrame:
     """``(video, frame_idx, blk_idx, by, bx, values)``: blocks of each image as a model reads them, red, green and blue planes from 0 to 1.
 
-    An image is filled up with zeros to whole blocks on the right and at the bottom. One image at a time is unpacked, and its blocks go on in one
-    Arrow batch. An unreadable image (height -1) has none.
+    An image is filled up with zeros to whole blocks on the right and at the bottom. One image at a time is unpacked; its blocks go on in one
+    Arrow batch, with those of the images before it as long as these are small. An unreadable image (height -1) has none.
     """
 
+    def together(found: list[tuple[str, int, int, np.ndarray]]) -> pa.RecordBatch:
+        counts = [len(values) for _, _, _, values in found]
+        of = np.repeat(np.arange(len(found)), counts)
+        at = np.concatenate([np.arange(n, dtype=np.int32) for n in counts])
+        cols = np.array([c for _, _, c, _ in found], dtype=np.int32)[of]
+        values = np.concatenate([values for _, _, _, values in found])
+        offsets = pa.array(np.arange(len(values) + 1, dtype=np.int32) * values.shape[1])
+        video = pa.array([v for v, _, _, _ in found], pa.string()).take(pa.array(of))
+        frame = pa.array([f for _, f, _, _ in found], pa.int32()).take(pa.array(of))
+        return pa.record_batch(
+            [video, frame, pa.array(at), pa.array(at // cols), pa.array(at % cols), pa.ListArray.from_arrays(offsets, pa.array(values.ravel()))],
+            names=["video", "frame_idx", "blk_idx", "by", "bx", "values"],
+        )
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
             for r in batch.to_pylist():
                 image = np.frombuffer(r["data"], dtype=np.uint8).reshape(r["height"], r["width"], r["channels"])
@@ -101,42 +124,54 @@ def image_blocks(frames: DataFrame, blk: int) -> DataFrame:
                 whole = np.zeros((rows * blk, cols * blk, 3))
                 whole[: r["height"], : r["width"]] = image / 255.0
                 values = whole.reshape(rows, blk, cols, blk, 3).transpose(0, 2, 4, 1, 3).reshape(rows * cols, -1)
-                n = len(values)
-                offsets = pa.array(np.arange(n + 1, dtype=np.int32) * values.shape[1])
-                at = np.arange(n, dtype=np.int32)
-                yield pa.record_batch(
-                    [pa.array([r["video"]] * n), pa.array([r["frame_idx"]] * n, pa.int32()), pa.array(at), pa.array(at // cols), pa.array(at % cols), pa.ListArray.from_arrays(offsets, pa.array(values.ravel()))],
-                    names=["video", "frame_idx", "blk_idx", "by", "bx", "values"],
-                )
+                held.append((r["video"], r["frame_idx"], cols, values))
+                size += whole.shape[0] * whole.shape[1]
+                if size >= PIXELS:
+                    yield together(held)
+                    held, size = [], 0
+        if held:
+            yield together(held)
 
     rows = frames.where("height > 0").select("video", F.col("frame_idx").cast("int").alias("frame_idx"), "height", "width", "channels", "data")
     return rows.mapInArrow(cut, "video string, frame_idx int, blk_idx int, by int, bx int, values array<double>")
 
 
 def image_cells(frames: DataFrame) -> DataFrame:
-    """One row per pixel. A frame's bytes are unpacked with numpy, a slice of rows at a time."""
+    """One row per pixel. Frames' bytes are unpacked with numpy, a slice of rows of a large frame or many small frames at a time."""
+
+    def together(held: list[tuple[str, int, int, np.ndarray]]) -> pd.DataFrame:
+        counts = [part.shape[0] * part.shape[1] for _, _, _, part in held]
+        of = np.repeat(np.arange(len(held)), counts)
+        b, g, r = np.concatenate([part[:, :, :3].reshape(-1, 3) for _, _, _, part in held]).T.astype("int16")
+        return pd.DataFrame(
+            {
+                "video": np.array([v for v, _, _, _ in held], dtype=object)[of],
+                "frame_idx": np.array([f for _, f, _, _ in held], dtype="int32")[of],
+                "y": np.concatenate([np.repeat(np.arange(top, top + len(p), dtype="int32"), p.shape[1]) for _, _, top, p in held]),
+                "x": np.concatenate([np.tile(np.arange(p.shape[1], dtype="int32"), len(p)) for _, _, _, p in held]),
+                "b": b,
+                "g": g,
+                "r": r,
+            }
+        )
 
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
         for batch in batches:
             for r in batch.itertuples(index=False):
                 pixels = np.frombuffer(r.data, dtype=np.uint8).reshape(r.height, r.width, r.channels)
                 if r.channels == 1:
                     pixels = np.repeat(pixels, 3, axis=2)
-                step = max(1, (1 << 16) // r.width)
+                step = max(1, PIXELS // r.width)
                 for top in range(0, r.height, step):
                     part = pixels[top : top + step]
-                    h = part.shape[0]
-                    yield pd.DataFrame(
-                        {
-                            "video": r.video,
-                            "frame_idx": r.frame_idx,
-                            "y": np.repeat(np.arange(top, top + h, dtype="int32"), r.width),
-                            "x": np.tile(np.arange(r.width, dtype="int32"), h),
-                            "b": part[:, :, 0].ravel().astype("int16"),
-                            "g": part[:, :, 1].ravel().astype("int16"),
-                            "r": part[:, :, 2].ravel().astype("int16"),
-                        }
-                    )
+                    held.append((r.video, r.frame_idx, top, part))
+                    size += part.shape[0] * part.shape[1]
+                    if size >= PIXELS:
+                        yield together(held)
+                        held, size = [], 0
+        if held:
+            yield together(held)
 
     return frames.where("height > 0").mapInPandas(
         unpack, "video string, frame_idx int, y int, x int, b smallint, g smallint, r smallint"

@@ -154,6 +154,42 @@ def test_images_written_and_cut_into_blocks(spark, tmp_path):
     assert (one == want).all() and (blocks["a", 2, 3].by, blocks["a", 2, 3].bx) == (1, 1)
 
 
+def test_many_small_images_are_read_by_few_tasks(spark, tmp_path):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    sizes = [(2, 3)] * 99 + [(300, 400)]
+    images = {(v, f): rng.integers(0, 256, (*size, 3), dtype=np.uint8) for v in ("a", "b c") for f, size in enumerate(sizes, 1)}
+    rows = [(v, f, *i.shape, i.tobytes()) for (v, f), i in images.items()]
+    df = spark.createDataFrame(rows, "video string, frame_idx int, height int, width int, channels int, data binary")
+    folder = f"{tmp_path}/images"
+    media.write_image_frames(df, f"file://{folder}")
+    (tmp_path / "images" / "a" / "999.bmp").write_bytes(b"no image")
+    setting = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "1k")
+    spark.sparkContext.setJobGroup("many-images", "")
+    try:
+        found = media.read_image_frames(spark, folder).collect()
+    finally:
+        spark.sparkContext.setJobGroup("", "")
+        spark.conf.set(setting, before)
+    tracker = spark.sparkContext.statusTracker()
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("many-images") for s in tracker.getJobInfo(j).stageIds]
+    assert max(s.numTasks for s in stages if s) <= len(images) // 2
+    assert [r.frame_idx for r in found if r.height < 0] == [101]
+    got = {(r.video.replace("%20", " "), r.frame_idx): r.data for r in found if r.height > 0}
+    assert {k: bytes(v) for k, v in got.items()} == {k: v.tobytes() for k, v in images.items()}
+    cells = media.image_cells(df.where("video = 'a' AND frame_idx >= 98")).toPandas()
+    for f in (98, 99, 100):
+        part = cells[cells.frame_idx == f].sort_values(["y", "x"])
+        assert (part[["b", "g", "r"]].to_numpy().reshape(images["a", f].shape) == images["a", f]).all()
+    blocks = media.image_blocks(df.where("video = 'a'").coalesce(1), 4).collect()
+    assert len(blocks) == len({(r.frame_idx, r.blk_idx) for r in blocks}) == 99 + 75 * 100
+    last = next(r for r in blocks if (r.frame_idx, r.by, r.bx) == (100, 74, 99))
+    assert (np.array(last["values"]).reshape(3, 4, 4) == images["a", 100][296:, 396:, ::-1].transpose(2, 0, 1) / 255).all()
+
+
 def test_a_filter_on_the_video_opens_its_files_only(spark, tmp_path):
     from pyspark.sql import types as T
 
