@@ -267,3 +267,23 @@ def test_channels_of_a_bucket_are_filtered_each_by_itself(spark, tmp_path, monke
     hit = lambda c, i: c is not None and i > 0 and (i + c) % 3 > 0
     assert got == {(c, i): "Fire" if hit(c, i) and hit(c, i - 1) else ("none") for c in [*range(40), None] for i in (1, 2, 3)}
     assert len(list(calls.iterdir())) == 3
+
+
+def test_small_epochs_have_few_partitions_of_state(spark):
+    rows = [(c, i, f"2024-01-01 00:{i:02d}:00") for c in (1, 2) for i in range(1, 31)]
+    df = spark.createDataFrame(rows, "channel long, frame_idx long, at string").withColumn("ts", F.to_timestamp("at"))
+    setting = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "50")
+    try:
+        stream, largest = sinks._land(df, F.unix_micros("ts"), "few", 30, None)
+        assert largest >= 12 and sinks.state_partitions(spark, largest) == spark.sparkContext.defaultParallelism
+        assert sinks.state_partitions(spark, 45 * sinks.PARTITION_ROWS) == 45
+        assert sinks.state_partitions(spark, 10**9) == 50
+        out = sinks.run_in_epochs(df, F.unix_micros("ts"), lambda s: ST.late_frames(s, "1 hour"), "few", epoch_rows=30)
+        assert out.select("channel", "frame_idx").distinct().count() == out.count() == len(rows)
+        assert spark.conf.get(setting) == "50"
+        # each batch writes a file for every partition that has rows, at most
+        assert all(int(f.split("part-")[1][:5]) < spark.sparkContext.defaultParallelism for f in out.inputFiles())
+    finally:
+        spark.conf.set(setting, before)
