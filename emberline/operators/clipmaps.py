@@ -43,7 +43,10 @@ def _of_one_size(table: pa.Table, starts: np.ndarray) -> Iterator[tuple[pa.Table
 
 
 def chunk_starts(maps: DataFrame, keys: Sequence[str], fan: int = FAN) -> DataFrame:
-    """``(keys, __chunk, start)``: the state before each chunk of ``maps(keys, __chunk, map)``, one byte for each place; all begin with zeros."""
+    """``(keys, __chunk, start)``: the state before each chunk of ``maps(keys, __chunk, map)``, one byte for each place; all begin with zeros.
+
+    ``maps`` is read twice: store it first.
+    """
     keys = list(keys)
     key_fields = [maps.schema[k] for k in keys]
 
@@ -79,7 +82,7 @@ def chunk_starts(maps: DataFrame, keys: Sequence[str], fan: int = FAN) -> DataFr
                 state[more] = np.clip(state[more] + shift, low, high)
             yield {**{k: part[k] for k in [*keys, "__chunk"]}, "start": binaries(found)}
 
-    levels = [materialize(maps.select(*keys, "__chunk", "map"), "chunk-maps")]
+    levels = [maps.select(*keys, "__chunk", "map")]
     top = levels[0].agg(F.max("__chunk")).first()[0] or 0
     up = F.floor(F.col("__chunk") / F.lit(fan)).cast("long").alias("__up")
     merged = T.StructType([*key_fields, T.StructField("__up", T.LongType()), T.StructField("map", T.BinaryType())])

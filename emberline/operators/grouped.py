@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -70,6 +71,12 @@ def binaries(rows: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(rows)])
 
 
+def slices(values: np.ndarray, starts: np.ndarray) -> pa.Array:
+    """The bytes from each start to the next one, or to the end, as one binary value."""
+    offsets = np.append(starts, len(values)).astype(np.int32) * np.int32(values.itemsize)
+    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
+
+
 def matrix_of(column: pa.ChunkedArray, dtype: str) -> np.ndarray:
     """Binary values of one length as the rows of a matrix."""
     values = column.to_numpy()
@@ -88,7 +95,11 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Ite
         new = np.zeros(table.num_rows, dtype=bool)
         new[0] = True
         for k in keys:
-            v = table[k].to_numpy()
+            v = table[k]
+            if pa.types.is_string(v.type) and not v.null_count:  # compared without an object for each
+                new[1:] |= pc.not_equal(v.slice(1), v.slice(0, len(v) - 1)).to_numpy()
+                continue
+            v = v.to_numpy()
             new[1:] |= v[1:] != v[:-1]
         starts = np.flatnonzero(new)
         # The last group may go on in the next batch.

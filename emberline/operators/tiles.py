@@ -24,6 +24,7 @@ from emberline.operators.clipmaps import FAN, chunk_starts, packed_map
 from emberline.operators.grouped import append_to_sorted_groups, map_sorted_groups
 from emberline.operators.motion import FRAME, _DOWN, _TOP, _UP, grid_size
 from emberline.operators.ordered import CELL_CHUNK, chunk_of, with_halo, with_previous
+from emberline.storage import materialize
 
 TILE_KEY = ["video", "ty", "tx"]
 TILE_SCHEMA = "video string, frame_idx long, ty int, tx int, h int, w int, channels int, data binary"
@@ -263,7 +264,7 @@ def motion_memory(tiles: DataFrame, thr: float, size: int = 256, segment: str |
         reduce_chunk,
         T.StructType([*key_fields, T.StructField("map", T.BinaryType())]),
     )
-    starts = chunk_starts(maps, tile_key, fan)
+    starts = chunk_starts(materialize(maps, "chunk-maps"), tile_key, fan)
     lead = starts.withColumn("__place", F.lit(-1).cast("long"))
     marked = rows.withColumn("start", F.lit(None).cast("binary")).unionByName(lead, allowMissingColumns=True)
 
